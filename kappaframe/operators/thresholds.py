@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -12,8 +14,8 @@ from pyspark.sql.window import Window
 
 from kappaframe.functions.seeded import MODULUS, mix
 from kappaframe.operators.ordering import running_sums
+from kappaframe.session import cut_lineage
 
-RATES = ("selection_rate", "true_positive_rate", "false_positive_rate", "true_negative_rate", "false_negative_rate")
 SIMPLE_CONSTRAINTS = {
     "demographic_parity": "selection_rate",
     "selection_rate_parity": "selection_rate",
@@ -27,10 +29,6 @@ SIMPLE_OBJECTIVES = (
 )
 SCORE_BUCKETS = 1024
 
-RULE = (
-    "grp string, x double, y double, p0 double, t0 double, p1 double, t1 double, p_ignore double, p_const double"
-)
-
 
 def _metric(name: str) -> Column:
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
@@ -84,34 +82,49 @@ def _upper_hull(points: np.ndarray) -> np.ndarray:
     return np.array(hull).reshape(-1, 3)
 
 
-def hull_points(points: DataFrame, x: str, y: str, bucket: Column | None = None) -> DataFrame:
-    """`(grp, x, y, thr)`: upper hull of every group's points with the two trivial ones.
+def hull_points(points: DataFrame, x: str, y: str) -> DataFrame:
+    """`(grp, x, y, thr, total_pos, total_neg)`: upper hull of every group's points and of selecting nobody.
 
-    A point on the hull of a group is on the hull of its bucket, so buckets are reduced first and the group
-    only sees what is left.
+    A point on the hull of a group is on the hull of any part of it, so every partition keeps a running hull
+    per group (its size, not the number of points, bounds the memory) and only these meet.
     """
-    if bucket is None:
-        bucket = (-F.floor(F.col("score") * SCORE_BUCKETS)).cast("bigint")
-    metric_points = points.select("grp", _metric(x).alias("x"), _metric(y).alias("y"), F.col("score").alias("thr"),
-                                  bucket.alias("_bucket"))
-    # selecting nobody: no row is at or above +infinity
-    nobody = points.select("grp", "total_pos", "total_neg").distinct()
-    nobody = nobody.withColumns({"cum_pos": F.lit(0), "cum_neg": F.lit(0)})
-    nobody = nobody.select("grp", _metric(x).alias("x"), _metric(y).alias("y"), F.lit(float("inf")).alias("thr"),
-                           F.lit(1).cast("bigint").alias("_bucket"))
-    every = metric_points.unionByName(nobody).dropna(subset=["x", "y"])
+    zero = {"cum_pos": F.lit(0), "cum_neg": F.lit(0)}
+    own = points.withColumns({"x": _metric(x), "y": _metric(y)})
+    every = own.withColumns(zero).withColumns({"x0": _metric(x), "y0": _metric(y)})
+    every = every.select("grp", "x", "y", F.col("score").alias("thr"), "x0", "y0", "total_pos", "total_neg").dropna()
+    columns = ["x", "y", "thr"]
 
-    def reduce_points(part: pd.DataFrame) -> pd.DataFrame:
-        hull = _upper_hull(part[["x", "y", "thr"]].to_numpy(dtype=float))
-        return pd.DataFrame({"grp": part["grp"].iloc[0], "x": hull[:, 0], "y": hull[:, 1], "thr": hull[:, 2]})
+    def frame(grp: str, hull: np.ndarray, totals: tuple) -> pd.DataFrame:
+        return pd.DataFrame(
+            {"grp": grp, "x": hull[:, 0], "y": hull[:, 1], "thr": hull[:, 2], "total_pos": totals[0], "total_neg": totals[1]}
+        )
 
-    schema = "grp string, x double, y double, thr double"
-    local = every.groupBy("grp", "_bucket").applyInPandas(reduce_points, schema)
-    return local.groupBy("grp").applyInPandas(reduce_points, schema)
+    def partition_hulls(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hulls: dict[str, tuple[np.ndarray, tuple]] = {}
+        for part in parts:
+            for grp, rows in part.groupby("grp", sort=False):
+                first = rows.iloc[0]
+                if grp in hulls:
+                    known, totals = hulls[grp]
+                else:
+                    # no row is at or above +infinity
+                    known = np.array([[first["x0"], first["y0"], np.inf]])
+                    totals = (first["total_pos"], first["total_neg"])
+                hulls[grp] = (_upper_hull(np.vstack([known, rows[columns].to_numpy(dtype=float)])), totals)
+        for grp, (hull, totals) in hulls.items():
+            yield frame(grp, hull, totals)
+
+    def join_hulls(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        hull = _upper_hull(part[columns].to_numpy(dtype=float))
+        return frame(first["grp"], hull, (first["total_pos"], first["total_neg"]))
+
+    schema = "grp string, x double, y double, thr double, total_pos bigint, total_neg bigint"
+    return every.mapInPandas(partition_hulls, schema).groupBy("grp").applyInPandas(join_hulls, schema)
 
 
 def _on_grid(hull: DataFrame, grid_size: int) -> DataFrame:
-    """`(grp, i, x, y, p0, t0, p1, t1)`: each hull read off at the grid values, as a mix of two thresholds."""
+    """`(grp, i, x, y, p0, t0, p1, t1, totals)`: each hull read off at the grid values, as a mix of two thresholds."""
 
     def interpolate(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("x")
@@ -127,11 +140,14 @@ def _on_grid(hull: DataFrame, grid_size: int) -> DataFrame:
         p1 = np.clip(p1, 0.0, 1.0)
         return pd.DataFrame(
             {"grp": part["grp"].iloc[0], "i": i, "x": x, "y": (1 - p1) * hy[left] + p1 * hy[right],
-             "p0": 1 - p1, "t0": ht[left], "p1": p1, "t1": ht[right]}
+             "p0": 1 - p1, "t0": ht[left], "p1": p1, "t1": ht[right],
+             "total_pos": part["total_pos"].iloc[0], "total_neg": part["total_neg"].iloc[0]}
         )
 
     return hull.groupBy("grp").applyInPandas(
-        interpolate, "grp string, i bigint, x double, y double, p0 double, t0 double, p1 double, t1 double"
+        interpolate,
+        "grp string, i bigint, x double, y double, p0 double, t0 double, p1 double, t1 double, "
+        "total_pos bigint, total_neg bigint",
     )
 
 
@@ -152,10 +168,8 @@ def fit_thresholds(
     if objective not in (("accuracy_score", "balanced_accuracy_score") if odds else SIMPLE_OBJECTIVES):
         raise ValueError(f"objective {objective} does not go with {constraint}")
     x_name, y_name = ("false_positive_rate", "true_positive_rate") if odds else (SIMPLE_CONSTRAINTS[constraint], objective)
-    points = roc_points(df, score, y, group, bucket)
-    sizes = points.select("grp", "total_pos", "total_neg").distinct()
-    grid = _on_grid(hull_points(points, x_name, y_name, bucket), grid_size)
-    joined = grid.join(sizes, "grp")
+    hull = hull_points(roc_points(df, score, y, group, bucket), x_name, y_name)
+    joined = cut_lineage(_on_grid(hull, grid_size))  # grid_size + 1 rows per group
     weight = F.col("total_pos") + F.col("total_neg")
     groups = F.count(F.lit(1)).alias("_g")
     if odds:
@@ -174,7 +188,7 @@ def fit_thresholds(
     # a grid value counts when every group can reach it; the grid has at most grid_size + 1 rows
     reach = Window.orderBy(F.desc("_g"), F.desc(F.round("value", 12)), "i")
     best = totals.withColumn("_r", F.row_number().over(reach)).where("_r = 1").select("i", "_y")
-    rules = grid.join(best, "i")
+    rules = joined.join(best, "i")
     if odds:
         above = F.col("y") - F.col("x")
         ignore = F.when(above > 1e-12, (F.col("y") - F.col("_y")) / above).otherwise(0.0)
