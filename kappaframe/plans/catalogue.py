@@ -1,6 +1,13 @@
 """All registered queries: importing the modules fills the registry."""
 
-from kappaframe.plans import agreement_queries, fairness_queries, split_queries  # noqa: F401
+from kappaframe.plans import (  # noqa: F401
+    agreement_queries,
+    example_queries,
+    fairness_queries,
+    recode_queries,
+    similarity_queries,
+    split_queries,
+)
 from kappaframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
