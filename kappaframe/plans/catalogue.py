@@ -6,7 +6,9 @@ from kappaframe.plans import (  # noqa: F401
     fairness_queries,
     recode_queries,
     similarity_queries,
+    source_queries,
     split_queries,
+    text_queries,
 )
 from kappaframe.plans.registry import ORACLES, QUERIES
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +34,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and return it with a short plan."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    saved = df.checkpoint(eager=True)
+    # fresh column identities, so that tables grown from the same cut can be joined with each other
+    return saved.select(*[F.col(f"`{c}`").alias(c) for c in saved.columns])
 
 
 def shuffle_width(spark: SparkSession) -> int:
