@@ -6,6 +6,8 @@ is recoded in one projection.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,31 +60,31 @@ def _true(cell: Column) -> Column:
     return F.coalesce(~F.lower(cell.cast("string")).isin("0", "0.0", "false", ""), F.lit(False))
 
 
+def _bit(cell: Column) -> Column:
+    return _true(cell).cast("int").cast("string")
+
+
 def grade_word(grade: Column) -> Column:
     return lookup(GRADE_WORDS, _zero(grade))
 
 
 def _slots(template: str, cards: dict[int, str], slots: list[tuple[Column, Column]], all_or_nothing: bool) -> Column:
-    sources = [_zero(s) for s, _ in slots]
-    targets = [_zero(t) for _, t in slots]
-    places = [p for p in range(1, 5) if f"nan{p}" in template]
-
-    def on_place(place: int) -> Column:
-        card = F.lit(None).cast("string")
-        for source, target in zip(sources, targets):  # a later slot wins
-            card = F.when(target == place, lookup(cards, source)).otherwise(card)
-        return card
-
-    filled = F.lit(template)
-    for place in places:
-        filled = F.replace(filled, F.lit(f"nan{place}"), F.coalesce(on_place(place), F.lit(f"nan{place}")))
-    usable = F.lit(True)
-    for source in sources:
-        usable = usable & source.isin(list(cards))
+    """Fills `nan1`, `nan2`, ... with the cards put on these places.
+
+    Slots are laid out last first, so the first position of a place in the target array is the slot that wins.
+    """
+    targets = F.array(*[_zero(t) for _, t in reversed(slots)])
+    drawn = F.array(*[lookup(cards, _zero(s)) for s, _ in reversed(slots)])
+    pieces = re.split(r"nan(\d)", template)
+    text = [F.lit(pieces[0])]
+    for place, after in zip(pieces[1::2], pieces[2::2]):
+        card = F.get(drawn, (F.array_position(targets, F.lit(int(place))) - 1).cast("int"))
+        text += [F.coalesce(card, F.lit(f"nan{place}")), F.lit(after)]
+    usable = ~F.exists(drawn, lambda card: card.isNull())
     if all_or_nothing:
-        for place in range(1, len(slots) + 1):
-            usable = usable & on_place(place).isNotNull()
-    return F.when(usable, filled).otherwise(F.lit(template))
+        wanted = F.array(*[F.lit(i) for i in range(1, len(slots) + 1)])
+        usable = usable & (F.size(F.array_except(wanted, targets)) == 0)
+    return F.when(usable, F.concat(*text)).otherwise(F.lit(template))
 
 
 def division(slots: list[tuple[Column, Column]]) -> Column:
@@ -115,10 +117,9 @@ def chance_part_a(grade: Column, selected: list[Column], fixed: bool = False) ->
     """Selected options as text. By default option names are shifted by one and not separated, as in the
     recorded data; `fixed` names them right and separates them."""
     names = CHANCE_OPTIONS if fixed else ["Null", *CHANCE_OPTIONS[:3]]
-    chosen = F.array_compact(F.array(*[F.when(_true(s), F.lit(n)) for s, n in zip(selected, names)]))
-    text = F.array_join(chosen, ", " if fixed else "")
+    text = F.concat_ws(", " if fixed else "", *[F.when(_true(s), F.lit(n)) for s, n in zip(selected, names)])
     return F.concat(
-        F.lit("Part A is "), grade_word(grade), F.lit(": "), F.when(F.size(chosen) == 0, "No answer").otherwise(text)
+        F.lit("Part A is "), grade_word(grade), F.lit(": "), F.when(text == "", "No answer").otherwise(text)
     )
 
 
@@ -128,19 +129,17 @@ def chance_part_b(
 ) -> Column:
     """Choice and explanation. `fixed` lets a struck-out option count as a choice of the other one."""
     say_yes, say_no = (CHANCE_YES_LONG, CHANCE_NO_LONG) if extra else (CHANCE_YES, CHANCE_NO)
-    neither = F.lit("Not Sure ")
+    names = {"10": say_yes, "01": say_no, "11": "Not sure ", "00": "Not Sure "}
+    flags = [yes, no]
     if fixed and yes_out is not None and no_out is not None:
-        neither = (
-            F.when(_true(yes_out) & ~_true(no_out), CHANCE_NO)
-            .when(_true(no_out) & ~_true(yes_out), CHANCE_YES)
-            .otherwise(neither)
-        )
-    choice = (
-        F.when(_true(yes) & ~_true(no), say_yes)
-        .when(~_true(yes) & _true(no), say_no)
-        .when(_true(yes) & _true(no), "Not sure ")
-        .otherwise(neither)
-    )
+        flags += [yes_out, no_out]
+        struck = {"10": CHANCE_NO, "01": CHANCE_YES}
+        names = {
+            f"{c}{o}": struck.get(o, text_) if c == "00" else text_
+            for c, text_ in names.items()
+            for o in ("00", "01", "10", "11")
+        }
+    choice = lookup(names, F.concat(*[_bit(f) for f in flags]))
     return F.concat(choice, F.lit(", "), F.coalesce(text, F.lit("I don't know")))
 
 
@@ -162,26 +161,28 @@ def _age_part_a(response: Column) -> Column:
     return F.concat(lookup(AGE_NUMBERS, pick(0)), F.lit(" "), lookup(AGE_ORDER, pick(1)))
 
 
-def _age_choices(response: Column, struck: Column) -> tuple[Column, Column]:
-    seen = lambda cell, digit, flag: F.coalesce(cell.contains(digit) | cell.contains(flag), F.lit(False))
-    first = seen(response, "1", "TRUE ") & ~seen(struck, "1", "TRUE ")
-    second = seen(response, "2", " TRUE") & ~seen(struck, "2", " TRUE")
-    return first, second
+def _age_code(response: Column, struck: Column) -> Column:
+    """`10` when only the first choice is left, `01` the second, `11` both, `00` none."""
+
+    def left(digit: str, flag: str) -> Column:
+        seen = F.coalesce(response, F.lit("")).rlike(f"{digit}|{flag}")
+        out = F.coalesce(struck, F.lit("")).rlike(f"{digit}|{flag}")
+        return (seen & ~out).cast("int").cast("string")
+
+    return F.concat(left("1", "TRUE "), left("2", " TRUE"))
 
 
 def age_choice_text(response: Column, struck: Column, variant: str = "current") -> Column:
     """The sentence for part B alone (`I choose A`)."""
     none, a, b = AGE_CHOICES[(variant, False)]
-    first, second = _age_choices(response, struck)
-    both = a + ("and " if variant == "current" else ", ") + b
-    text = F.when(first & second, both).when(first, a).when(second, b).otherwise(none)
-    return F.concat(F.lit("I choose "), text) if variant == "current" else text
+    start, joint = ("I choose ", "and ") if variant == "current" else ("", ", ")
+    names = {"00": none, "10": a, "01": b, "11": a + joint + b}
+    return lookup({k: start + v for k, v in names.items()}, _age_code(response, struck))
 
 
 def age_evidence(response: Column, struck: Column) -> Column:
     """1 only when exactly the right choice is left."""
-    first, second = _age_choices(response, struck)
-    return (first & ~second).cast("int")
+    return (_age_code(response, struck) == "10").cast("int")
 
 
 def age_part_a(grade: Column, response: Column, extra: bool = True, variant: str = "current") -> Column:
@@ -198,8 +199,7 @@ def age_full_context(
 ) -> Column:
     """Choices first, then the grade of part A."""
     none, a, b = AGE_CHOICES[(variant, extra)]
-    first, second = _age_choices(response, struck)
-    text = F.when(first & second, f"{a}, {b}").when(first, a).when(second, b).otherwise(none)
+    text = lookup({"00": none, "10": a, "01": b, "11": f"{a}, {b}"}, _age_code(response, struck))
     grade_text = F.concat(F.lit("Part A is "), grade_word(grade))
     if extra:
         grade_text = F.concat(grade_text, F.lit(": "), _age_part_a(part_a))
@@ -218,12 +218,12 @@ def slope_choice(selected: Column, struck: Column, text: Column, variant: str =
         )
     flags = F.split(F.coalesce(selected, F.lit("")), " ")
     outs = F.split(F.coalesce(struck, F.lit("")), " ")
-    on = lambda array, i: F.coalesce(F.get(array, F.lit(i)) == "TRUE", F.lit(False))
-    chosen = F.array_compact(F.array(*[F.when(on(flags, i), F.lit(s)) for i, s in enumerate(SLOPE_STATEMENTS)]))
-    left = F.array_compact(F.array(*[F.when(~on(outs, i), F.lit(o)) for i, o in enumerate("ABCD")]))
-    statement = F.when(F.size(chosen) == 1, chosen[0]).when(
-        F.size(chosen) == 0,
-        F.when(F.size(left) == 0, "Not sure.").otherwise(F.concat(F.lit("I choose "), F.array_join(left, " and "))),
+    n_chosen = F.size(F.filter(flags, lambda f: f == "TRUE"))
+    first = F.get(F.array(*[F.lit(s) for s in SLOPE_STATEMENTS]), (F.array_position(flags, "TRUE") - 1).cast("int"))
+    letters = F.array(*[F.lit(o) for o in "ABCD"])
+    left = F.array_join(F.filter(letters, lambda _, i: ~F.coalesce(F.get(outs, i) == "TRUE", F.lit(False))), " and ")
+    statement = F.when(n_chosen == 1, first).when(
+        n_chosen == 0, F.when(left == "", "Not sure.").otherwise(F.concat(F.lit("I choose "), left))
     )
     return F.concat(statement, F.lit(" "), F.coalesce(text, F.lit("No idea.")))
 

@@ -20,6 +20,8 @@ from kappaframe.operators.neighbours import (
     cell_table,
     chord,
     distinct_vectors,
+    fits_one_cell,
+    in_one_cell,
     pivots_of,
     unit_rows,
     vector_key,
@@ -147,17 +149,24 @@ def density_clusters(
         item, F.col(id_column).alias("id"), F.col(vector).alias("vec"), vector_key(F.col(vector)).alias("vid")
     )
     vectors = cut_lineage(distinct_vectors(rows, item, "vec"))
-    pivots = cut_lineage(pivots_of(vectors, item, cell))
-    members = cut_lineage(assign_cells(vectors, pivots, item, block))
-    cells = cell_table(members, pivots, item)
-    visits = visit_cells(vectors, cells, item, radius=eps, block=block)
-    weight = _neighbour_weight(visits, members, item, eps, block)
+    if fits_one_cell(vectors, item, cell):
+        members = in_one_cell(vectors)
+        visits_to = lambda visitors, _: in_one_cell(visitors)
+    else:
+        pivots = cut_lineage(pivots_of(vectors, item, cell))
+        members = cut_lineage(assign_cells(vectors, pivots, item, block))
+        cells = cell_table(members, pivots, item)
+
+        def visits_to(visitors: DataFrame, homes: DataFrame) -> DataFrame:
+            reached = cells.join(homes.select(item, "cell").distinct(), [item, "cell"], "left_semi")
+            return visit_cells(visitors, reached, item, radius=eps, block=block)
+
+    weight = _neighbour_weight(visits_to(vectors, members), members, item, eps, block)
     cores = cut_lineage(weight.select(item, "vid", (F.col("weight") >= min_samples).alias("core")))
     members = members.join(cores, [item, "vid"])
     marked = vectors.join(cores, [item, "vid"])
     core_members = members.where("core")
-    core_cells = cells.join(core_members.select(item, "cell").distinct(), [item, "cell"], "left_semi")
-    links = cut_lineage(_links(visit_cells(marked, core_cells, item, radius=eps, block=block), core_members, item, eps, block))
+    links = cut_lineage(_links(visits_to(marked, core_members), core_members, item, eps, block))
     edges = links.where("core").select(item, F.col("vid").alias("a"), F.col("rep").alias("b"))
     comps = connected_components(edges, cores.where("core"), [item])
     # number clusters by their smallest row id

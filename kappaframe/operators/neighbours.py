@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from kappaframe.functions.seeded import mix_text
 from kappaframe.operators.splits import sample_per_key
-from kappaframe.session import cut_lineage
+from kappaframe.session import cut_lineage, fresh
 
 BLOCK = 2048
 CELL = 2048
@@ -113,7 +113,7 @@ def assign_cells(vectors: DataFrame, pivots: DataFrame, item: str, block: int =
         return out.append_column("dist", pa.array(d[np.arange(len(best)), best]))
 
     schema = ", ".join([*[_field(vectors, c) for c in kept], "cell string", "dist double"])
-    return left.groupBy(item, "_salt").cogroup(right.groupBy(item, "_salt")).applyInArrow(nearest_pivot, schema)
+    return left.groupBy(item, "_salt").cogroup(fresh(right).groupBy(item, "_salt")).applyInArrow(nearest_pivot, schema)
 
 
 def _field(df: DataFrame, name: str) -> str:
@@ -159,7 +159,7 @@ def visit_cells(
         return out.take(pa.array(at)).append_column("cell", pa.array(names[cell].tolist(), pa.string()))
 
     fields = [_field(queries, c) for c in kept]
-    return left.groupBy(item, "_salt").cogroup(right.groupBy(item, "_salt")).applyInArrow(
+    return left.groupBy(item, "_salt").cogroup(fresh(right).groupBy(item, "_salt")).applyInArrow(
         choose, ", ".join([*fields, "cell string"])
     )
 
@@ -175,7 +175,7 @@ def block_pairs(visits: DataFrame, members: DataFrame, item: str, block: int = B
     left = visits.join(grid, key).withColumn("_v", slot("_vb")).withColumn("_m", spread("_mb")).drop("_mb", "_vb")
     right = members.join(grid, key).withColumn("_m", slot("_mb")).withColumn("_v", spread("_vb")).drop("_mb", "_vb")
     by = [*key, "_v", "_m"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by))
+    return left.groupBy(*by).cogroup(fresh(right).groupBy(*by))
 
 
 def _search(visits: DataFrame, members: DataFrame, item: str, k: int, block: int = BLOCK) -> DataFrame:
@@ -226,6 +226,16 @@ def cell_table(members: DataFrame, pivots: DataFrame, item: str) -> DataFrame:
     return stats.join(pivots.withColumnRenamed("pid", "cell"), [item, "cell"])
 
 
+def fits_one_cell(rows: DataFrame, item: str, cell: int) -> bool:
+    """Whether no item has more rows than a cell: then pivots would change nothing."""
+    largest = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()
+    return (largest["n"] or 0) <= cell
+
+
+def in_one_cell(df: DataFrame) -> DataFrame:
+    return df.withColumn("cell", F.lit(""))
+
+
 def _nearest_vectors(queries: DataFrame, pool: DataFrame, item: str, k: int, cell: int, block: int) -> DataFrame:
     """k best distinct pool vectors `(item, vid, cand, sim)` of every distinct query vector."""
     pivots = cut_lineage(pivots_of(pool, item, cell))
@@ -267,7 +277,11 @@ def nearest(
         return rows.select(*columns, own.alias("own"), F.concat(vector_key(F.col(vector)), F.lit("-"), own).alias("vid"))
 
     q, p = keyed(queries, "query_id"), keyed(pool, "neighbor_id")
-    best = _nearest_vectors(_collapse(q, item), _collapse(p, item), item, need, cell, block)
+    if fits_one_cell(p, item, cell):
+        found = _search(in_one_cell(_collapse(q, item)), in_one_cell(_collapse(p, item)), item, need, block)
+        best = _keep_best(found, item, need)
+    else:
+        best = _nearest_vectors(_collapse(q, item), _collapse(p, item), item, need, cell, block)
     # of the copies of one vector only the first `need` ids can be among the k nearest
     order = Window.partitionBy(item, "cand").orderBy("neighbor_id")
     ids = p.select(item, F.col("vid").alias("cand"), "neighbor_id")

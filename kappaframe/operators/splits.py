@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from kappaframe.constants import HELD_OUT_FOLDS
 from kappaframe.functions.seeded import mix
-from kappaframe.operators.ordering import numbered, numbered_by_draw, position_bucket
+from kappaframe.operators.ordering import numbered_by_draw, position_bucket
 
 TEST_FOLD = 10
 
@@ -24,17 +24,23 @@ def stratified_folds(
     are numbered per position bucket, so a dominant item or label stays spread out.
     """
     bucket = position_bucket(pos) if bucket is None else bucket
-    rows = df.where(F.col(item).isNotNull() & F.col(label).isNotNull())
-    classes = rows.groupBy(item, label).agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_first"))
-    before = Window.partitionBy(item).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    rows = df.where(F.col(item).isNotNull() & F.col(label).isNotNull()).withColumn("_bucket", bucket)
+    key = [item, label]
+    # the only pass over the rows besides the numbering itself; all that follows is as small as its output
+    sizes = rows.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_k"), F.min(pos).alias("_first"))
+    classes = sizes.groupBy(*key).agg(F.sum("_k").alias("_n"), F.min("_first").alias("_first"))
+    earlier = Window.partitionBy(item).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     below = lambda x, i: F.floor((x + (folds - 1 - i)) / folds)
     shares = [below(F.col("_start") + F.col("_n"), i) - below(F.col("_start"), i) for i in range(folds)]
     ends = [sum(shares[: i + 1], F.lit(0)) for i in range(folds - 1)]
-    bounds = classes.withColumn("_start", start).select(item, label, F.array(*ends).alias("_ends"))
-    ranked = numbered(rows, [item, label], [F.col(pos)], bucket, "_j").join(bounds, [item, label])
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, "_bucket", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_offset"))
+    placed = offsets.join(classes.select(*key, F.array(*ends).alias("_ends")), key)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(pos)
+    ranked = rows.join(placed, [*key, "_bucket"]).withColumn("_j", F.row_number().over(inside) + F.col("_offset"))
     fold = sum(((F.col("_j") > F.col("_ends")[i]).cast("int") for i in range(folds - 1)), F.lit(0))
-    return ranked.withColumn("fold", fold).drop("_j", "_ends")
+    return ranked.withColumn("fold", fold).drop("_j", "_ends", "_offset", "_bucket")
 
 
 def hashed_folds(df: DataFrame, id_column: str, folds: int = 10, seed: int = 0) -> DataFrame:

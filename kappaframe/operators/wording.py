@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from kappaframe.session import broadcast_if_small, cut_lineage, shuffle_width
 
 WORD = "\\p{L}+"
 PIECES = "\\p{L}+|[^\\p{L}]+"
@@ -21,9 +26,9 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cut(length: Column, part: Column) -> Column:
-    """Start of a third of a word of that length."""
-    return F.floor(part * length / F.lit(EDITS + 1)).cast("int")
+def _cut(third: str, ahead: int = 0) -> Column:
+    """Start of a third of a word of length `len`."""
+    return F.floor((F.col(third) + ahead) * F.col("len") / F.lit(EDITS + 1)).cast("int")
 
 
 def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -> DataFrame:
@@ -34,22 +39,25 @@ def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -
     places. Thirds are joined on (length, third, text), which is complete for words of every length and never
     compares the two vocabularies pair by pair.
     """
+    counts = cut_lineage(counts)
     third = F.explode(F.array(*[F.lit(i) for i in range(EDITS + 1)])).alias("third")
-    known = counts.where(F.col("n") >= frequent).select("word", "n", F.length("word").alias("len"))
-    known = known.select(F.col("word").alias("correction"), F.col("n").alias("freq"), "len", third)
-    start, end = _cut(F.col("len"), F.col("third")), _cut(F.col("len"), F.col("third") + 1)
-    known = known.withColumn("part", F.substring("correction", start + 1, end - start))
+    known = cut_lineage(
+        counts.where(F.col("n") >= frequent)
+        .select(F.col("word").alias("correction"), F.col("n").alias("freq"), F.length("word").alias("len"), third)
+        .withColumn("part", F.substring("correction", _cut("third") + 1, _cut("third", 1) - _cut("third")))
+    )
     odd = counts.where(F.col("n") <= rare).select("word", F.length("word").alias("own_len"))
+    # few bytes become much work: spread the words over all tasks first
+    odd = odd.repartition(shuffle_width(counts.sparkSession), "word")
     lengths = F.sequence(F.greatest(F.col("own_len") - EDITS, F.lit(1)), F.col("own_len") + EDITS)
     odd = odd.select("word", "own_len", F.explode(lengths).alias("len"))
     odd = odd.select("*", third)
     shift = F.explode(F.array(*[F.lit(i) for i in range(-EDITS, EDITS + 1)])).alias("shift")
     odd = odd.select("*", shift)
-    at = _cut(F.col("len"), F.col("third")) + F.col("shift")
-    size = _cut(F.col("len"), F.col("third") + 1) - _cut(F.col("len"), F.col("third"))
-    odd = odd.withColumns({"at": at, "size": size}).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("own_len")))
-    odd = odd.select("word", "len", "third", F.substring("word", F.col("at") + 1, F.col("size")).alias("part")).distinct()
-    pairs = odd.join(known, ["len", "third", "part"])
+    odd = odd.withColumns({"at": _cut("third") + F.col("shift"), "size": _cut("third", 1) - _cut("third")})
+    odd = odd.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("own_len")))
+    odd = odd.select("word", "len", "third", F.substring("word", F.col("at") + 1, F.col("size")).alias("part"))
+    pairs = odd.join(broadcast_if_small(known), ["len", "third", "part"])
     distance = F.levenshtein("word", "correction", EDITS)
     close = pairs.withColumn("distance", distance).where(F.col("distance").between(1, EDITS))
     best = F.min(F.struct(F.col("distance"), (-F.col("freq")).alias("f"), F.col("correction").alias("w")))
@@ -79,43 +87,47 @@ def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, fr
     return joined.withColumn("corrected", F.when(F.col("_fix").isNull(), F.col(text)).otherwise(rebuilt)).drop("_fix")
 
 
+def _grams(text: Column) -> Column:
+    letters = F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")
+    return F.regexp_extract_all(letters, F.lit("(?=(.{3}))"), F.lit(1))
+
+
 def trigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """`(keys, gram, n)`: overlapping character triples of the letters of a text, spaces between words kept."""
-    letters = F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")
-    grams = F.regexp_extract_all(letters, F.lit("(?=(.{3}))"), F.lit(1))
-    return df.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*keys, F.explode(_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def language_profiles(grams: DataFrame, language: str) -> DataFrame:
-    """`(gram, language, log_count)` with add-one counts."""
-    return grams.groupBy("gram", language).agg(F.log(F.sum("n") + 1.0).alias("log_count"))
+def language_profiles(df: DataFrame, text: str, language: str) -> DataFrame:
+    """`(gram, language, n)` over the labelled texts; triples are combined on the map side."""
+    return trigrams(df.where(F.col(language).isNotNull()), [language], text)
 
 
 def language_probability(df: DataFrame, id_column: str, text: str, language: str, target: str = "en") -> DataFrame:
-    """`(id, probability)` that each text is in `target`: naive Bayes over character triples with equal priors,
-    trained on the labelled texts themselves; 0 for a text without letters.
+    """`(id, probability)` that each text is in `target`: naive Bayes over character triples with equal priors
+    and add-one counts, trained on the labelled texts themselves; 0 for a text without letters.
 
-    A text is counted once; only triples a language knows are joined, the rest enters through its length.
+    The profile (one row per triple, one column per language) is written once. Its size is checked: it is
+    broadcast while it is small, and then a text's triples are summed where they are made; beyond that they
+    are joined by shuffle.
     """
-    grams = trigrams(df, [id_column, language], text)
-    profile = language_profiles(grams.where(F.col(language).isNotNull()), language)
-    own = grams.groupBy("gram", id_column).agg(F.sum("n").alias("n"))
-    lengths = own.groupBy(id_column).agg(F.sum("n").alias("total"))
-    totals = grams.where(F.col(language).isNotNull()).groupBy(language).agg(F.sum("n").alias("lang_total"))
-    kinds = grams.select("gram").distinct().agg(F.count(F.lit(1)).alias("kinds"))
-    # a handful of languages: one row each
-    norms = totals.join(kinds, F.lit(True)).select(
-        language, F.log(F.col("lang_total") + F.col("kinds").cast("double")).alias("log_norm")
-    )
-    known = own.join(profile, "gram").groupBy(id_column, language).agg(
-        F.sum(F.col("n") * F.col("log_count")).alias("gain")
-    )
-    scored = known.join(lengths, id_column).join(norms, language).select(
-        id_column, language, (F.col("gain") - F.col("total") * F.col("log_norm")).alias("score")
+    counts = cut_lineage(language_profiles(df, text, language))
+    norms = counts.groupBy(language).agg(F.sum("n").alias("total"))
+    kinds = counts.select("gram").distinct().count()
+    # one row per language of the label set
+    log_norm = {r[language]: math.log(r["total"] + kinds) for r in norms.collect()}
+    names = sorted(log_norm)
+    logs = [F.sum(F.when(F.col(language) == l, F.log(F.col("n") + 1.0)).otherwise(0.0)).alias(f"g{i}") for i, l in enumerate(names)]
+    profile = cut_lineage(counts.groupBy("gram").agg(*logs))
+    grams = df.select(id_column, F.explode(_grams(F.col(text))).alias("gram"))
+    sums = [F.sum(f"g{i}").alias(f"s{i}") for i in range(len(names))]
+    scored = grams.join(broadcast_if_small(profile), "gram", "left").groupBy(id_column).agg(
+        F.count(F.lit(1)).alias("total"), *sums
     )
-    per_text = Window.partitionBy(id_column)
-    weighed = scored.withColumn("w", F.exp(F.col("score") - F.max("score").over(per_text)))
-    chance = weighed.groupBy(id_column).agg(
-        (F.sum(F.when(F.col(language) == target, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("probability")
+    scores = [F.coalesce(f"s{i}", F.lit(0.0)) - F.col("total") * F.lit(log_norm[l]) for i, l in enumerate(names)]
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    weights = [F.exp(score - top) for score in scores]
+    whole = reduce(add, weights)
+    chance = weights[names.index(target)] / whole if target in names else F.lit(0.0)
+    return df.select(id_column).join(scored.select(id_column, chance.alias("probability")), id_column, "left").fillna(
+        0.0, ["probability"]
     )
-    return df.select(id_column).join(chance, id_column, "left").fillna(0.0, ["probability"])

@@ -38,7 +38,7 @@ def cosine_topk(t: Tables):
 def neighbor_edges(t: Tables):
     """The precomputed neighbour table, summed up per item; small cells, so that the cell bounds are at work."""
     rows = B.vectors(t)
-    edges = N.nearest(rows, rows, TOP, cell=64)
+    edges = N.nearest(rows, rows, TOP, cell=16)
     return edges.groupBy("qid").agg(
         F.count(F.lit(1)).alias("edges"), F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(F.min("sim"), 6).alias("min_sim")
     )
@@ -195,7 +195,7 @@ def density_clusters(t: Tables):
 )
 def cluster_sizes(t: Tables):
     """Small cells, so that the cell bounds are at work."""
-    return K.cluster_summary(clusters(t, cell=64), ["qid"])
+    return K.cluster_summary(clusters(t, cell=16), ["qid"])
 
 
 _TOKENS = "SELECT source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS token FROM documents"

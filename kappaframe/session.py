@@ -31,13 +31,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/kappaframe/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same table under new column identities, so that it can meet another table grown from the same rows."""
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and return it with a short plan."""
     shared_folder(df.sparkSession)
     saved = df.checkpoint(eager=True)
-    # fresh column identities, so that tables grown from the same cut can be joined with each other
-    return saved.select(*[F.col(f"`{c}`").alias(c) for c in saved.columns])
+    return fresh(saved)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hints a broadcast when `df` (written by `cut_lineage`, so counting is cheap) has at most `rows` rows, and a
+    join by shuffle above that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
