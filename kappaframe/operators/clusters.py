@@ -28,7 +28,7 @@ from kappaframe.operators.neighbours import (
     visit_cells,
 )
 from kappaframe.operators.ordering import numbered
-from kappaframe.session import cut_lineage
+from kappaframe.session import cut_lineage, spread
 
 NOISE = -1
 
@@ -213,7 +213,7 @@ def cluster_rank(clusters: DataFrame, label: str = "c_label", per_page: int = 5)
 
 def top_tokens(df: DataFrame, cluster: str, text: str, k: int = 50) -> DataFrame:
     """The k most frequent words of every cluster (ties in word order)."""
-    words = df.select(cluster, F.explode(F.split(F.lower(text), "[^\\p{L}\\p{N}_]+")).alias("token"))
+    words = spread(df.select(cluster, text)).select(cluster, F.explode(F.split(F.lower(text), "[^\\p{L}\\p{N}_]+")).alias("token"))
     counts = words.where(F.col("token") != "").groupBy(cluster, "token").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(cluster).orderBy(F.desc("n"), "token")
     return counts.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)

@@ -9,11 +9,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kappaframe.session import spread
+
 
 def embed_text(df: DataFrame, text: str, width: int = 256, output: str = "emb") -> DataFrame:
     """Adds a unit vector of hashed, inverse-document-weighted words. `operators.inference.infer` takes any
     other encoder."""
-    prepared = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    prepared = spread(df).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     stages = [
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern="[^\\p{L}\\p{N}]+", minTokenLength=1),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width),

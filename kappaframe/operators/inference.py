@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kappaframe.session import spread
+
 Batch = Callable[[list[str]], list]
 
 
@@ -19,9 +21,9 @@ def infer(
     """`(keep, output)`: the batch function returned by `load()` applied to `text`.
 
     Rows are ordered by length inside their partition, longest first, so that a batch holds texts of
-    similar length; nothing is shuffled.
+    similar length.
     """
-    rows = df.select(*keep, F.col(text).alias("_text"))
+    rows = spread(df.select(*keep, F.col(text).alias("_text")))
     if by_length:
         rows = rows.sortWithinPartitions(F.desc(F.length("_text")))
 

@@ -127,8 +127,7 @@ def visit_cells(
     """`(item, vid, vec, [payload], cell)`: the cells each query visits.
 
     `need`: closest cells until they hold `need` vectors. `bound`: name of a query column with the largest
-    distance of interest; cells that cannot reach it, and the ones `need` has taken, are left out.
-    `radius`: every cell that may hold a vector within that distance.
+    distance of interest; cells that cannot reach it are left out. `radius`: the same with one distance for all.
     `cells` holds `(item, cell, pvec, n, r)`.
     """
     counts = queries.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
@@ -145,15 +144,13 @@ def visit_cells(
         sizes = np.array(centres.column("n").to_pylist(), dtype=float)
         if radius is not None:
             wanted = reach <= radius + 1e-9
+        elif bound is not None:
+            wanted = reach <= np.array(rows.column(bound).to_pylist(), dtype=float)[:, None] + 1e-9
         else:
             order = np.argsort(d, axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
-            early = np.zeros_like(d, dtype=bool)
-            np.put_along_axis(early, order, (held - sizes[order]) < need, axis=1)
-            wanted = early
-            if bound is not None:
-                limit = np.array(rows.column(bound).to_pylist(), dtype=float)[:, None]
-                wanted = (reach <= limit + 1e-9) & ~early
+            wanted = np.zeros_like(d, dtype=bool)
+            np.put_along_axis(wanted, order, (held - sizes[order]) < need, axis=1)
         at, cell = np.nonzero(wanted)
         names = np.array(centres.column("cell").to_pylist(), dtype=object)
         return out.take(pa.array(at)).append_column("cell", pa.array(names[cell].tolist(), pa.string()))
@@ -241,18 +238,18 @@ def _nearest_vectors(queries: DataFrame, pool: DataFrame, item: str, k: int, cel
     pivots = cut_lineage(pivots_of(pool, item, cell))
     members = cut_lineage(assign_cells(pool, pivots, item, block))
     cells = cell_table(members, pivots, item)
-    first_visits = visit_cells(queries, cells, item, need=k, block=block)
+    first_visits = cut_lineage(visit_cells(queries, cells, item, need=k, block=block))
     first = cut_lineage(_keep_best(_search(first_visits, members, item, k, block), item, k))
     several = cells.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(item)
     farthest = first.groupBy(item, "vid").agg(F.count(F.lit(1)).alias("_f"), F.min("sim").alias("_s"))
-    limit = F.when(F.col("_f") < k, F.lit(2.0)).otherwise(
-        F.sqrt(F.greatest(2.0 - 2.0 * F.col("_s"), F.lit(0.0))) + 1e-6
-    )
+    # with fewer than k found so far anything may still be near enough: 2 is the largest distance
+    limit = F.when(F.col("_f") >= k, F.sqrt(F.greatest(2.0 - 2.0 * F.col("_s"), F.lit(0.0))) + 1e-6).otherwise(2.0)
     open_queries = (
         queries.join(several, item, "left_semi").join(farthest, [item, "vid"], "left").withColumn("limit", limit)
-        .fillna(2.0, ["limit"])
     )
-    second_visits = visit_cells(open_queries, cells, item, need=k, bound="limit", block=block)
+    second_visits = visit_cells(open_queries, cells, item, bound="limit", block=block).join(
+        fresh(first_visits.select(item, "vid", "cell")), [item, "vid", "cell"], "left_anti"
+    )
     second = _search(second_visits, members, item, k, block)
     return _keep_best(first.unionByName(second), item, k)
 

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaframe.session import broadcast_if_small, cut_lineage, shuffle_width
+from kappaframe.session import broadcast_if_small, cut_lineage, shuffle_width, spread
 
 WORD = "\\p{L}+"
 PIECES = "\\p{L}+|[^\\p{L}]+"
@@ -22,7 +22,7 @@ def words_of(text: Column) -> Column:
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """`(word, n)` over the whole corpus."""
-    words = df.select(F.explode(words_of(F.col(text))).alias("word"))
+    words = spread(df.select(text)).select(F.explode(words_of(F.col(text))).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,7 +55,14 @@ def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -
     shift = F.explode(F.array(*[F.lit(i) for i in range(-EDITS, EDITS + 1)])).alias("shift")
     odd = odd.select("*", shift)
     odd = odd.withColumns({"at": _cut("third") + F.col("shift"), "size": _cut("third", 1) - _cut("third")})
-    odd = odd.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("own_len")))
+    # a third matches at a shift its neighbours' edits can cause, seen from the left and from the right end
+    ahead = F.col("own_len") - F.col("len")
+    odd = odd.where(
+        (F.abs("shift") <= F.col("third"))
+        & (F.abs(F.col("shift") - ahead) <= EDITS - F.col("third"))
+        & (F.col("at") >= 0)
+        & (F.col("at") + F.col("size") <= F.col("own_len"))
+    )
     odd = odd.select("word", "len", "third", F.substring("word", F.col("at") + 1, F.col("size")).alias("part"))
     pairs = odd.join(broadcast_if_small(known), ["len", "third", "part"])
     distance = F.levenshtein("word", "correction", EDITS)
@@ -69,22 +76,31 @@ def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -
 def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, frequent: int = 20) -> DataFrame:
     """Adds `corrected`: the whole text with rare words replaced, everything else left as it is.
 
-    Only (row, corrected word) entries are joined back to the texts; a capital at the start of a word stays.
+    Only corrected places are joined back to the texts: a text is cut into words and what lies between, and
+    put together again from the stretches between its corrected places. A capital at the start of a word stays.
     """
-    fixes = spelling_corrections(word_counts(df, text), rare, frequent).select("word", "correction")
-    used = df.select(id_column, F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
-    entries = used.join(fixes, "word").groupBy(id_column).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "correction"))).alias("_fix")
-    )
-    joined = df.join(entries, id_column, "left")
-    fixed = lambda p: F.element_at("_fix", F.lower(p))
-    shaped = lambda p: F.when(
-        F.substring(p, 1, 1) != F.lower(F.substring(p, 1, 1)),
-        F.concat(F.upper(F.substring(fixed(p), 1, 1)), F.substring(fixed(p), F.lit(2), F.length(fixed(p)))),
-    ).otherwise(fixed(p))
+    fixes = cut_lineage(spelling_corrections(word_counts(df, text), rare, frequent).select("word", "correction"))
+    rows = spread(df)
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
-    rebuilt = F.array_join(F.transform(pieces, lambda p: F.coalesce(shaped(p), p)), "")
-    return joined.withColumn("corrected", F.when(F.col("_fix").isNull(), F.col(text)).otherwise(rebuilt)).drop("_fix")
+    words = rows.select(id_column, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").rlike("^\\p{L}"))
+    found = words.withColumn("word", F.lower("piece")).join(broadcast_if_small(fixes), "word")
+    capital = F.substring("piece", 1, 1) != F.substring("word", 1, 1)
+    raised = F.concat(F.upper(F.substring("correction", 1, 1)), F.substring(F.col("correction"), F.lit(2), F.length("correction")))
+    fix = F.when(capital, raised).otherwise(F.col("correction"))
+    places = found.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("_at"))
+    joined = rows.join(places, id_column, "left").withColumn("_pieces", F.when(F.col("_at").isNotNull(), pieces))
+
+    def stretch(i: Column) -> Column:
+        """What lies between the corrected places i-1 and i, and the correction at i."""
+        start = F.when(i > 0, F.get("_at", i - 1)["pos"] + 1).otherwise(0)
+        end = F.coalesce(F.get("_at", i)["pos"], F.size("_pieces"))
+        kept = F.array_join(F.slice("_pieces", start + 1, end - start), "")
+        return F.concat(kept, F.coalesce(F.get("_at", i)["fix"], F.lit("")))
+
+    rebuilt = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_at")), stretch), "")
+    return joined.withColumn("corrected", F.when(F.col("_at").isNull(), F.col(text)).otherwise(rebuilt)).drop(
+        "_at", "_pieces"
+    )
 
 
 def _grams(text: Column) -> Column:
@@ -94,7 +110,7 @@ def _grams(text: Column) -> Column:
 
 def trigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """`(keys, gram, n)`: overlapping character triples of the letters of a text, spaces between words kept."""
-    return df.select(*keys, F.explode(_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return spread(df.select(*keys, text)).select(*keys, F.explode(_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def language_profiles(df: DataFrame, text: str, language: str) -> DataFrame:
@@ -118,7 +134,7 @@ def language_probability(df: DataFrame, id_column: str, text: str, language: str
     names = sorted(log_norm)
     logs = [F.sum(F.when(F.col(language) == l, F.log(F.col("n") + 1.0)).otherwise(0.0)).alias(f"g{i}") for i, l in enumerate(names)]
     profile = cut_lineage(counts.groupBy("gram").agg(*logs))
-    grams = df.select(id_column, F.explode(_grams(F.col(text))).alias("gram"))
+    grams = spread(df.select(id_column, text)).select(id_column, F.explode(_grams(F.col(text))).alias("gram"))
     sums = [F.sum(f"g{i}").alias(f"s{i}") for i in range(len(names))]
     scored = grams.join(broadcast_if_small(profile), "gram", "left").groupBy(id_column).agg(
         F.count(F.lit(1)).alias("total"), *sums

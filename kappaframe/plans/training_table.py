@@ -9,6 +9,7 @@ from kappaframe.constants import REDUCED_LABELS, RENAMES
 from kappaframe.functions import recode as C
 from kappaframe.functions.labels import canonical_label, item_id, lookup
 from kappaframe.operators.splits import held_out, stratified_folds
+from kappaframe.session import spread
 
 OUTPUT = ["id", "qid", "label", "text", "text1", "text2", "context_all", "r_label", "est_score", "fold"]
 
@@ -24,19 +25,29 @@ def recoded(raw: DataFrame, variant: str = "current") -> DataFrame:
     def cell(name: str) -> Column:
         return F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
 
-    qid = item_id(cell("accession"), cell("year"))
+    # step by step, so that a value used twice is one column and not two copies of its expression
+    rows = spread(raw).withColumns(
+        {"accession": item_id(cell("accession"), cell("year")), "id": cell("student_id"), "_answer": cell("predict_from")}
+    )
+    key, answer, none = F.col("accession"), F.col("_answer"), F.lit(None).cast("string")
+    current = variant == "current"
     slots = [(cell(f"source{i}"), cell(f"target{i}")) for i in range(1, 5)]
     choice = cell("partB_response_val"), cell("partB_eliminations")
-    answer = cell("predict_from")
-    chance_a = C.chance_part_a(cell("pta_rtr1"), [cell(f"selected{i}") for i in range(1, 5)])
-    chance_b = C.chance_part_b(cell("selected1.1"), cell("selected2.1"), answer)
-    age_text = C.age_choice_text(*choice, variant=variant)
     slope = C.slope_choice(cell("selected"), cell("eliminated"), answer, variant)
-    by_item = lambda table, default: _case(qid, table, default)
-    none = F.lit(None).cast("string")
-    current = variant == "current"
-    part_b = {"VH266015", "VH507804", "VH269384", "VH271613"}
-    grade = {**{q: cell("ptb_rtr1") for q in part_b}, "VH302907": cell("pta_rtr1")}
+    grade = {q: cell("ptb_rtr1") for q in ("VH266015", "VH507804", "VH269384", "VH271613")}
+    first_part = {
+        "VH269384": C.chance_part_a(cell("pta_rtr1"), [cell(f"selected{i}") for i in range(1, 5)]),
+        "VH271613": C.age_choice_text(*choice, variant=variant),
+    }
+    rows = rows.withColumns(
+        {
+            "label": canonical_label(_case(key, {**grade, "VH302907": cell("pta_rtr1")}, cell("score"))),
+            "text1": _case(key, first_part, none),
+        }
+    )
+    text = {"VH269384": C.chance_part_b(cell("selected1.1"), cell("selected2.1"), answer)}
+    if current:
+        text |= {"VH266510_2019": slope, "VH271613": C.joined_text(F.col("text1"), answer)}
     context = {
         "VH266015": C.graded_part("A", cell("pta_rtr1"), C.division(slots)),
         "VH302907": C.two_graded_parts(
@@ -48,29 +59,22 @@ def recoded(raw: DataFrame, variant: str = "current") -> DataFrame:
         "VH525628": C.least_value(slots),
         "VH266510_2017": cell("eliminations"),
         "VH266510_2019": F.lit("") if current else slope,
-        "VH269384": chance_a,
+        "VH269384": F.col("text1"),
         "VH271613": C.age_part_a(cell("pta_rtr1"), cell("partA_response_val"))
         if current
         else C.age_full_context(cell("pta_rtr1"), cell("partA_response_val"), *choice, variant=variant),
     }
-    text = {"VH269384": chance_b}
-    if current:
-        text |= {"VH266510_2019": slope, "VH271613": C.joined_text(age_text, answer)}
-    is_age = qid == "VH271613"
-    label = canonical_label(by_item(grade, cell("score")))
-    return raw.withColumns(
+    is_age = key == "VH271613"
+    rows = rows.withColumns(
         {
-            "accession": qid,
-            "label": label,
-            "predict_from": by_item(text, answer),
-            "text1": by_item({"VH269384": chance_a, "VH271613": age_text}, none),
-            "text2": by_item({"VH269384": chance_b, "VH271613": answer}, none),
-            "context_all": by_item(context, none),
-            "r_label": F.when(is_age, lookup(C.reversed_map(REDUCED_LABELS), label)),
+            "predict_from": _case(key, text, answer),
+            "context_all": _case(key, context, none),
+            "r_label": F.when(is_age, lookup(C.reversed_map(REDUCED_LABELS), F.col("label"))),
             "est_score": F.when(is_age, C.age_evidence(*choice)),
-            "id": cell("student_id"),
         }
     )
+    second_part = {"VH269384": F.col("predict_from"), "VH271613": answer}
+    return rows.withColumn("text2", _case(key, second_part, none)).drop("_answer")
 
 
 def _case(key: Column, table: dict[str, Column], default: Column) -> Column:

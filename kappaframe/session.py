@@ -48,6 +48,17 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 BROADCAST_ROWS = 1_000_000
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before work that is heavy per byte.
+
+    A small table is often one row group and so one task. Up to SPREAD_BYTES (by the size Spark expects) its
+    rows are dealt out; a larger table has partitions enough and is not shuffled.
+    """
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if expected <= SPREAD_BYTES else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

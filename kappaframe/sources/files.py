@@ -99,27 +99,28 @@ RUN_FILE = "([^/]*)/(val|test)_predict\\.csv"
 
 
 def read_run_outputs(spark: SparkSession, root: str) -> DataFrame:
-    """Every `<run>/val_predict.csv` and `<run>/test_predict.csv` below `root`, one table with `run` and `split`.
+    """Every `<run>/val_predict.csv` and `<run>/test_predict.csv` below `root` (files or folders of part files), one
+    table with `run` and `split`.
 
     Runs may hold different epoch columns and CSV is positional, so files are read per distinct header. Only
-    headers and file names come to the driver, one per file.
+    the list of outputs and one header line of each come to the driver.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True).text(root)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
-        .where(F.col("file").rlike(RUN_FILE) & F.col("value").rlike("(^|,)label_str(,|$)"))
-    )
-    files: dict[str, list[str]] = {}
-    for row in lines.groupBy("file").agg(F.min("value").alias("header")).collect():
-        files.setdefault(row["header"], []).append(row["file"])
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    output = F.regexp_extract("path", f"^(.*{RUN_FILE})", 1)
+    outputs = listing.select(output.alias("output")).where("output <> ''").distinct().collect()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(row["output"] for row in outputs):
+        header = tuple(spark.read.csv(path, header=True, escape='"').columns)
+        by_header.setdefault(header, []).append(path)
     frames = []
-    for header, paths in sorted(files.items()):
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split(",")])
-        raw = spark.read.schema(schema).csv(sorted(paths), header=True, escape='"')
-        path = F.col("_metadata.file_path")
+    for header, paths in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(schema).csv(paths, header=True, escape='"')
+        stem = F.substring_index(F.col("_metadata.file_path"), "_predict.csv", 1)
         frames.append(
             raw.select(
-                F.regexp_extract(path, RUN_FILE, 1).alias("run"), F.regexp_extract(path, RUN_FILE, 2).alias("split"),
+                F.substring_index(F.substring_index(stem, "/", -2), "/", 1).alias("run"),
+                F.substring_index(stem, "/", -1).alias("split"),
                 *[F.col(f"`{c}`") for c in schema.names],
             )
         )
