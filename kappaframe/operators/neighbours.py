@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from kappaframe.functions.seeded import mix_text
 from kappaframe.operators.splits import sample_per_key
-from kappaframe.session import cut_lineage, fresh
+from kappaframe.session import broadcast_if_small, cut_lineage, fresh
 
 BLOCK = 2048
 CELL = 2048
@@ -62,17 +62,20 @@ def _collapse(keyed: DataFrame, item: str) -> DataFrame:
     )
 
 
-def _salted(df: DataFrame, item: str, key: str, counts: DataFrame, block: int) -> DataFrame:
+def _salts(df: DataFrame, item: str, block: int) -> DataFrame:
+    """`(item, _salts)`: into how many blocks the rows of each item go. One row per item, broadcast while small."""
+    counts = df.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_salts"))
+    return broadcast_if_small(cut_lineage(counts))
+
+
+def _salted(df: DataFrame, item: str, salts: DataFrame) -> DataFrame:
     """Adds `_salt`, so that (item, _salt) holds about a block of rows."""
-    salts = counts.select(item, F.ceil(F.col("_n") / block).cast("bigint").alias("_salts"))
-    salted = df.join(salts, item)
-    return salted.withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.col("_salts"))).drop("_salts")
+    return df.join(salts, item).withColumn("_salt", F.pmod(F.xxhash64("vid"), F.col("_salts"))).drop("_salts")
 
 
-def _to_every_salt(df: DataFrame, item: str, counts: DataFrame, block: int) -> DataFrame:
-    salts = counts.select(item, F.ceil(F.col("_n") / block).cast("bigint").alias("_salts"))
-    last = F.col("_salts") - 1
-    return df.join(salts, item).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("_salts")
+def _to_every_salt(df: DataFrame, item: str, salts: DataFrame) -> DataFrame:
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
+    return df.join(salts, item).withColumn("_salt", every).drop("_salts")
 
 
 def pivots_of(vectors: DataFrame, item: str, cell: int = CELL) -> DataFrame:
@@ -84,7 +87,7 @@ def pivots_of(vectors: DataFrame, item: str, cell: int = CELL) -> DataFrame:
     )
     draw = mix_text(F.col("vid"), 3)
     # over-draw by share, then keep the first of each item in draw order: only a sample is ranked
-    likely = vectors.join(share, item).where(
+    likely = vectors.join(broadcast_if_small(cut_lineage(share)), item).where(
         draw < F.lit(2147483647) * F.least(F.lit(1.0), F.col("_share") * 4 + 64.0 / F.col("_n"))
     )
     order = Window.partitionBy(item).orderBy(draw, "vid")
@@ -95,10 +98,10 @@ def pivots_of(vectors: DataFrame, item: str, cell: int = CELL) -> DataFrame:
 
 def assign_cells(vectors: DataFrame, pivots: DataFrame, item: str, block: int = BLOCK) -> DataFrame:
     """`(item, vid, vec, cell, dist)`: nearest pivot of every vector, computed block by block."""
-    counts = vectors.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
+    salts = _salts(vectors, item, block)
     kept = [item, "vid", "vec", *[c for c in CARRIED if c in vectors.columns]]
-    left = _salted(vectors.select(*kept), item, "vid", counts, block)
-    right = _to_every_salt(pivots, item, counts, block)
+    left = _salted(vectors.select(*kept), item, salts)
+    right = _to_every_salt(pivots, item, salts)
 
     def nearest_pivot(rows: pa.Table, centres: pa.Table) -> pa.Table:
         out = rows.select(kept)
@@ -130,10 +133,10 @@ def visit_cells(
     distance of interest; cells that cannot reach it are left out. `radius`: the same with one distance for all.
     `cells` holds `(item, cell, pvec, n, r)`.
     """
-    counts = queries.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
+    salts = _salts(queries, item, block)
     kept = [item, "vid", "vec", *[c for c in CARRIED if c in queries.columns]]
-    left = _salted(queries.select(*kept, *([bound] if bound else [])), item, "vid", counts, block)
-    right = _to_every_salt(cells, item, counts, block)
+    left = _salted(queries.select(*kept, *([bound] if bound else [])), item, salts)
+    right = _to_every_salt(cells, item, salts)
 
     def choose(rows: pa.Table, centres: pa.Table) -> pa.Table:
         out = rows.select(kept)
@@ -166,7 +169,8 @@ def block_pairs(visits: DataFrame, members: DataFrame, item: str, block: int = B
     key = [item, "cell"]
     n_members = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_mb"))
     n_visits = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_vb"))
-    grid = n_members.join(n_visits, key)
+    # one row per cell: the blocks of its members and of its visitors
+    grid = broadcast_if_small(cut_lineage(n_members.join(n_visits, key)))
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     slot = lambda c: F.pmod(F.xxhash64(F.col("vid"), F.lit(11)), F.col(c))
     left = visits.join(grid, key).withColumn("_v", slot("_vb")).withColumn("_m", spread("_mb")).drop("_mb", "_vb")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kappaframe.constants import HELD_OUT_FOLDS
-from kappaframe.functions.seeded import mix
-from kappaframe.operators.ordering import numbered_by_draw, position_bucket
+from kappaframe.functions.seeded import mix, slice_of_draw
+from kappaframe.operators.ordering import after_ranks, bucket_sizes, draw_slices, position_bucket, with_order
 
 TEST_FOLD = 10
 
@@ -24,23 +24,17 @@ def stratified_folds(
     are numbered per position bucket, so a dominant item or label stays spread out.
     """
     bucket = position_bucket(pos) if bucket is None else bucket
-    rows = df.where(F.col(item).isNotNull() & F.col(label).isNotNull()).withColumn("_bucket", bucket)
     key = [item, label]
-    # the only pass over the rows besides the numbering itself; all that follows is as small as its output
-    sizes = rows.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_k"), F.min(pos).alias("_first"))
+    rows = with_order(df.where(F.col(item).isNotNull() & F.col(label).isNotNull()), F.col(pos), bucket)
+    sizes = bucket_sizes(rows, key, F.min("_order").alias("_first"))
     classes = sizes.groupBy(*key).agg(F.sum("_k").alias("_n"), F.min("_first").alias("_first"))
     earlier = Window.partitionBy(item).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     below = lambda x, i: F.floor((x + (folds - 1 - i)) / folds)
     shares = [below(F.col("_start") + F.col("_n"), i) - below(F.col("_start"), i) for i in range(folds)]
-    ends = [sum(shares[: i + 1], F.lit(0)) for i in range(folds - 1)]
-    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*key, "_bucket", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_offset"))
-    placed = offsets.join(classes.select(*key, F.array(*ends).alias("_ends")), key)
-    inside = Window.partitionBy(*key, "_bucket").orderBy(pos)
-    ranked = rows.join(placed, [*key, "_bucket"]).withColumn("_j", F.row_number().over(inside) + F.col("_offset"))
-    fold = sum(((F.col("_j") > F.col("_ends")[i]).cast("int") for i in range(folds - 1)), F.lit(0))
-    return ranked.withColumn("fold", fold).drop("_j", "_ends", "_offset", "_bucket")
+    ends = [sum(shares[: i + 1], F.lit(0)).cast("bigint").alias(f"r{i}") for i in range(folds - 1)]
+    placed = after_ranks(rows, key, sizes, classes.select(*key, *ends), folds - 1)
+    return placed.withColumnRenamed("_after", "fold")
 
 
 def hashed_folds(df: DataFrame, id_column: str, folds: int = 10, seed: int = 0) -> DataFrame:
@@ -68,25 +62,34 @@ def random_split(
     df: DataFrame, item: str, id_column: str, seed: int = 0, train: float = 0.8, val_of_rest: float = 0.5
 ) -> DataFrame:
     """Adds `split` with exact sizes per item: `floor(train * n)` rows train, half of the rest validate."""
-    ranked = numbered_by_draw(
-        df.where(F.col(item).isNotNull()), [item], mix(id_column, seed), id_column, "_r", size="_m"
-    )
-    n_train = F.floor(F.col("_m") * F.lit(train))
-    n_val = F.floor((F.col("_m") - n_train) * F.lit(val_of_rest))
-    part = F.when(F.col("_r") <= n_train, "train").when(F.col("_r") <= n_train + n_val, "val").otherwise("test")
-    return ranked.withColumn("split", part).drop("_r", "_m")
+    rows = _in_draw_order(df.where(F.col(item).isNotNull()), id_column, seed)
+    sizes = bucket_sizes(rows, [item])
+    n = F.sum("_k").alias("_n")
+    n_train = F.floor(F.col("_n") * F.lit(train)).cast("bigint")
+    n_val = F.floor((F.col("_n") - n_train) * F.lit(val_of_rest)).cast("bigint")
+    wanted = sizes.groupBy(item).agg(n).select(item, n_train.alias("r0"), (n_train + n_val).alias("r1"))
+    placed = after_ranks(rows, [item], sizes, wanted, 2)
+    part = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), F.col("_after") + 1)
+    return placed.withColumn("split", part).drop("_after")
+
+
+def _in_draw_order(df: DataFrame, id_column: str, seed: int) -> DataFrame:
+    draw = mix(id_column, seed)
+    slices = slice_of_draw(draw, draw_slices(df))
+    return with_order(df, F.struct(draw.alias("d"), F.col(id_column).alias("i")), slices)
 
 
 def sample_n(df: DataFrame, n: int, id_column: str, seed: int = 0) -> DataFrame:
-    """n rows without replacement: counts per draw slice first, then only the leading slices are read on."""
-    rows = df.withColumn("_all", F.lit(0))
-    return numbered_by_draw(rows, ["_all"], mix(id_column, seed), id_column, "_r", first=n).drop("_all", "_r")
+    """n rows without replacement."""
+    return sample_per_key(df.withColumn("_all", F.lit(0)), ["_all"], n, id_column, seed).drop("_all")
 
 
 def sample_per_key(df: DataFrame, keys: list[str], n: int, id_column: str, seed: int = 0) -> DataFrame:
-    """n rows per key without replacement (all rows of a smaller key)."""
-    rows = df.dropna(subset=keys)
-    return numbered_by_draw(rows, keys, mix(id_column, seed), id_column, "_r", first=n).drop("_r")
+    """n rows per key without replacement (all rows of a smaller key): those first in a seeded order of ids."""
+    rows = _in_draw_order(df.dropna(subset=keys), id_column, seed)
+    sizes = bucket_sizes(rows, keys)
+    wanted = sizes.groupBy(*keys).agg(F.least(F.sum("_k"), F.lit(n)).alias("r0"))
+    return after_ranks(rows, keys, sizes, wanted, 1).where("_after = 0").drop("_after")
 
 
 def fold_audit(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
