@@ -14,37 +14,50 @@ from kappaframe.session import spread
 OUTPUT = ["id", "qid", "label", "text", "text1", "text2", "context_all", "r_label", "est_score", "fold"]
 
 
+def _cells(raw: DataFrame):
+    present = set(raw.columns)
+
+    def cell(name: str) -> Column:
+        return F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
+
+    return cell
+
+
+def labelled(raw: DataFrame) -> DataFrame:
+    """Adds the item id and the label; cheap, so that folds can be worked out before any text is."""
+    cell = _cells(raw)
+    rows = spread(raw).withColumns({"accession": item_id(cell("accession"), cell("year")), "id": cell("student_id")})
+    grade = {q: cell("ptb_rtr1") for q in ("VH266015", "VH507804", "VH269384", "VH271613")}
+    grade["VH302907"] = cell("pta_rtr1")
+    return rows.withColumn("label", canonical_label(_case(F.col("accession"), grade, cell("score"))))
+
+
 def recoded(raw: DataFrame, variant: str = "current") -> DataFrame:
-    """Label, text and context of all items in one projection (no pass per item).
+    """Label, text and context of all items in one pass (no pass per item).
 
     `raw` holds text cells with NULL for missing; columns an item kind does not fill may be absent.
     `variant='0604'` gives the texts of the earlier script.
     """
-    present = set(raw.columns)
+    return with_texts(labelled(raw), variant)
 
-    def cell(name: str) -> Column:
-        return F.col(f"`{name}`") if name in present else F.lit(None).cast("string")
 
-    # step by step, so that a value used twice is one column and not two copies of its expression
-    rows = spread(raw).withColumns(
-        {"accession": item_id(cell("accession"), cell("year")), "id": cell("student_id"), "_answer": cell("predict_from")}
-    )
+def with_texts(rows: DataFrame, variant: str = "current") -> DataFrame:
+    """Adds texts and contexts to labelled rows.
+
+    Done step by step, so that a value used twice is one column and not two copies of its expression.
+    """
+    cell = _cells(rows)
+    rows = rows.withColumn("_answer", cell("predict_from"))
     key, answer, none = F.col("accession"), F.col("_answer"), F.lit(None).cast("string")
     current = variant == "current"
     slots = [(cell(f"source{i}"), cell(f"target{i}")) for i in range(1, 5)]
     choice = cell("partB_response_val"), cell("partB_eliminations")
     slope = C.slope_choice(cell("selected"), cell("eliminated"), answer, variant)
-    grade = {q: cell("ptb_rtr1") for q in ("VH266015", "VH507804", "VH269384", "VH271613")}
     first_part = {
         "VH269384": C.chance_part_a(cell("pta_rtr1"), [cell(f"selected{i}") for i in range(1, 5)]),
         "VH271613": C.age_choice_text(*choice, variant=variant),
     }
-    rows = rows.withColumns(
-        {
-            "label": canonical_label(_case(key, {**grade, "VH302907": cell("pta_rtr1")}, cell("score"))),
-            "text1": _case(key, first_part, none),
-        }
-    )
+    rows = rows.withColumn("text1", _case(key, first_part, none))
     text = {"VH269384": C.chance_part_b(cell("selected1.1"), cell("selected2.1"), answer)}
     if current:
         text |= {"VH266510_2019": slope, "VH271613": C.joined_text(F.col("text1"), answer)}
@@ -87,8 +100,8 @@ def _case(key: Column, table: dict[str, Column], default: Column) -> Column:
 
 def training_table(raw: DataFrame, pos: str = "pos", variant: str = "current") -> DataFrame:
     """Recoded rows with stratified folds per item, under their final column names."""
-    folded = stratified_folds(recoded(raw, variant), "accession", "label", pos)
-    return folded.withColumnsRenamed(RENAMES).select(*OUTPUT)
+    folded = stratified_folds(labelled(raw), "accession", "label", pos)
+    return with_texts(folded, variant).withColumnsRenamed(RENAMES).select(*OUTPUT)
 
 
 def unlabelled_table(raw: DataFrame, variant: str = "current", seed: int = 0) -> DataFrame:
