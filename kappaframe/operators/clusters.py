@@ -28,6 +28,7 @@ from kappaframe.operators.neighbours import (
     visit_cells,
 )
 from kappaframe.operators.ordering import numbered
+from kappaframe.operators.components import components
 from kappaframe.session import cut_lineage, spread
 
 NOISE = -1
@@ -102,36 +103,10 @@ def _links(visits: DataFrame, cores: DataFrame, item: str, eps: float, block: in
     )
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, key: list[str], max_rounds: int = 60) -> DataFrame:
-    """`(key, vid, comp)`: smallest node name of the component of every node, over `(key, a, b)` edges.
-
-    Every round takes the smallest label among a node and its neighbours and then follows the label once
-    more; both halves write to the checkpoint folder, and the rounds stop when no label changes.
-    """
-    both = cut_lineage(
-        edges.select(*key, "a", "b").union(edges.select(*key, F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b").distinct()
-    )
-    labels = cut_lineage(nodes.select(*key, "vid", F.col("vid").alias("comp")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("vid", "b"), [*key, "b"]).groupBy(*key, F.col("a").alias("vid"))
-        lowest = seen.agg(F.min("comp").alias("_l"))
-        stepped = labels.join(lowest, [*key, "vid"], "left").select(
-            *key, "vid", "comp", F.least("comp", F.coalesce("_l", "comp")).alias("_near")
-        )
-        # a label is itself a node: follow it to where it points now
-        jump = labels.select(*key, F.col("vid").alias("_near"), F.col("comp").alias("_far"))
-        moved = cut_lineage(
-            stepped.join(jump, [*key, "_near"], "left").select(
-                *key, "vid", F.least("_near", F.coalesce("_far", "_near")).alias("comp"),
-                (F.least("_near", F.coalesce("_far", "_near")) != F.col("comp")).alias("_moved"),
-            )
-        )
-        changed = moved.where("_moved").limit(1).count()
-        labels = moved.drop("_moved")
-        if changed == 0:
-            return labels
-    raise RuntimeError("components did not settle")
+def connected_components(edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """`(key, vid, comp)`: smallest node name of the component of every node, over `(key, a, b)` edges."""
+    linked = components(edges, key)
+    return nodes.select(*key, "vid").join(linked, [*key, "vid"], "left").withColumn("comp", F.coalesce("comp", "vid"))
 
 
 def density_clusters(

@@ -43,6 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return fresh(saved)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes `df` as Parquet below the shared folder and reads it back: no lineage, sizes known from the files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table made by `written` that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
