@@ -103,14 +103,14 @@ class Block:
         return np.diff(self.offsets)
 
 
-def cut(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], slice]]:
-    """A record batch in parts of about BLOCK_BYTES of text; a longer text is a part of its own."""
+def cut(ids: pa.Array, texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes], slice]]:
+    """A record batch in parts of about `size` bytes of text; a longer text is a part of its own."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1 + texts.offset)[texts.offset :])
     names = ids.to_numpy(zero_copy_only=False)
     at = 0
     while at < len(texts):
         end, total = at + 1, int(sizes[at])
-        while end < len(texts) and total + sizes[end] <= BLOCK_BYTES:
+        while end < len(texts) and total + sizes[end] <= size:
             total += int(sizes[end])
             end += 1
         yield names[at:end], texts.slice(at, end - at).to_pylist(), slice(at, end)
