@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from kappaframe.llm.words import as_bytes, cut, mixed, powers
 
@@ -295,37 +296,64 @@ def fit(docs: DataFrame, sample: int = TRAIN_DOCS, id_column: str = "doc_id", te
     return field
 
 
-def scan(docs: DataFrame, field: Field | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`(doc_id, spans)`, a row for each row of `docs`; spans are structs (start, kind, end) in code points, by start and
-    then by kind in the order of KINDS.
-
-    Null and empty texts have no spans, long texts are scanned whole, repeated rows alike; ids may be null. Kind `crf`
-    holds what the field adds: runs of tagged tokens that overlap no match of a pattern.
+def _spans_of(field: Field | None):
+    @arrow_udf("array<struct<start: long, kind: string, end: long>>")
+    def spans_of(texts: pa.Array) -> pa.Array:
+        out: list[list[tuple[int, str, int]]] = []
+        for _, part, _ in cut(pa.nulls(len(texts), pa.int64()), texts):
+            out += _part_spans(field, part)
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])))
+
+    return spans_of
+
+
+def _part_spans(field: Field | None, texts: list[bytes]) -> list[list[tuple[int, str, int]]]:
+    added: dict[int, list[tuple[int, int]]] = {}
+    if field is not None:
+        t = Tokens(texts)
+        tags = field.decode(t)
+        for a in np.flatnonzero(tags == 1).tolist():
+            b = a + 1
+            while b < len(tags) and tags[b] == 2 and t.doc[b] == t.doc[a]:
+                b += 1
+            d = int(t.doc[a])
+            added.setdefault(d, []).append((int(t.starts[a] - t.bounds[d]), int(t.ends[b - 1] - t.bounds[d])))
+    out = []
+    for d, text in enumerate(texts):
+        spans = base_spans(text.decode("utf-8", "replace"), text.translate(_LOWER))
+        base = list(spans)
+        for place in added.get(d, []):
+            s, e = _points(text, list(place))
+            if all(e <= x or y <= s for x, _, y in base):
+                spans.append((s, 3, e))
+        out.append([(s, KINDS[k], e) for s, k, e in sorted(spans)])
+    return out
+
+
+def with_spans(docs: DataFrame, field: Field | None, out: str = "spans", text_column: str = "text") -> DataFrame:
+    """`docs` with its secrets: structs (start, kind, end) in code points, by start and then by kind in the order of KINDS.
+
+    Null and empty texts have no spans, long texts are scanned whole, repeated rows alike; ids play no part and other
+    columns pass through. Kind `crf` holds what the field adds: runs of tagged tokens that overlap no match of a pattern.
     """
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_of = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
-        for batch, part, texts in _texts(batches):
-            added: dict[int, list[tuple[int, int]]] = {}
-            if field is not None:
-                t = Tokens(texts)
-                tags = field.decode(t)
-                for a in np.flatnonzero(tags == 1).tolist():
-                    b = a + 1
-                    while b < len(tags) and tags[b] == 2 and t.doc[b] == t.doc[a]:
-                        b += 1
-                    d = int(t.doc[a])
-                    added.setdefault(d, []).append((int(t.starts[a] - t.bounds[d]), int(t.ends[b - 1] - t.bounds[d])))
-            out = []
-            for d, text in enumerate(texts):
-                spans = base_spans(text.decode("utf-8", "replace"), text.translate(_LOWER))
-                for start, end in added.get(d, []):
-                    s, e = _points(text, [start, end])
-                    if all(e <= x or y <= s for x, _, y in spans):
-                        spans.append((s, 3, e))
-                out.append([(s, KINDS[k], e) for s, k, e in sorted(spans)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(part.start, len(texts)), pa.array(out, pa.list_(kind_of))], names=["doc_id", "spans"])
-
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), as_bytes(text_column).alias("_text"))
-    return rows.mapInArrow(task, "doc_id long, spans array<struct<start: long, kind: string, end: long>>")
+    return docs.withColumn(out, _spans_of(field)(as_bytes(text_column)))
+
+
+def redacted(docs: DataFrame, field: Field | None, mark: str = "[SECRET]", text_column: str = "text") -> DataFrame:
+    """`docs` with every span of its texts replaced by `mark` (overlapping spans by one); null texts stay null."""
+
+    @arrow_udf("string")
+    def without(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, part, _ in cut(pa.nulls(len(texts), pa.int64()), texts):
+            for text, spans in zip(part, _part_spans(field, part), strict=True):
+                string, kept, at = text.decode("utf-8", "replace"), [], 0
+                for start, _, end in spans:
+                    if start >= at:
+                        kept += [string[at:start], mark]
+                    at = max(at, end)
+                out.append("".join([*kept, string[at:]]) if spans else string)
+        return pa.array(out, pa.string())
+
+    clean = F.when(F.col(f"`{text_column}`").isNotNull(), without(as_bytes(text_column)))
+    return docs.withColumn(text_column, clean)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
-from kappaframe.llm.words import Block, cut, keyed, windows
+from kappaframe.llm.words import LAST_ID, Block, as_bytes, cut, keyed, windows
 from kappaframe.session import written
 
 
@@ -123,47 +124,54 @@ def repeated_windows(rows: DataFrame, window: int = 50) -> DataFrame:
     return later.unionByName(among)
 
 
-def _cleaned(window: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, counts = batch.column("starts").to_pylist(), batch.column("counts").to_pylist()
-            for _, texts, part in cut(batch.column("_id"), batch.column("_text")):
-                total, gone, kept = [], [], []
-                for j, text in enumerate(texts):
-                    words, row = text.split(), part.start + j
-                    total.append(len(words))
-                    if starts[row]:
-                        edge = np.zeros(len(words) + 1, dtype=np.int64)
-                        s = np.array(starts[row])
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, np.minimum(s + np.array(counts[row]) + window - 1, len(words)), -1)
-                        stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                        gone.append(len(words) - len(stay))
-                        words = [words[i] for i in stay]
-                    else:
-                        gone.append(0)
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.start, len(texts)), pa.array(total, pa.int64()),
-                     pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return task
-
-
-def remove_repeats(
-    docs: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text"
+def _cut_out(window: int):
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+    @arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
+    def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        total, gone, kept = [], [], []
+        for text, stretches in zip(texts, spans, strict=True):
+            words, removed = text.as_py().split(), 0
+            n = len(words)
+            if stretches.is_valid:
+                edge = np.zeros(n + 1, dtype=np.int64)
+                start, count = (stretches.values.field(i).to_numpy() for i in (0, 1))
+                np.add.at(edge, start, 1)
+                np.add.at(edge, np.minimum(start + count + window - 1, n), -1)
+                stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+                removed = n - len(stay)
+                words = [words[i] for i in stay]
+            total.append(n)
+            gone.append(removed)
+            kept.append(b" ".join(words))
+        parts = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.StructArray.from_arrays(parts, fields=list(kind))
+
+    return cut_out.asNondeterministic()
+
+
+def with_repeats_removed(
+    docs: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text", out: str = "_cut"
 ) -> DataFrame:
-    """`(doc_id, n_words, n_removed, kept)`, a row for each row of `docs`; `kept` is what remains, joined by one space.
+    """`docs` with a struct `out` of n_words, n_removed and kept: the words that remain, joined by one space.
 
     Every word goes that a window covers whose words also start in a document with a smaller id; windows are judged on
-    the input. Null and empty texts have no words; texts shorter than the window stay whole, however long a text is, it
+    the input. Null and empty texts have no words; texts shorter than the window stay whole; however long a text is, it
     is handled whole. A null id counts as larger than all others; rows with equal ids never remove each other's
-    words. An empty table gives an empty result; other columns are not read.
+    words, and equal rows are treated alike. An empty table gives an empty result; other columns pass through.
     """
+    keys = ["_id", "_t"]
     rows = keyed(docs, id_column, text_column)
-    spans = repeated_windows(rows, window).groupBy("_id", "_t").agg(F.collect_list(F.struct("start", "n")).alias("s"))
-    joined = rows.join(spans, ["_id", "_t"], "left").select(
-        "doc_id", "_id", "_text", F.col("s.start").alias("starts"), F.col("s.n").alias("counts")
-    )
-    return joined.mapInArrow(_cleaned(window), "doc_id long, n_words long, n_removed long, kept string")
+    spans = repeated_windows(rows, window).groupBy(*[F.col(c).alias(f"_sd{c}") for c in keys]).agg(
+        F.collect_list(F.struct("start", "n")).alias("_sd_spans")
+    )
+    text = as_bytes(text_column)
+    place = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST_ID))
+    joined = docs.join(spans, (place == F.col("_sd_id")) & (F.xxhash64(text) == F.col("_sd_t")), "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], _cut_out(window)(text, F.col("_sd_spans")).alias(out))
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """`(doc_id, n_words, n_removed, kept)`, a row for each row of `docs`; see `with_repeats_removed`."""
+    some = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    return with_repeats_removed(some, window).select("doc_id", "_cut.n_words", "_cut.n_removed", "_cut.kept")
