@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from kappaframe.llm.words import LAST_ID, Block, as_bytes, cut, keyed, windows
+from kappaframe.llm.words import LAST_ID, Block, as_bytes, cut, expanded, keyed, squeezed, windows
 from kappaframe.session import written
 
 
@@ -71,7 +71,7 @@ def _runs(window: int):
         for batch in batches:
             alive = batch.column("alive")
             for _, texts, part in cut(batch.column("_id"), batch.column("_text")):
-                block = Block(np.arange(len(texts)), texts)
+                block = Block(np.arange(len(texts)), [expanded(t) for t in texts])
                 found = Levels(block, window)
                 lists = alive.slice(part.start, part.stop - part.start)
                 sizes = lists.value_lengths().to_numpy()
@@ -106,18 +106,21 @@ def repeated_windows(rows: DataFrame, window: int = 50) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     seen = written(rows.mapInArrow(_anchors(window), "h long, _id long, _t long, at int"), "anchors")
-    both = seen.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h")
+    both = written(seen.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h"), "both")
     alive = seen.join(both, "h").groupBy("_id", "_t").agg(F.collect_list("at").alias("alive"))
-    near = rows.select("_id", "_t", "_text").join(alive, ["_id", "_t"])
+    near = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text")).join(alive, ["_id", "_t"])
     runs = written(
         near.mapInArrow(_runs(window), "run long, _id long, _t long, start int, n int, hashes array<long>"), "runs"
     )
-    first = runs.groupBy("run", "n").agg(F.min("_id").alias("first"))
+    # the reduced sides are written, so that both sides of their joins are plain shuffles that Spark may split
+    first = written(runs.groupBy("run", "n").agg(F.min("_id").alias("first")), "first")
     told = runs.select("run", "n", "_id", "_t", "start").join(first, ["run", "n"])
     later = told.where("_id > first").select("_id", "_t", "start", "n")
     heads = runs.join(first, ["run", "n"]).where("_id = first").select("_id", "_t", "start", "hashes")
     single = heads.select("_id", "_t", "start", F.posexplode("hashes").alias("i", "h"))
-    least = single.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h", "lo")
+    least = written(
+        single.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h", "lo"), "least"
+    )
     among = single.join(least, "h").where("_id > lo").select(
         "_id", "_t", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n")
     )

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 WHITESPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1 << 20
@@ -122,6 +123,21 @@ def blocks(batch: pa.RecordBatch, id_column: str, text_column: str, lower: bool
         yield Block(ids, [t.lower() for t in texts] if lower else texts)
 
 
+def squeezed(text: Column) -> Column:
+    """Bytes made small for a shuffle, with their length in front; `expanded` gives them back."""
+
+    @arrow_udf("binary")
+    def squeeze(values: pa.Array) -> pa.Array:
+        codec = pa.Codec("zstd", 1)
+        return pa.array([len(v).to_bytes(8, "little") + codec.compress(v, asbytes=True) for v in values.to_pylist()], pa.binary())
+
+    return squeeze(text)
+
+
+def expanded(value: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(value[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+
+
 LAST_ID = (1 << 63) - 1
 
 
