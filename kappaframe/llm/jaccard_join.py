@@ -9,8 +9,9 @@ Points meet in pages: two linked sets share one of the first n - ceil(t n) + 1 s
 order, so a page holds the points that share such a shingle. The order puts very frequent shingles last (a bounded list
 of heavy hitters; it changes only how much work there is). Equal sets are one point. A first round links every
 page's points with the page's smallest point, which joins groups of copies without looking at their pairs; a second
-round searches only the pages that still hold several components, with the R-tree, for pairs across components. No
-link between components is lost and no group is paired with itself.
+round searches only the pages that still hold several components for pairs across components: pages of up to LEAF points
+are one leaf, larger ones are searched with an R-tree. Pairs that share too little of their prefixes to link are left
+out before any set is fetched. No link between components is lost and no group is paired with itself.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kappaframe.llm.words import Block, cut, keyed, mixed, windows
+from kappaframe.llm.words import LAST_ID, Block, cut, expanded, keyed, mixed, squeezed, windows
 from kappaframe.operators.components import components
 from kappaframe.session import written
 
 GROUPS = 64
-HEAVY = 1 << 16  # heavy hitters kept, so the list that goes to tasks has at most 512 KB
+HEAVY = 1 << 17  # frequent shingles kept from each of two passes, so the list that goes to tasks has at most 2 MB
+SELDOM, CROWD = 32, 6
+SHARD_ROWS = 4096
 LEAF = 16
 PAGE = 256
 
@@ -67,10 +70,11 @@ def set_names(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return sizes, mixed(total + sizes.astype(np.uint64)).view(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], lower: bool):
+def _blocks(batches: Iterator[pa.RecordBatch], lower: bool, small: bool = False):
     for batch in batches:
         ids, marks = batch.column("_id"), batch.column("_t")
         for _, texts, part in cut(ids, batch.column("_text")):
+            texts = [expanded(t) for t in texts] if small else texts
             yield Block(np.arange(len(texts)), [t.lower() for t in texts] if lower else texts), ids.to_numpy()[part], marks.to_numpy()[part]
 
 
@@ -135,10 +139,15 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
             kept = np.where(new, sizes, 0)
             first = np.concatenate([[0], np.cumsum(kept)[:-1]])
             rank = np.arange(len(h)) - first[doc]
-            take = rank < sizes[doc] + (-percent * sizes[doc]) // 100 + 1
+            p = sizes + (-percent * sizes) // 100 + 1
+            take = rank < p[doc]
+            last = first + np.where(new, p, 1) - 1
+            turn = np.where(common[order], np.uint64(1) << np.uint64(63), np.uint64(0)) | (h >> np.uint64(1))
+            end = turn[np.minimum(last, max(len(turn) - 1, 0))] if len(turn) else np.zeros(len(ids), np.uint64)
+            end = (end ^ (np.uint64(1) << np.uint64(63))).view(np.int64)  # signed, in the same order
             doc, h = doc[take], h[take]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(sid[doc]), pa.array(sizes[doc])], names=["h", "sid", "n"]
+                [pa.array(h.view(np.int64)), pa.array(sid[doc]), pa.array(sizes[doc]), pa.array(end[doc])], names=["h", "sid", "n", "last"]
             )
 
     return task
@@ -146,7 +155,7 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
 
 def _points(k: int, lower: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _ in _blocks(batches, lower):
+        for block, _, _ in _blocks(batches, lower, small=True):
             doc, h = shingles(block, k)
             sizes, sid = set_names(doc, h, len(block.ids))
             vec = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * GROUPS)
@@ -202,12 +211,11 @@ class RTree:
         self.first, self.last = first, np.minimum(first + LEAF, len(n))
         self.low, self.high = self.n[first], self.n[self.last - 1]
         self.top = np.maximum.reduceat(self.vec, first, axis=0)
-        least, most = np.minimum.reduceat(self.comp, first), np.maximum.reduceat(self.comp, first)
-        self.single = np.where(least == most, least, -1)
+        self.least, self.most = np.minimum.reduceat(self.comp, first), np.maximum.reduceat(self.comp, first)
 
-    def search(self, n: int, vec: np.ndarray, comp: int, percent: int) -> np.ndarray:
+    def search(self, n: int, vec: np.ndarray, comp: np.int64, percent: int) -> np.ndarray:
         """Points of other components that may link with one point."""
-        open_ = (100 * self.high >= percent * n) & (percent * self.low <= 100 * n) & (self.single != comp)
+        open_ = (100 * self.high >= percent * n) & (percent * self.low <= 100 * n) & ((self.least != comp) | (self.most != comp))
         nodes = np.flatnonzero(open_)
         bound = np.minimum(self.top[nodes], vec).sum(axis=1, dtype=np.int64)
         nodes = nodes[(100 + percent) * bound >= percent * (n + self.low[nodes])]
@@ -221,23 +229,63 @@ class RTree:
 
 def _searched(percent: int):
     def task(group: pa.Table) -> pa.Table:
-        sid, n, comp, page = (group.column(c).to_numpy() for c in ("sid", "n", "comp", "page"))
+        h, sid, n, comp, page, p1, p2 = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp", "page", "p1", "p2"))
         vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        comp = np.unique(comp, return_inverse=True)[1]
-        low, high = int(group.column("p1")[0].as_py()), int(group.column("p2")[0].as_py())
-        mine, theirs = np.flatnonzero(page == low), np.flatnonzero(page == high)
-        tree = RTree(n[theirs], vec[theirs], comp[theirs])
+        order = np.lexsort((p2, p1, h))
+        ids = np.stack([h[order], p1[order], p2[order]])
         a, b = [], []
-        for i in mine:
-            for j in theirs[tree.search(int(n[i]), vec[i], int(comp[i]), percent)]:
-                if low < high or sid[i] < sid[j]:
-                    a.append(min(sid[i], sid[j]))
-                    b.append(max(sid[i], sid[j]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for visit in np.split(order, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1):
+            if len(visit) < 2:
+                continue
+            same = p1[visit[0]] == p2[visit[0]]
+            mine, theirs = visit[page[visit] == p1[visit[0]]], visit[page[visit] == p2[visit[0]]]
+            tree = RTree(n[theirs], vec[theirs], comp[theirs])
+            for i in mine:
+                near = theirs[tree.search(int(n[i]), vec[i], comp[i], percent)]
+                near = near[sid[near] > sid[i]] if same else near
+                a.append(np.minimum(sid[i], sid[near]))
+                b.append(np.maximum(sid[i], sid[near]))
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+
+    return task
+
+
+def _met(percent: int):
+    """Pairs across components within small pages, for every page they share."""
+
+    def task(group: pa.Table) -> pa.Table:
+        h, sid, n, comp = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp"))
+        order = np.lexsort((sid, h))
+        h, sid, n, comp = h[order], sid[order], n[order], comp[order]
+        a, b = [], []
+        for step in range(1, LEAF):
+            x, y = np.arange(len(h) - step), np.arange(step, len(h))
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            ok = (h[x] == h[y]) & (comp[x] != comp[y]) & (100 * low >= percent * high)
+            a.append(sid[x[ok]])
+            b.append(sid[y[ok]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return task
 
 
+def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs `(a, b)` of `(a, b, count)` that share enough of their prefixes.
+
+    Of the two, the set whose prefix ends first has every shingle of its prefix that is in the other set also in the
+    other's prefix. So it lacks its other prefix shingles in the overlap, and it may lack n - t/(1+t) (n_a + n_b) at most.
+    """
+    side = lambda c: facts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("last").alias(f"last_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    prefix = lambda n: n - F.ceil(percent * n / F.lit(100)) + 1
+    lacks = lambda n: prefix(F.col(n)) - F.col("count") <= F.col(n) - need
+    ok = F.when(F.col("last_a") < F.col("last_b"), lacks("n_a")).when(F.col("last_b") < F.col("last_a"), lacks("n_b")).otherwise(True)
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(fits & ok).select("a", "b")
+
+
 def _verify(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def side(name: str, *columns: str) -> DataFrame:
         return points.select(F.col("sid").alias(name), *[F.col(c).alias(t) for c, t in columns])
@@ -260,51 +308,63 @@ def jaccard_classes(
     columns are not read.
     """
     rows = keyed(docs, id_column, text_column)
-    named = written(
-        rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets"
-    )
+    named = written(rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets")
     sets = named.where("kind = 0").select("_id", "_t", "sid", "n")
-    often = named.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where("n >= 32")
-    heavy = np.array([r[0] for r in often.orderBy(F.desc("n"), "sid").limit(HEAVY).select("sid").collect()], dtype=np.int64)
-    heavy = np.sort(heavy.view(np.uint64))
-    prefix = rows.mapInArrow(_rare_first(k, lower, heavy, percent), "h long, sid long, n long")
+    often = named.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(f"n >= {SELDOM}").withColumnRenamed("sid", "h")
+    heavy = _hashes(often)
+
+    def prefixes(last: np.ndarray) -> DataFrame:
+        return rows.mapInArrow(_rare_first(k, lower, last, percent), "h long, sid long, n long, last long")
+
+    # what is still shared by many goes to the end of the order as well, and prefixes are drawn anew
+    crowded = prefixes(heavy).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {CROWD}")
+    heavy = np.union1d(heavy, _hashes(crowded))
     same = Window.partitionBy("h")
     live = written(
-        prefix.select("h", "sid", "n", F.min(F.struct("sid", "n")).over(same).alias("m"), F.max("sid").over(same).alias("hi"))
-        .where("m.sid < hi").select("h", "sid", "n", F.col("m.sid").alias("lead"), F.col("m.n").alias("lead_n")).distinct(),
-        "live",
-    )
-    fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
-    stars = live.where("sid <> lead").where(fits).select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+        prefixes(heavy).distinct().select("*", F.min("sid").over(same).alias("lead"), F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "live"
+    )
+    facts = written(live.select("sid", "n", "last").dropDuplicates(["sid"]), "facts")
     one = sets.groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"))
-    wanted = live.select("sid").distinct().join(one, "sid").select("r._id", "r._t")
-    points = written(
-        rows.select("_id", "_t", "_text").join(wanted, ["_id", "_t"]).mapInArrow(_points(k, lower), "sid long, n long, vec binary, members binary")
-        .dropDuplicates(["sid"]),
-        "points",
-    )
-    links = written(_verify(stars, points, percent), "links")
+    texts = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text"))
+
+    def points_of(wanted: DataFrame) -> DataFrame:
+        keys = wanted.join(one, "sid").select("r._id", "r._t")
+        made = texts.join(keys, ["_id", "_t"]).mapInArrow(_points(k, lower), "sid long, n long, vec binary, members binary")
+        return written(made.dropDuplicates(["sid"]), "points")
+
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    shared = live.where("sid <> lead").groupBy(F.col("lead").alias("a"), F.col("sid").alias("b")).count()
+    stars = written(_possible(shared, facts, percent), "stars")
+    links = written(_verify(stars, points_of(ends_of(stars)), percent), "links")
     parts = written(components(links).select(F.col("vid").alias("sid"), "comp"), "parts")
-    spread = live.select("h", "sid", "n").join(parts, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed_pages = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
+    spread = live.select("h", "sid", "n", "m").join(parts, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    open_pages = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     place = (F.row_number().over(Window.partitionBy("h").orderBy("n", "sid")) - 1).cast("long")
-    paged = written(
-        spread.join(mixed_pages, "h").withColumn("page", F.floor(place / PAGE)), "paged"
-    )
-    ranges = paged.groupBy("h", "page").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    one_, other = ranges.alias("x"), ranges.alias("y")
-    visits = one_.join(other, F.expr("x.h = y.h AND x.page <= y.page")).where(
+    paged = written(spread.join(open_pages, "h").withColumn("page", F.floor(place / PAGE)), "paged")
+    shards = F.lit(1 + paged.count() // SHARD_ROWS)
+    small, large = paged.where(f"m <= {LEAF}"), paged.where(f"m > {LEAF}")
+    met = small.groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long")
+    ranges = large.groupBy("h", "page").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    visits = ranges.alias("x").join(ranges.alias("y"), F.expr("x.h = y.h AND x.page <= y.page")).where(
         f"100 * x.hi >= {percent} * y.lo AND NOT (x.c1 = x.c2 AND y.c1 = y.c2 AND x.c1 = y.c1)"
     ).select("x.h", F.col("x.page").alias("p1"), F.col("y.page").alias("p2"))
     ends = visits.select("h", "p1", "p2", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("page"))
+    vectors = points_of(large.select("sid").distinct()).select("sid", "vec")
     searched = (
-        ends.join(paged, ["h", "page"]).join(points.select("sid", "vec"), "sid").groupBy("h", "p1", "p2")
-        .applyInArrow(_searched(percent), "a long, b long").distinct()
+        ends.join(large, ["h", "page"]).join(vectors, "sid").groupBy(F.pmod(F.xxhash64("h", "p1", "p2"), shards).alias("shard"))
+        .applyInArrow(_searched(percent), "a long, b long")
     )
-    across = _verify(searched, points, percent)
-    linked = components(links.unionByName(across)).select(F.col("vid").alias("sid"), "comp")
+    across = written(_possible(met.unionByName(searched).groupBy("a", "b").count(), facts, percent), "across")
+    links = links.unionByName(_verify(across, points_of(ends_of(across)), percent))
+    linked = components(links).select(F.col("vid").alias("sid"), "comp")
     whole = sets.join(linked, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
     first = whole.where("n > 0").groupBy("comp").agg(F.min("_id").alias("component_id"))
     out = whole.join(first, "comp", "left").select("_id", "n", F.coalesce("component_id", "_id").alias("component_id"))
-    known = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c))
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
+
+
+def _hashes(counted: DataFrame) -> np.ndarray:
+    """The commonest shingles of `(h, n)`, HEAVY at most."""
+    top = counted.orderBy(F.desc("n"), "h").limit(HEAVY).select("h").collect()
+    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
