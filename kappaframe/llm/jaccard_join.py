@@ -31,6 +31,7 @@ GROUPS = 64
 HEAVY = 1 << 17  # frequent shingles kept from each of two passes, so the list that goes to tasks has at most 2 MB
 SELDOM, CROWD = 32, 6
 SHARD_ROWS = 4096
+SENT_ROWS = 1 << 19  # keys (16 bytes each) of wanted texts are sent to the texts up to this count; beyond, both are shuffled
 LEAF = 16
 PAGE = 256
 
@@ -144,10 +145,10 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
             last = first + np.where(new, p, 1) - 1
             turn = np.where(common[order], np.uint64(1) << np.uint64(63), np.uint64(0)) | (h >> np.uint64(1))
             end = turn[np.minimum(last, max(len(turn) - 1, 0))] if len(turn) else np.zeros(len(ids), np.uint64)
-            end = (end ^ (np.uint64(1) << np.uint64(63))).view(np.int64)  # signed, in the same order
+            end = ((end >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)  # in the same order, with ties
             doc, h = doc[take], h[take]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(sid[doc]), pa.array(sizes[doc]), pa.array(end[doc])], names=["h", "sid", "n", "last"]
+                [pa.array(h.view(np.int64)), pa.array(sid[doc]), pa.array(sizes[doc].astype(np.int32)), pa.array(end[doc])], names=["h", "sid", "n", "last"]
             )
 
     return task
@@ -230,6 +231,7 @@ class RTree:
 def _searched(percent: int):
     def task(group: pa.Table) -> pa.Table:
         h, sid, n, comp, page, p1, p2 = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp", "page", "p1", "p2"))
+        n = n.astype(np.int64)
         vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS)
         order = np.lexsort((p2, p1, h))
         ids = np.stack([h[order], p1[order], p2[order]])
@@ -256,6 +258,7 @@ def _met(percent: int):
 
     def task(group: pa.Table) -> pa.Table:
         h, sid, n, comp = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp"))
+        n = n.astype(np.int64)
         order = np.lexsort((sid, h))
         h, sid, n, comp = h[order], sid[order], n[order], comp[order]
         a, b = [], []
@@ -314,21 +317,22 @@ def jaccard_classes(
     heavy = _hashes(often)
 
     def prefixes(last: np.ndarray) -> DataFrame:
-        return rows.mapInArrow(_rare_first(k, lower, last, percent), "h long, sid long, n long, last long")
+        return rows.mapInArrow(_rare_first(k, lower, last, percent), "h long, sid long, n int, last int")
 
     # what is still shared by many goes to the end of the order as well, and prefixes are drawn anew
     crowded = prefixes(heavy).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {CROWD}")
     heavy = np.union1d(heavy, _hashes(crowded))
     same = Window.partitionBy("h")
     live = written(
-        prefixes(heavy).distinct().select("*", F.min("sid").over(same).alias("lead"), F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "live"
+        prefixes(heavy).repartition("h").distinct().select("*", F.min("sid").over(same).alias("lead"), F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "live"
     )
     facts = written(live.select("sid", "n", "last").dropDuplicates(["sid"]), "facts")
     one = sets.groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"))
     texts = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text"))
 
     def points_of(wanted: DataFrame) -> DataFrame:
-        keys = wanted.join(one, "sid").select("r._id", "r._t")
+        keys = written(wanted.join(one, "sid").select("r._id", "r._t"), "wanted")
+        keys = F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
         made = texts.join(keys, ["_id", "_t"]).mapInArrow(_points(k, lower), "sid long, n long, vec binary, members binary")
         return written(made.dropDuplicates(["sid"]), "points")
 
