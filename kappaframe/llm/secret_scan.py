@@ -240,9 +240,9 @@ def fit(docs: DataFrame, sample: int = TRAIN_DOCS, id_column: str = "doc_id", te
     """A field trained on windows around matches of the patterns and on windows elsewhere, from at most `sample` texts
     with a match and as many without, drawn by a hash of the text. None if nothing matches."""
     text = as_bytes(text_column)
-    seen = docs.select(text.alias("_text"), F.xxhash64(text).alias("_t")).dropDuplicates(["_t"])
-    plain = F.col("_text").cast("string")
-    marked = seen.withColumn("hit", plain.rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i)(passw|secret|token|api_?key)").cast("int"))
+    plain = F.col(f"`{text_column}`").cast("string")
+    hit = F.coalesce(plain.rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i)(passw|secret|token|api_?key)"), F.lit(False)).cast("int")
+    marked = docs.select(F.xxhash64(text).alias("_t"), hit.alias("hit")).distinct()
     # an order by hash with a limit keeps a bounded number of rows in every task; windows are cut out before they leave it
     drawn = marked.where("hit = 1").select("_t").orderBy("_t").limit(sample).unionByName(
         marked.where("hit = 0").select("_t").orderBy("_t").limit(sample)
