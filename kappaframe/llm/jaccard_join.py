@@ -8,7 +8,7 @@ t / (1 + t) of both sizes, so most nodes and points are passed over and only sur
 Points meet in pages: two linked sets share one of the first n - ceil(t n) + 1 shingles of each under any common
 order, so a page holds the points that share such a shingle. The order puts very frequent shingles last (a bounded list
 of heavy hitters; it changes only how much work there is). Equal sets are one point. A first round links every
-page's points with the page's smallest point, which joins groups of copies without looking at their pairs; a second
+page's points with the page's best connected point, which joins groups of copies without looking at their pairs; a second
 round searches only the pages that still hold several components for pairs across components: pages of up to LEAF points
 are one leaf, larger ones are searched with an R-tree. Pairs that share too little of their prefixes to link are left
 out before any set is fetched. No link between components is lost and no group is paired with itself.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kappaframe.llm.words import LAST_ID, Block, cut, expanded, keyed, mixed, squeezed, windows
+from kappaframe.llm.words import LAST_ID, Block, arrow_rows, cut, expanded, keyed, mixed, squeezed, windows
 from kappaframe.operators.components import components
 from kappaframe.session import written
 
@@ -310,6 +310,11 @@ def jaccard_classes(
     member has one. Repeated rows are equal sets and so one component. An empty table gives an empty result; other
     columns are not read.
     """
+    with arrow_rows(docs.sparkSession, 500):
+        return _classes(docs, k, percent, lower, id_column, text_column)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str, text_column: str) -> DataFrame:
     rows = keyed(docs, id_column, text_column)
     named = written(rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets")
     sets = named.where("kind = 0").select("_id", "_t", "sid", "n")
@@ -323,9 +328,11 @@ def jaccard_classes(
     crowded = prefixes(heavy).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {CROWD}")
     heavy = np.union1d(heavy, _hashes(crowded))
     same = Window.partitionBy("h")
-    live = written(
-        prefixes(heavy).repartition("h").distinct().select("*", F.min("sid").over(same).alias("lead"), F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "live"
-    )
+    met_rows = written(prefixes(heavy).repartition("h").distinct().select("*", F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "met")
+    # a page is led by the point that meets most others: of a group of copies most likely the one they were made from
+    fame = met_rows.groupBy("sid").agg(F.sum("m").alias("fame"))
+    best = F.max(F.struct("fame", "sid")).over(same)["sid"]
+    live = written(met_rows.join(fame, "sid").select("h", "sid", "n", "last", "m", best.alias("lead")), "live")
     facts = written(live.select("sid", "n", "last").dropDuplicates(["sid"]), "facts")
     one = sets.groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"))
     texts = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text"))
@@ -337,7 +344,7 @@ def jaccard_classes(
         return written(made.dropDuplicates(["sid"]), "points")
 
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    shared = live.where("sid <> lead").groupBy(F.col("lead").alias("a"), F.col("sid").alias("b")).count()
+    shared = live.where("sid <> lead").groupBy(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).count()
     stars = written(_possible(shared, facts, percent), "stars")
     links = written(_verify(stars, points_of(ends_of(stars)), percent), "links")
     parts = written(components(links).select(F.col("vid").alias("sid"), "comp"), "parts")

@@ -7,10 +7,11 @@ bytes inside a character, so texts are handled as bytes throughout. Hashes are t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -123,6 +124,18 @@ def blocks(batch: pa.RecordBatch, id_column: str, text_column: str, lower: bool
         yield Block(ids, [t.lower() for t in texts] if lower else texts)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch while texts or sets are heavy: what a task holds at once stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def squeezed(text: Column) -> Column:
     """Bytes made small for a shuffle, with their length in front; `expanded` gives them back."""
 
