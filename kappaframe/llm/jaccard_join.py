@@ -30,7 +30,7 @@ from kappaframe.session import written
 GROUPS = 64
 HEAVY = 1 << 17  # frequent shingles kept from each of two passes, so the list that goes to tasks has at most 2 MB
 SELDOM, CROWD = 32, 6
-SHARD_ROWS = 4096
+SHARD_ROWS = 1 << 15
 SENT_ROWS = 1 << 19  # keys (16 bytes each) of wanted texts are sent to the texts up to this count; beyond, both are shuffled
 LEAF = 16
 PAGE = 256
@@ -228,6 +228,14 @@ class RTree:
         return self.order[at[ok]]
 
 
+def _tallied(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Pairs with how often each came up, the smaller name first."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
+    low, high = np.minimum(a, b)[order], np.maximum(a, b)[order]
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else order
+    return pa.table({"a": low[first], "b": high[first], "count": np.diff(np.append(first, len(low))).astype(np.int64)})
+
+
 def _searched(percent: int):
     def task(group: pa.Table) -> pa.Table:
         h, sid, n, comp, page, p1, p2 = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp", "page", "p1", "p2"))
@@ -248,7 +256,7 @@ def _searched(percent: int):
                 a.append(np.minimum(sid[i], sid[near]))
                 b.append(np.maximum(sid[i], sid[near]))
         none = [np.empty(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+        return _tallied(np.concatenate(a or none), np.concatenate(b or none))
 
     return task
 
@@ -268,7 +276,7 @@ def _met(percent: int):
             ok = (h[x] == h[y]) & (comp[x] != comp[y]) & (100 * low >= percent * high)
             a.append(sid[x[ok]])
             b.append(sid[y[ok]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+        return _tallied(np.concatenate(a), np.concatenate(b))
 
     return task
 
@@ -354,7 +362,7 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     paged = written(spread.join(open_pages, "h").withColumn("page", F.floor(place / PAGE)), "paged")
     shards = F.lit(1 + paged.count() // SHARD_ROWS)
     small, large = paged.where(f"m <= {LEAF}"), paged.where(f"m > {LEAF}")
-    met = small.groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long")
+    met = small.groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long, count long")
     ranges = large.groupBy("h", "page").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     visits = ranges.alias("x").join(ranges.alias("y"), F.expr("x.h = y.h AND x.page <= y.page")).where(
         f"100 * x.hi >= {percent} * y.lo AND NOT (x.c1 = x.c2 AND y.c1 = y.c2 AND x.c1 = y.c1)"
@@ -363,9 +371,9 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     vectors = points_of(large.select("sid").distinct()).select("sid", "vec")
     searched = (
         ends.join(large, ["h", "page"]).join(vectors, "sid").groupBy(F.pmod(F.xxhash64("h", "p1", "p2"), shards).alias("shard"))
-        .applyInArrow(_searched(percent), "a long, b long")
+        .applyInArrow(_searched(percent), "a long, b long, count long")
     )
-    across = written(_possible(met.unionByName(searched).groupBy("a", "b").count(), facts, percent), "across")
+    across = written(_possible(met.unionByName(searched).groupBy("a", "b").agg(F.sum("count").alias("count")), facts, percent), "across")
     links = links.unionByName(_verify(across, points_of(ends_of(across)), percent))
     linked = components(links).select(F.col("vid").alias("sid"), "comp")
     whole = sets.join(linked, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
