@@ -17,6 +17,7 @@ from kappaframe.operators import selection as S
 from kappaframe.operators import splits as P
 from kappaframe.operators import thresholds as T
 from kappaframe.operators import wording as W
+from kappaframe.operators.components import components
 from kappaframe.operators.ordering import numbered, position_bucket, running_sums
 
 
@@ -239,6 +240,15 @@ def test_components(spark):
     assert comps["n030"] == "n000" and comps["n060"] == "n031" and comps["n061"] == "n061"
 
 
+@pytest.mark.parametrize("n", [200, 4000])
+def test_components_of_shuffled_path(spark, n):
+    """A path in random order: the number of rounds follows the logarithm of its length."""
+    order = np.random.default_rng(1).permutation(n).tolist()
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(None, 1), (2, 2)], "a bigint, b bigint")
+    got = components(edges).collect()
+    assert len(got) == n and {r["comp"] for r in got} == {0}
+
+
 def test_few_shot(spark):
     rows = [(i, "hot" if i % 10 else "small", i % 3) for i in range(200)] + [(900, "single", 1)]
     df = spark.createDataFrame([(a, b, c, f"t{a}") for a, b, c in rows], "id bigint, qid string, label bigint, text string")
