@@ -36,8 +36,10 @@ def vector_key(vector: Column) -> Column:
 
 
 def unit_rows(table: pa.Table, column: str) -> np.ndarray:
-    """Matrix of the list column with rows scaled to length 1 (zero rows stay zero)."""
+    """Matrix of the list column with rows scaled to length 1 (zero rows stay zero); raises on null or ragged vectors."""
     lists = table.column(column).combine_chunks()
+    if lists.null_count or len(lists.value_lengths().unique()) > 1:
+        raise ValueError("vectors that are null or of several lengths cannot be compared; leave them out first")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
