@@ -12,6 +12,7 @@ from kappaframe.llm import (
     embedding_dedup,
     jaccard_join,
     lm_scoring,
+    oracles,
     packing,
     quality_rules,
     secret_scan,
@@ -23,9 +24,14 @@ from kappaframe.llm import (
 HELD_OUT = 2
 TOXIC_FROM = 0.3
 VOCABULARY_FILE = "byte_bpe_50k.json"
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. With `documents` the session's Arrow batches shrink to TEXT_ROWS rows: whole texts are heavy, and a
+    batch stands in the JVM and in Python at once; plans are made later, so this cannot be undone here."""
+    if name == "documents":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -101,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe, op9_embedding_dedup, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -93,7 +93,7 @@ def text_features(texts: list[bytes], lexicon: np.ndarray, persons: np.ndarray)
         of = np.searchsorted(shift, r_starts[_member(restored, lexicon)], "right") - 1
         out[:, 7] = np.maximum(np.bincount(of, minlength=n)[:n] - hits, 0)
     kind = _CLASS[raw]
-    cum = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[bounds])
+    cum = lambda flag: np.add.reduceat(flag, bounds[:-1], dtype=np.int64)
     letters = np.maximum(cum((kind == 1) | (kind == 2)), 1)
     length = np.maximum(np.diff(bounds) - 1, 1)
     out[:, 8] = cum(kind == 1) / letters
