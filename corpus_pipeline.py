@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from kappaframe.llm import jaccard_join, packing, secret_scan, substring_dedup, toxicity
 from kappaframe.llm.queries import HELD_OUT, fold, table
+from kappaframe.llm.words import small_batches
 from kappaframe.session import written
 
 REJECT_FROM = 0.5
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored REJECT_FROM or more go."""
+    """Documents scored REJECT_FROM or more go. Sets small Arrow batches for this and the stages after it."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold() != HELD_OUT))
     return model.score(docs, "_tox_score").where(F.col("_tox_score") < REJECT_FROM).drop("_tox_score")
 

@@ -20,18 +20,17 @@ from kappaframe.llm import (
     toxicity,
     url_filter,
 )
+from kappaframe.llm.words import small_batches
 
 HELD_OUT = 2
 TOXIC_FROM = 0.3
 VOCABULARY_FILE = "byte_bpe_50k.json"
-TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. With `documents` the session's Arrow batches shrink to TEXT_ROWS rows: whole texts are heavy, and a
-    batch stands in the JVM and in Python at once; plans are made later, so this cannot be undone here."""
+    """A given table; with `documents` the session's Arrow batches become small."""
     if name == "documents":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+        small_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

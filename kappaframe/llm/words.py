@@ -136,6 +136,15 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to TEXT_ROWS rows for queries on whole texts: a batch stands in the JVM and in
+    Python at once. Plans are made when results are read, so this stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def squeezed(text: Column) -> Column:
     """Bytes made small for a shuffle, with their length in front; `expanded` gives them back."""
 
