@@ -22,19 +22,25 @@ def stratified_folds(
     `cnt_i(s + n_c) - cnt_i(s)` of its rows, where `cnt_i(x)` counts the numbers below x that are i modulo
     the number of folds; rows fill the folds in order. Only label counts are combined across the item; rows
     are numbered per position bucket, so a dominant item or label stays spread out.
+
+    No row is lost: a NULL label counts as label 0, rows with a NULL item are an item of their own; both columns
+    stay as they are.
     """
     bucket = position_bucket(pos) if bucket is None else bucket
-    key = [item, label]
-    rows = with_order(df.where(F.col(item).isNotNull() & F.col(label).isNotNull()), F.col(pos), bucket)
+    key = ["_item", "_class"]
+    # an empty array stands for the missing item and meets no named one
+    named = F.when(F.col(item).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(item).cast("string")))
+    strata = {"_item": named, "_class": F.coalesce(F.col(label).cast("string"), F.lit("0"))}
+    rows = with_order(df.withColumns(strata), F.col(pos), bucket)
     sizes = bucket_sizes(rows, key, F.min("_order").alias("_first"))
     classes = sizes.groupBy(*key).agg(F.sum("_k").alias("_n"), F.min("_first").alias("_first"))
-    earlier = Window.partitionBy(item).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_item").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     below = lambda x, i: F.floor((x + (folds - 1 - i)) / folds)
     shares = [below(F.col("_start") + F.col("_n"), i) - below(F.col("_start"), i) for i in range(folds)]
     ends = [sum(shares[: i + 1], F.lit(0)).cast("bigint").alias(f"r{i}") for i in range(folds - 1)]
     placed = after_ranks(rows, key, sizes, classes.select(*key, *ends), folds - 1)
-    return placed.withColumnRenamed("_after", "fold")
+    return placed.drop(*key).withColumnRenamed("_after", "fold")
 
 
 def hashed_folds(df: DataFrame, id_column: str, folds: int = 10, seed: int = 0) -> DataFrame:

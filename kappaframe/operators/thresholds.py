@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kappaframe.functions.seeded import MODULUS, mix
 from kappaframe.operators.ordering import running_sums
-from kappaframe.session import cut_lineage
+from kappaframe.session import cut_lineage, fresh
 
 SIMPLE_CONSTRAINTS = {
     "demographic_parity": "selection_rate",
@@ -159,8 +159,9 @@ def fit_thresholds(
 
     A row of a group is positive with probability `p0 [score >= t0] + p1 [score >= t1]`, mixed for
     equalised odds with the constant `p_const` at probability `p_ignore`. The value of the constrained rate
-    is the grid value with the best weighted objective over all groups (smallest on ties); groups whose
-    labels are all equal have no rate and get no rule.
+    is the grid value with the best weighted objective over all groups (smallest on ties). A group whose labels
+    are all equal may have no such rate: it does not take part in the choice, `x` and `y` are NULL, and its rule
+    is its only label, as a constant.
     """
     odds = constraint == "equalized_odds"
     if not odds and constraint not in SIMPLE_CONSTRAINTS:
@@ -168,7 +169,8 @@ def fit_thresholds(
     if objective not in (("accuracy_score", "balanced_accuracy_score") if odds else SIMPLE_OBJECTIVES):
         raise ValueError(f"objective {objective} does not go with {constraint}")
     x_name, y_name = ("false_positive_rate", "true_positive_rate") if odds else (SIMPLE_CONSTRAINTS[constraint], objective)
-    hull = hull_points(roc_points(df, score, y, group, bucket), x_name, y_name)
+    points = roc_points(df, score, y, group, bucket)
+    hull = hull_points(points, x_name, y_name)
     joined = cut_lineage(_on_grid(hull, grid_size))  # grid_size + 1 rows per group
     weight = F.col("total_pos") + F.col("total_neg")
     groups = F.count(F.lit(1)).alias("_g")
@@ -195,7 +197,14 @@ def fit_thresholds(
         rules = rules.withColumns({"p_ignore": ignore, "p_const": F.col("x")})
     else:
         rules = rules.withColumns({"p_ignore": F.lit(0.0), "p_const": F.lit(0.0)})
-    return rules.select("grp", "x", "y", "p0", "t0", "p1", "t1", "p_ignore", "p_const")
+    rules = rules.select("grp", "x", "y", "p0", "t0", "p1", "t1", "p_ignore", "p_const")
+    totals = points.groupBy("grp").agg(F.max("total_pos").alias("_p"), F.max("total_neg").alias("_n"))
+    alone = totals.where("_p = 0 OR _n = 0").join(fresh(joined.select("grp")), "grp", "left_anti")
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+    constant = [none.alias("x"), none.alias("y"), *[zero.alias(c) for c in ("p0", "t0", "p1", "t1")]]
+    return rules.unionByName(
+        alone.select("grp", *constant, F.lit(1.0).alias("p_ignore"), (F.col("_p") > 0).cast("double").alias("p_const"))
+    )
 
 
 def predict_with_thresholds(

@@ -108,6 +108,18 @@ def test_folds_are_the_published_ones(spark):
         assert {r["pos"]: r["fold"] for r in got} == want
 
 
+def test_folds_keep_rows_without_label_or_item(spark):
+    rows = [("a", [None, "0", "1"][i % 3], i) for i in range(60)] + [(None, "1", 100 + i) for i in range(20)]
+    df = spark.createDataFrame(rows, "qid string, label string, pos bigint")
+    got = P.stratified_folds(df, "qid", "label", "pos").collect()
+    assert len(got) == len(rows) and all(r["fold"] is not None for r in got)
+    # NULL counts as label 0
+    labels = [label or "0" for item, label, _ in rows if item]
+    assert [r["fold"] for r in sorted((r for r in got if r["qid"]), key=lambda r: r["pos"])] == published_folds(labels)
+    assert sorted(r["fold"] for r in got if r["qid"] is None) == sorted(list(range(10)) * 2)
+    assert sum(r["label"] is None for r in got) == 20
+
+
 def test_split_keeps_rows_without_fold(spark):
     df = spark.createDataFrame([(1, 8), (2, 7), (3, 9), (4, 10), (5, None), (6, 0)], "id int, fold int")
     train, val, test = P.train_val_test(df, 8, 7)
@@ -330,6 +342,13 @@ def test_fair_thresholds_on_toy_rows(spark):
         assert max(values) - min(values) < 1e-9
     with pytest.raises(ValueError):
         T.fit_thresholds(df, "equalized_odds", "selection_rate")
+    # a group with one kind of label is given that label and changes no other group's rule
+    one_kind = spark.createDataFrame([(100 + i, i / 4, 1, "only") for i in range(4)], df.schema)
+    more = T.fit_thresholds(df.unionByName(one_kind), "equalized_odds", "balanced_accuracy_score", grid_size=40)
+    told = sorted(tuple(r) for r in more.where("grp <> 'only'").collect())
+    assert told == sorted(tuple(r) for r in odds.collect())
+    predicted = T.predict_with_thresholds(one_kind, more).collect()
+    assert len(predicted) == 4 and all(r["p_positive"] == 1.0 and r["z"] == 1 for r in predicted)
 
 
 T_RULES = "grp string, x double, y double, p0 double, t0 double, p1 double, t1 double, p_ignore double, p_const double"
