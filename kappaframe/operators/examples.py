@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kappaframe.constants import LOWEST_LABELS, OVERSAMPLED_ITEMS
 from kappaframe.functions.seeded import MODULUS, mix
 from kappaframe.operators.ordering import numbered_by_draw
-from kappaframe.session import broadcast_if_small, cut_lineage
+from kappaframe.session import cut_lineage
 
 
 def _slot_join(queries: DataFrame, pool: DataFrame, keys: list[str], slot: str) -> DataFrame:
@@ -44,13 +44,13 @@ def few_shot(
     if same_label:
         n = 5 * n
         sizes = cut_lineage(rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_m")))
-        wanted = queries.withColumn(label, F.col("_own")).join(broadcast_if_small(sizes), [*keys, label])
+        wanted = queries.withColumn(label, F.col("_own")).join(sizes, [*keys, label])
     else:
         # one row per key with its few labels; the size of the table is checked before it is broadcast
         pairs = F.collect_list(F.struct(F.col(label), F.col("_m")))
         sizes = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_m"))
         pools = cut_lineage(sizes.groupBy(*keys).agg(pairs.alias("_pools")))
-        wanted = queries.join(broadcast_if_small(pools), keys)
+        wanted = queries.join(pools, keys)
         wanted = wanted.select(*keys, "_own", "query_id", "_self", F.inline("_pools"))
     start = draw % F.col("_m")
     own = F.col("_own") == F.col(label)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kappaframe.functions.seeded import slice_of_draw
-from kappaframe.session import broadcast_if_small, cut_lineage, shuffle_width
+from kappaframe.session import cut_lineage, shuffle_width
 
 POSITION_BUCKET = 1 << 20
 
@@ -119,8 +119,8 @@ def after_ranks(rows: DataFrame, keys: list[str], sizes: DataFrame, wanted: Data
 
     No row is moved for this. The bucket sizes tell which buckets hold the wanted ranks; only the rows of
     these are numbered, which gives the order value at each rank; then every row is compared with the few
-    values of its key where it is. The table of values has one row per key; it is written, its size is
-    checked, and it is broadcast while it is small.
+    values of its key where it is. The table of values has one row per key; it is written, so that Spark knows
+    its size and broadcasts it below `spark.sql.autoBroadcastJoinThreshold`.
     """
     before = Window.partitionBy(*_keyed(keys)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.select(*keys, "_bucket", "_k", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_offset"))
@@ -128,7 +128,7 @@ def after_ranks(rows: DataFrame, keys: list[str], sizes: DataFrame, wanted: Data
     inside_bucket = (F.col("_r") > F.col("_offset")) & (F.col("_r") <= F.col("_offset") + F.col("_k"))
     held = placed.join(asked, keys).where(inside_bucket).groupBy(*keys, "_bucket", "_offset")
     targets = cut_lineage(held.agg(F.collect_list(F.struct("_i", "_r")).alias("_asked")))
-    ranked = rows.select(*keys, "_bucket", "_order").join(broadcast_if_small(targets), [*keys, "_bucket"])
+    ranked = rows.select(*keys, "_bucket", "_order").join(targets, [*keys, "_bucket"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_order")
     ranked = ranked.withColumn("_rank", F.row_number().over(inside) + F.col("_offset"))
     hits = ranked.select(*keys, "_order", "_rank", F.inline("_asked")).where("_rank = _r").groupBy(*keys)
@@ -136,7 +136,7 @@ def after_ranks(rows: DataFrame, keys: list[str], sizes: DataFrame, wanted: Data
     values = cut_lineage(hits.agg(*at))
     # rank 0 has no row and so no value: every row comes after it
     after = [F.coalesce((F.col("_order") > F.col(f"_c{i}")).cast("int"), F.lit(1)) for i in range(width)]
-    joined = rows.join(broadcast_if_small(values), keys, "left")
+    joined = rows.join(values, keys, "left")
     return joined.withColumn("_after", sum(after[1:], after[0])).drop(
         "_order", "_bucket", *[f"_c{i}" for i in range(width)]
     )

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaframe.session import broadcast_if_small, cut_lineage, shuffle_width, spread
+from kappaframe.session import cut_lineage, shuffle_width, spread
 
 WORD = "\\p{L}+"
 PIECES = "\\p{L}+|[^\\p{L}]+"
@@ -64,7 +64,7 @@ def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -
         & (F.col("at") + F.col("size") <= F.col("own_len"))
     )
     odd = odd.select("word", "len", "third", F.substring("word", F.col("at") + 1, F.col("size")).alias("part"))
-    pairs = odd.join(broadcast_if_small(known), ["len", "third", "part"])
+    pairs = odd.join(known, ["len", "third", "part"])
     distance = F.levenshtein("word", "correction", EDITS)
     close = pairs.withColumn("distance", distance).where(F.col("distance").between(1, EDITS))
     best = F.min(F.struct(F.col("distance"), (-F.col("freq")).alias("f"), F.col("correction").alias("w")))
@@ -83,7 +83,7 @@ def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, fr
     rows = spread(df)
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
     words = rows.select(id_column, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").rlike("^\\p{L}"))
-    found = words.withColumn("word", F.lower("piece")).join(broadcast_if_small(fixes), "word")
+    found = words.withColumn("word", F.lower("piece")).join(fixes, "word")
     capital = F.substring("piece", 1, 1) != F.substring("word", 1, 1)
     raised = F.concat(F.upper(F.substring("correction", 1, 1)), F.substring(F.col("correction"), F.lit(2), F.length("correction")))
     fix = F.when(capital, raised).otherwise(F.col("correction"))
@@ -122,9 +122,9 @@ def language_probability(df: DataFrame, id_column: str, text: str, language: str
     """`(id, probability)` that each text is in `target`: naive Bayes over character triples with equal priors
     and add-one counts, trained on the labelled texts themselves; 0 for a text without letters.
 
-    The profile (one row per triple, one column per language) is written once. Its size is checked: it is
-    broadcast while it is small, and then a text's triples are summed where they are made; beyond that they
-    are joined by shuffle.
+    The profile (one row per triple, one column per language) is written once. Spark broadcasts it while its
+    files are below its limit, and then a text's triples are summed where they are made; beyond that they are
+    joined by shuffle.
     """
     counts = cut_lineage(language_profiles(df, text, language))
     norms = counts.groupBy(language).agg(F.sum("n").alias("total"))
@@ -136,7 +136,7 @@ def language_probability(df: DataFrame, id_column: str, text: str, language: str
     profile = cut_lineage(counts.groupBy("gram").agg(*logs))
     grams = spread(df.select(id_column, text)).select(id_column, F.explode(_grams(F.col(text))).alias("gram"))
     sums = [F.sum(f"g{i}").alias(f"s{i}") for i in range(len(names))]
-    scored = grams.join(broadcast_if_small(profile), "gram", "left").groupBy(id_column).agg(
+    scored = grams.join(profile, "gram", "left").groupBy(id_column).agg(
         F.count(F.lit(1)).alias("total"), *sums
     )
     scores = [F.coalesce(f"s{i}", F.lit(0.0)) - F.col("total") * F.lit(log_norm[l]) for i, l in enumerate(names)]

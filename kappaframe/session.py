@@ -37,10 +37,8 @@ def fresh(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and return it with a short plan."""
-    shared_folder(df.sparkSession)
-    saved = df.checkpoint(eager=True)
-    return fresh(saved)
+    """`written` under a common name. Spark takes the size from the files, so its own limit decides on a broadcast."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -62,7 +60,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-BROADCAST_ROWS = 1_000_000
 SPREAD_BYTES = 1 << 30
 
 
@@ -74,9 +71,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if expected <= SPREAD_BYTES else df
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast when `df` (written by `cut_lineage`, so counting is cheap) has at most `rows` rows, and a
-    join by shuffle above that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
