@@ -347,6 +347,27 @@ def test_lm_scoring(spark, odd_rows, monkeypatch):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-5)
 
 
+def test_lm_scoring_knows_all_repeated_words(spark):
+    words_ = [f"w{i}" for i in range(70_000)]  # more than 2^16, each in two documents or more
+    rows = [(i, " ".join(words_[j] for j in range(i % 7, 70_000, 7))) for i in range(14)] + [(14, "once " + " ".join(words_[:50]))]
+    got = lm_scoring.cross_entropy_difference(documents(spark, rows), spark.createDataFrame([(0,), (14,)], "doc_id bigint")).collect()
+    ids, texts = {0, 14}, [(i, t.split()) for i, t in rows]
+    seen = Counter(w for _, ws in texts for w in ws)
+    known = [(i, ["^", *(w if seen[w] > 1 else None for w in ws)]) for i, ws in texts]
+    models = []
+    for some in (known, [x for x in known if x[0] in ids]):
+        models.append((Counter(u for _, ws in some for u in ws), Counter(p for _, ws in some for p in zip(ws, ws[1:])), sum(len(ws) - 1 for _, ws in some)))
+    v = len({w for _, ws in known for w in ws[1:]})
+
+    def loss(model, u, w):
+        ones, pairs, n = model
+        return -np.log((pairs[u, w] + lm_scoring.PRIOR * (ones[w] + 0.5) / (n + 0.5 * v)) / (ones[u] + lm_scoring.PRIOR))
+
+    want = {i: np.mean([loss(models[1], *p) - loss(models[0], *p) for p in zip(ws, ws[1:])]) for i, ws in known}
+    assert v == 70_001 and len(got) == len(rows)
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_on_empty_tables(spark, name, tmp_path):
     for t in ("documents", "labels", "pages", "embeddings"):
