@@ -251,6 +251,24 @@ def test_embedding_dedup(spark):
     assert all(by[i].component_id == 0 for i in range(2000, 2005)) and by[0].kept and not by[2000].kept
 
 
+def test_embedding_recall_with_a_common_direction(spark):
+    draw = np.random.default_rng(6)
+    common = np.ones(64) * 2 / 8  # mean norm about 0.9
+    x = draw.normal(size=(1500, 64)) / 8 + common
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = draw.normal(size=x.shape)
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    c = draw.uniform(0.95, 0.96, size=(1500, 1))
+    y = c * x + np.sqrt(1 - c**2) * step
+    assert np.linalg.norm(x.mean(axis=0)) > 0.8
+    v = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    want = int((v @ v.T >= 0.95).sum()) - len(v)
+    assert want >= 3000 and 0.9 * want <= got <= want
+
+
 def test_quality_rules(spark, odd_rows):
     labels = spark.createDataFrame([(0, 1), (1, 1), (5, 0), (None, 1), (99, 1), (3, None)], "doc_id bigint, quality int")
     got = quality_rules.judged(documents(spark, odd_rows), labels).collect()
