@@ -269,6 +269,28 @@ def test_embedding_recall_with_a_common_direction(spark):
     assert want >= 3000 and 0.9 * want <= got <= want
 
 
+def test_embedding_groups_follow_a_dense_bucket(spark, monkeypatch):
+    plain = embedding_dedup._compared
+
+    def bounded(cosine):
+        inner = plain(cosine)
+
+        def task(group):
+            if group.num_rows > 9000:  # some thousand points, however dense a bucket is
+                raise ValueError(f"{group.num_rows} rows in a group")
+            return inner(group)
+
+        return task
+
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+    monkeypatch.setattr(embedding_dedup, "_compared", bounded)
+    draw = np.random.default_rng(7)
+    v = np.concatenate([draw.normal(size=(400, 32)), draw.normal(size=32) + 1e-6 * draw.normal(size=(800, 32))])
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).where("vec_id >= 400").agg(F.min("n_links"), F.max("n_links")).first()
+    assert tuple(got) == (799, 799)
+
+
 def test_quality_rules(spark, odd_rows):
     labels = spark.createDataFrame([(0, 1), (1, 1), (5, 0), (None, 1), (99, 1), (3, None)], "doc_id bigint, quality int")
     got = quality_rules.judged(documents(spark, odd_rows), labels).collect()
