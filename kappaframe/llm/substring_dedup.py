@@ -107,7 +107,8 @@ def repeated_windows(rows: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("a window has two words at least")
     seen = written(rows.mapInArrow(_anchors(window), "h long, _id long, _t long, at int"), "anchors")
     both = written(seen.groupBy("h").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("h"), "both")
-    alive = seen.join(both, "h").groupBy("_id", "_t").agg(F.collect_list("at").alias("alive"))
+    # rows that repeat have the same places: as sets these stay as many as one row has
+    alive = seen.join(both, "h").groupBy("_id", "_t").agg(F.collect_set("at").alias("alive"))
     near = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text")).join(alive, ["_id", "_t"])
     runs = written(
         near.mapInArrow(_runs(window), "run long, _id long, _t long, start int, n int, hashes array<long>"), "runs"
@@ -166,7 +167,7 @@ def with_repeats_removed(
     keys = ["_id", "_t"]
     rows = keyed(docs, id_column, text_column)
     spans = repeated_windows(rows, window).groupBy(*[F.col(c).alias(f"_sd{c}") for c in keys]).agg(
-        F.collect_list(F.struct("start", "n")).alias("_sd_spans")
+        F.collect_set(F.struct("start", "n")).alias("_sd_spans")
     )
     text = as_bytes(text_column)
     place = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(LAST_ID))

@@ -93,6 +93,27 @@ def test_substring_dedup(spark, odd_rows, window):
     assert kept.columns == [*SCHEMA.replace(" bigint", "").replace(" string", "").split(", "), "_cut"]
 
 
+def test_substring_dedup_lists_of_repeated_rows(spark, monkeypatch):
+    passage = sentence(2, 120)
+    rows = [(1, passage)] + [(None, passage)] * 40
+    plain = substring_dedup._runs
+
+    def distinct_only(window):
+        inner = plain(window)
+
+        def checked(batches):
+            for batch in batches:
+                if any(len(set(x)) < len(x) for x in batch.column("alive").to_pylist()):
+                    raise ValueError("places of repeated rows gather")
+                yield batch
+
+        return lambda batches: inner(checked(batches))
+
+    monkeypatch.setattr(substring_dedup, "_runs", distinct_only)
+    got = substring_dedup.remove_repeats(documents(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == brute_removed(rows, 50)
+
+
 def brute_classes(rows, percent=75):
     sets = []
     for _, t in rows:
