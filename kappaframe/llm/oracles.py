@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kappaframe.llm import quality_rules, url_filter
+from kappaframe.llm import centroid_clusters, quality_rules, source_audit, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -171,9 +171,75 @@ FROM measured
 """
 
 
+def audit_sql(least_docs: int = source_audit.LEAST_DOCS, top_terms: int = source_audit.TOP_TERMS) -> str:
+    share = lambda n, size: f"1 + {source_audit.UNIT}::HUGEINT * ({n} + 1) // ({size} + terms)"
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= {least_docs}
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), languages AS (
+  SELECT lang, count(*) AS terms, sum(n) AS lang_size FROM kept GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(l.terms, 0) AS terms, coalesce(l.lang_size, 0) AS lang_size,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0) AS size
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN languages l ON l.lang = g.lang
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "size")} AS p, {share("k.n", "lang_size")} AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {top_terms}
+"""
+
+
+def clusters_sql(k: int = centroid_clusters.CLUSTERS, rounds: int = centroid_clusters.ROUNDS, seed: int = centroid_clusters.SEED) -> str:
+    """The rounds one after the other, each a table of its own."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(distance := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster := k)) AS best
+  FROM kept, centroids{i} GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""means{i} AS (
+  SELECT k, list((total - ((total % n) + n) % n) // n ORDER BY d) AS c FROM (
+    SELECT best.cluster AS k, d, sum(x)::HUGEINT AS total, count(*) AS n FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM near{i}) GROUP BY ALL
+  ) GROUP BY k
+), centroids{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m.c::BIGINT[], p.c) AS c FROM centroids{i} p LEFT JOIN means{i} m USING (k)
+)""")
+    return rf"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({centroid_clusters.SCALE} * x::DOUBLE)::BIGINT) AS v,
+    row_number() OVER (ORDER BY sha256('{seed}:' || vec_id::BIGINT), embedding) AS r
+  FROM embeddings WHERE len(embedding) = {centroid_clusters.WIDTH} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroid_clusters.WIDTH}
+), centroids0 AS (
+  SELECT (r - 1)::INT AS k, v AS c FROM kept WHERE r <= {k}
+), {", ".join(steps)}
+SELECT vec_id, best.cluster AS cluster, best.distance::BIGINT AS distance, (sum(best.distance) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+  (sum(best.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centroids{rounds} ON k = best.cluster
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_sql(),
     "op5_jaccard_join": JACCARD,
     "op6_substring_dedup": SUBSTRINGS,
     "op10_quality_rules": quality_sql(),
+    "op12_source_audit": audit_sql(),
+    "op13_centroid_clusters": clusters_sql(),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kappaframe.llm import (
     bpe,
+    centroid_clusters,
     embedding_dedup,
     jaccard_join,
     lm_scoring,
@@ -16,6 +17,7 @@ from kappaframe.llm import (
     packing,
     quality_rules,
     secret_scan,
+    source_audit,
     substring_dedup,
     toxicity,
     url_filter,
@@ -99,11 +101,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audited(table(spark, folder, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters.described(*centroid_clusters.clusters(table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_toxicity, op3_url_filter, op4_secret_scan, op5_jaccard_join, op6_substring_dedup, op7_packing,
-        op8_bpe, op9_embedding_dedup, op10_quality_rules,
+        op8_bpe, op9_embedding_dedup, op10_quality_rules, op12_source_audit, op13_centroid_clusters,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
