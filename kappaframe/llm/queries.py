@@ -15,6 +15,7 @@ from kappaframe.llm import (
     lm_scoring,
     oracles,
     packing,
+    personal_data,
     quality_rules,
     secret_scan,
     source_audit,
@@ -101,6 +102,15 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    told = personal_data.found(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return told.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in personal_data.KINDS], F.sha2(personal_data.lined(F.col("base")), 256).alias("base_sha256"),
+        personal_data.lined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
     return source_audit.audited(table(spark, folder, "documents"))
 
@@ -113,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_toxicity, op3_url_filter, op4_secret_scan, op5_jaccard_join, op6_substring_dedup, op7_packing,
-        op8_bpe, op9_embedding_dedup, op10_quality_rules, op12_source_audit, op13_centroid_clusters,
+        op8_bpe, op9_embedding_dedup, op10_quality_rules, op11_personal_data, op12_source_audit, op13_centroid_clusters,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
