@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kappaframe.operators.components import components
-from kappaframe.operators.neighbours import (
+from kappaframe.operators.cells import (
     BLOCK,
     CELL,
     assign_cells,
@@ -21,13 +20,12 @@ from kappaframe.operators.neighbours import (
     cell_table,
     chord,
     distinct_vectors,
-    fits_one_cell,
-    in_one_cell,
     pivots_of,
     unit_rows,
     vector_key,
     visit_cells,
 )
+from kappaframe.operators.components import components
 from kappaframe.operators.ordering import numbered
 from kappaframe.session import cut_lineage, spread
 
@@ -124,17 +122,13 @@ def density_clusters(
         item, F.col(id_column).alias("id"), F.col(vector).alias("vec"), vector_key(F.col(vector)).alias("vid")
     )
     vectors = cut_lineage(distinct_vectors(rows, item, "vec"))
-    if fits_one_cell(vectors, item, cell):
-        members = in_one_cell(vectors)
-        visits_to = lambda visitors, _: in_one_cell(visitors)
-    else:
-        pivots = cut_lineage(pivots_of(vectors, item, cell))
-        members = cut_lineage(assign_cells(vectors, pivots, item, block))
-        cells = cell_table(members, pivots, item)
-
-        def visits_to(visitors: DataFrame, homes: DataFrame) -> DataFrame:
-            reached = cells.join(homes.select(item, "cell").distinct(), [item, "cell"], "left_semi")
-            return visit_cells(visitors, reached, item, radius=eps, block=block)
+    pivots = cut_lineage(pivots_of(vectors, item, cell))
+    members = cut_lineage(assign_cells(vectors, pivots, item, block))
+    cells = cell_table(members, pivots, item)
+
+    def visits_to(visitors: DataFrame, homes: DataFrame) -> DataFrame:
+        reached = cells.join(homes.select(item, "cell").distinct(), [item, "cell"], "left_semi")
+        return visit_cells(visitors, reached, item, eps, block)
 
     weight = _neighbour_weight(visits_to(vectors, members), members, item, eps, block)
     cores = cut_lineage(weight.select(item, "vid", (F.col("weight") >= min_samples).alias("core")))

@@ -1,299 +1,49 @@
-"""Most similar rows within an item, exactly and without comparing all pairs of the item.
+"""Most similar rows within an item, exactly.
 
-Exact search (`nearest`) follows three steps. Equal vectors are collapsed first, so a vector that fills a
-third of an item costs as much as a rare one. The distinct vectors of an item are then cut into cells
-around pivots, and a query visits its closest cells to learn how far its k-th neighbour is at most; after
-that it visits only the cells that can hold something nearer (triangle inequality). Cells larger than a
-block are split, so a task sees two blocks at a time and keeps k rows per query.
+Exact search (`nearest`) scans 8-bit codes of the item's distinct vectors block by block (`operators/scan.py`), so a vector
+that fills a third of an item costs as much as a rare one, and works for vectors that lie in no clusters.
 
 Sampled search (`sampled_nearest`) is the variant with a fixed number of candidates per label, drawn once.
 
-All distances are between unit vectors; `sim` is the cosine.
+`sim` is the cosine, rounded to scan.DIGITS digits.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kappaframe.functions.seeded import mix_text
+from kappaframe.operators.scan import best_vectors, names
 from kappaframe.operators.splits import sample_per_key
-from kappaframe.session import cut_lineage, fresh
-
-BLOCK = 2048
-CELL = 2048
-MAX_PIVOTS = 4096
-DIGITS = 12
-CARRIED = ("copies", "own", "core")  # optional columns that travel with a vector
-
-
-def vector_key(vector: Column) -> Column:
-    """128-bit name of a vector: equal vectors share it, so copies meet without a join on the array."""
-    return F.concat_ws("-", F.hex(F.xxhash64(vector)), F.hex(F.xxhash64(F.lit(7), vector)))
-
-
-def unit_rows(table: pa.Table, column: str) -> np.ndarray:
-    """Matrix of the list column with rows scaled to length 1 (zero rows stay zero); raises on null or ragged vectors."""
-    lists = table.column(column).combine_chunks()
-    if lists.null_count or len(lists.value_lengths().unique()) > 1:
-        raise ValueError("vectors that are null or of several lengths cannot be compared; leave them out first")
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths > 0, lengths, 1.0)
-
-
-def chord(sim: np.ndarray) -> np.ndarray:
-    """Distance of unit vectors from their cosine."""
-    return np.sqrt(np.maximum(2.0 - 2.0 * sim, 0.0))
-
-
-def distinct_vectors(df: DataFrame, item: str, vector: str) -> DataFrame:
-    """`(item, vid, vec, copies)`: one row per distinct vector of an item."""
-    keyed = df.select(item, vector_key(F.col(vector)).alias("vid"), F.col(vector).alias("vec"))
-    return _collapse(keyed, item)
-
-
-def _collapse(keyed: DataFrame, item: str) -> DataFrame:
-    own = [F.any_value("own").alias("own")] if "own" in keyed.columns else []
-    return keyed.groupBy(item, "vid").agg(
-        F.any_value("vec").alias("vec"), F.count(F.lit(1)).cast("bigint").alias("copies"), *own
-    )
-
-
-def _salts(df: DataFrame, item: str, block: int) -> DataFrame:
-    """`(item, _salts)`: into how many blocks the rows of each item go. One row per item."""
-    counts = df.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_salts"))
-    return cut_lineage(counts)
-
-
-def _salted(df: DataFrame, item: str, salts: DataFrame) -> DataFrame:
-    """Adds `_salt`, so that (item, _salt) holds about a block of rows."""
-    return df.join(salts, item).withColumn("_salt", F.pmod(F.xxhash64("vid"), F.col("_salts"))).drop("_salts")
-
-
-def _to_every_salt(df: DataFrame, item: str, salts: DataFrame) -> DataFrame:
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))
-    return df.join(salts, item).withColumn("_salt", every).drop("_salts")
-
-
-def pivots_of(vectors: DataFrame, item: str, cell: int = CELL) -> DataFrame:
-    """`(item, pid, pvec)`: enough hash-chosen vectors per item for cells of about `cell` rows, at most
-    MAX_PIVOTS. An item that fits one cell gets one pivot."""
-    counts = vectors.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.select(
-        item, (F.least(F.ceil(F.col("_n") / cell), F.lit(MAX_PIVOTS)) / F.col("_n")).alias("_share"), "_n"
-    )
-    draw = mix_text(F.col("vid"), 3)
-    # over-draw by share, then keep the first of each item in draw order: only a sample is ranked
-    likely = vectors.join(cut_lineage(share), item).where(
-        draw < F.lit(2147483647) * F.least(F.lit(1.0), F.col("_share") * 4 + 64.0 / F.col("_n"))
-    )
-    order = Window.partitionBy(item).orderBy(draw, "vid")
-    ranked = likely.withColumn("_r", F.row_number().over(order))
-    kept = ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_share") * F.col("_n"))))
-    return kept.select(item, F.col("vid").alias("pid"), F.col("vec").alias("pvec"))
-
-
-def assign_cells(vectors: DataFrame, pivots: DataFrame, item: str, block: int = BLOCK) -> DataFrame:
-    """`(item, vid, vec, cell, dist)`: nearest pivot of every vector, computed block by block."""
-    salts = _salts(vectors, item, block)
-    kept = [item, "vid", "vec", *[c for c in CARRIED if c in vectors.columns]]
-    left = _salted(vectors.select(*kept), item, salts)
-    right = _to_every_salt(pivots, item, salts)
-
-    def nearest_pivot(rows: pa.Table, centres: pa.Table) -> pa.Table:
-        out = rows.select(kept)
-        if rows.num_rows == 0 or centres.num_rows == 0:
-            return out.slice(0, 0).append_column("cell", pa.array([], pa.string())).append_column(
-                "dist", pa.array([], pa.float64())
-            )
-        d = chord(unit_rows(rows, "vec") @ unit_rows(centres, "pvec").T)
-        best = d.argmin(axis=1)
-        names = np.array(centres.column("pid").to_pylist(), dtype=object)
-        out = out.append_column("cell", pa.array(names[best].tolist(), pa.string()))
-        return out.append_column("dist", pa.array(d[np.arange(len(best)), best]))
-
-    schema = ", ".join([*[_field(vectors, c) for c in kept], "cell string", "dist double"])
-    return left.groupBy(item, "_salt").cogroup(fresh(right).groupBy(item, "_salt")).applyInArrow(nearest_pivot, schema)
-
-
-def _field(df: DataFrame, name: str) -> str:
-    return f"`{name}` {df.schema[name].dataType.simpleString()}"
-
-
-def visit_cells(
-    queries: DataFrame, cells: DataFrame, item: str, need: int | None = None, radius: float | None = None,
-    bound: str | None = None, block: int = BLOCK,
-) -> DataFrame:
-    """`(item, vid, vec, [payload], cell)`: the cells each query visits.
-
-    `need`: closest cells until they hold `need` vectors. `bound`: name of a query column with the largest
-    distance of interest; cells that cannot reach it are left out. `radius`: the same with one distance for all.
-    `cells` holds `(item, cell, pvec, n, r)`.
-    """
-    salts = _salts(queries, item, block)
-    kept = [item, "vid", "vec", *[c for c in CARRIED if c in queries.columns]]
-    left = _salted(queries.select(*kept, *([bound] if bound else [])), item, salts)
-    right = _to_every_salt(cells, item, salts)
-
-    def choose(rows: pa.Table, centres: pa.Table) -> pa.Table:
-        out = rows.select(kept)
-        if rows.num_rows == 0 or centres.num_rows == 0:
-            return out.slice(0, 0).append_column("cell", pa.array([], pa.string()))
-        d = chord(unit_rows(rows, "vec") @ unit_rows(centres, "pvec").T)
-        reach = d - np.array(centres.column("r").to_pylist(), dtype=float)[None, :]
-        sizes = np.array(centres.column("n").to_pylist(), dtype=float)
-        if radius is not None:
-            wanted = reach <= radius + 1e-9
-        elif bound is not None:
-            wanted = reach <= np.array(rows.column(bound).to_pylist(), dtype=float)[:, None] + 1e-9
-        else:
-            order = np.argsort(d, axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            wanted = np.zeros_like(d, dtype=bool)
-            np.put_along_axis(wanted, order, (held - sizes[order]) < need, axis=1)
-        at, cell = np.nonzero(wanted)
-        names = np.array(centres.column("cell").to_pylist(), dtype=object)
-        return out.take(pa.array(at)).append_column("cell", pa.array(names[cell].tolist(), pa.string()))
-
-    fields = [_field(queries, c) for c in kept]
-    return left.groupBy(item, "_salt").cogroup(fresh(right).groupBy(item, "_salt")).applyInArrow(
-        choose, ", ".join([*fields, "cell string"])
-    )
-
-
-def block_pairs(visits: DataFrame, members: DataFrame, item: str, block: int = BLOCK):
-    """Cogrouped (visitors, members) of every cell, both cut into blocks: one task step sees two blocks."""
-    key = [item, "cell"]
-    n_members = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_mb"))
-    n_visits = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_vb"))
-    # one row per cell: the blocks of its members and of its visitors
-    grid = cut_lineage(n_members.join(n_visits, key))
-    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    slot = lambda c: F.pmod(F.xxhash64(F.col("vid"), F.lit(11)), F.col(c))
-    left = visits.join(grid, key).withColumn("_v", slot("_vb")).withColumn("_m", spread("_mb")).drop("_mb", "_vb")
-    right = members.join(grid, key).withColumn("_m", slot("_mb")).withColumn("_v", spread("_vb")).drop("_mb", "_vb")
-    by = [*key, "_v", "_m"]
-    return left.groupBy(*by).cogroup(fresh(right).groupBy(*by))
-
-
-def _search(visits: DataFrame, members: DataFrame, item: str, k: int, block: int = BLOCK) -> DataFrame:
-    """`(item, vid, cand, sim)`: the k best members per visited block, without those of the query's own construct."""
-    apart = "own" in visits.columns
-
-    def best(rows: pa.Table, others: pa.Table) -> pa.Table:
-        names = ["item", "vid", "cand", "sim"]
-        if rows.num_rows == 0 or others.num_rows == 0:
-            empty = [rows.column(item).slice(0, 0), pa.array([], pa.string()), pa.array([], pa.string())]
-            return pa.table([*empty, pa.array([], pa.float64())], names=[item, *names[1:]])
-        sim = np.round(unit_rows(rows, "vec") @ unit_rows(others, "vec").T, DIGITS)
-        cand = np.array(others.column("vid").to_pylist(), dtype=object)
-        if apart:
-            mine = np.array(rows.column("own").to_pylist(), dtype=object)
-            theirs = np.array(others.column("own").to_pylist(), dtype=object)
-            sim = np.where(mine[:, None] == theirs[None, :], -np.inf, sim)
-        # stable order by name keeps equal similarities reproducible
-        by_name = np.argsort(cand)
-        sim, cand = sim[:, by_name], cand[by_name]
-        top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, sim.shape[1])]
-        values = np.take_along_axis(sim, top, axis=1)
-        at, place = np.nonzero(values > -np.inf)
-        return pa.table(
-            [
-                rows.column(item).take(pa.array(at)),
-                rows.column("vid").take(pa.array(at)),
-                pa.array(cand[top[at, place]].tolist(), pa.string()),
-                pa.array(values[at, place]),
-            ],
-            names=[item, "vid", "cand", "sim"],
-        )
-
-    schema = f"{_field(visits, item)}, vid string, cand string, sim double"
-    return block_pairs(visits, members, item, block).applyInArrow(best, schema)
-
-
-def _keep_best(found: DataFrame, item: str, k: int) -> DataFrame:
-    order = Window.partitionBy(item, "vid").orderBy(F.desc("sim"), "cand")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
-
-
-def cell_table(members: DataFrame, pivots: DataFrame, item: str) -> DataFrame:
-    """`(item, cell, pvec, n, r)`: size and radius of each cell that has members."""
-    stats = members.groupBy(item, "cell").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), F.max("dist").alias("r")
-    )
-    return stats.join(pivots.withColumnRenamed("pid", "cell"), [item, "cell"])
-
-
-def fits_one_cell(rows: DataFrame, item: str, cell: int) -> bool:
-    """Whether no item has more rows than a cell: then pivots would change nothing."""
-    largest = rows.groupBy(item).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()
-    return (largest["n"] or 0) <= cell
-
-
-def in_one_cell(df: DataFrame) -> DataFrame:
-    return df.withColumn("cell", F.lit(""))
-
-
-def _nearest_vectors(queries: DataFrame, pool: DataFrame, item: str, k: int, cell: int, block: int) -> DataFrame:
-    """k best distinct pool vectors `(item, vid, cand, sim)` of every distinct query vector."""
-    pivots = cut_lineage(pivots_of(pool, item, cell))
-    members = cut_lineage(assign_cells(pool, pivots, item, block))
-    cells = cell_table(members, pivots, item)
-    first_visits = cut_lineage(visit_cells(queries, cells, item, need=k, block=block))
-    first = cut_lineage(_keep_best(_search(first_visits, members, item, k, block), item, k))
-    several = cells.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(item)
-    farthest = first.groupBy(item, "vid").agg(F.count(F.lit(1)).alias("_f"), F.min("sim").alias("_s"))
-    # with fewer than k found so far anything may still be near enough: 2 is the largest distance
-    limit = F.when(F.col("_f") >= k, F.sqrt(F.greatest(2.0 - 2.0 * F.col("_s"), F.lit(0.0))) + 1e-6).otherwise(2.0)
-    open_queries = (
-        queries.join(several, item, "left_semi").join(farthest, [item, "vid"], "left").withColumn("limit", limit)
-    )
-    second_visits = visit_cells(open_queries, cells, item, bound="limit", block=block).join(
-        fresh(first_visits.select(item, "vid", "cell")), [item, "vid", "cell"], "left_anti"
-    )
-    second = _search(second_visits, members, item, k, block)
-    return _keep_best(first.unionByName(second), item, k)
 
 
 def nearest(
-    queries: DataFrame, pool: DataFrame, k: int, item: str = "qid", id_column: str = "id", vector: str = "emb",
-    cell: int = CELL, block: int = BLOCK, apart: str | None = None,
+    queries: DataFrame, pool: DataFrame, k: int, item: str = "qid", id_column: str = "id", vector: str = "emb", apart: str | None = None,
 ) -> DataFrame:
     """Edges `(item, query_id, neighbor_id, rank, sim)`: the k most similar pool rows of every query within its
     item, never the row itself; equal similarities are ordered by id. The whole pool is searched, exactly.
 
-    `apart` names a construct column: rows that share the query's construct are not neighbours.
+    `apart` names a construct column: rows that share the query's construct are not neighbours. Rows without an item are in
+    no pool and have no neighbours.
     """
     need = k + 1  # room for the row itself
+    own = F.lit(0).cast("bigint") if apart is None else F.xxhash64(F.coalesce(F.col(apart).cast("string"), F.lit("")))
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame) -> DataFrame:
         rows = df.where(F.col(item).isNotNull())
-        columns = [item, F.col(id_column).alias(name), F.col(vector).alias("vec")]
-        if apart is None:
-            return rows.select(*columns, vector_key(F.col(vector)).alias("vid"))
-        own = F.coalesce(F.col(apart).cast("string"), F.lit(""))
-        return rows.select(*columns, own.alias("own"), F.concat(vector_key(F.col(vector)), F.lit("-"), own).alias("vid"))
-
-    q, p = keyed(queries, "query_id"), keyed(pool, "neighbor_id")
-    if fits_one_cell(p, item, cell):
-        found = _search(in_one_cell(_collapse(q, item)), in_one_cell(_collapse(p, item)), item, need, block)
-        best = _keep_best(found, item, need)
-    else:
-        best = _nearest_vectors(_collapse(q, item), _collapse(p, item), item, need, cell, block)
-    # of the copies of one vector only the first `need` ids can be among the k nearest
-    order = Window.partitionBy(item, "cand").orderBy("neighbor_id")
-    ids = p.select(item, F.col("vid").alias("cand"), "neighbor_id")
-    ids = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= need).drop("_r")
-    ranked = Window.partitionBy(item, "vid").orderBy(F.desc("sim"), "neighbor_id")
-    named = best.join(ids, [item, "cand"]).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= need)
+        return rows.select(item, F.col(id_column).alias("id"), F.col(vector).alias("vec"), own.alias("own"))
+
+    p = keyed(pool)
+    q = p if queries is pool else keyed(queries)
+    best, wide = best_vectors(q, p, item, need, apart is not None)
+    key = [item, "va", "vb", "own"]
+    ranked = Window.partitionBy(*key).orderBy(F.desc("sim"), "neighbor_id")
+    named = best.select(*key, F.explode("ids").alias("neighbor_id"), "sim").withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= need)
     entry = F.struct(F.col("_r"), F.col("neighbor_id"), F.col("sim"))
-    lists = named.groupBy(item, "vid").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return _edges(q.join(lists, [item, "vid"]), item, k)
+    lists = named.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    rows = q.select(item, F.col("id").alias("query_id"), *names(F.col("vec").cast(wide)), "own")
+    return _edges(rows.join(lists, key), item, k)
 
 
 def _edges(joined: DataFrame, item: str, k: int) -> DataFrame:
@@ -314,13 +64,10 @@ def candidates_per_label(
 
 def sampled_nearest(
     queries: DataFrame, pool: DataFrame, k: int, per_label: int = 500, item: str = "qid", label: str = "label1",
-    id_column: str = "id", vector: str = "emb", seed: int = 0, block: int = BLOCK,
+    id_column: str = "id", vector: str = "emb", seed: int = 0,
 ) -> DataFrame:
     """`nearest` over the sampled candidates: one bounded pool per item meets the queries block by block."""
-    return nearest(
-        queries, candidates_per_label(pool, per_label, item, label, id_column, seed), k, item, id_column, vector,
-        cell=1 << 30, block=block,
-    )
+    return nearest(queries, candidates_per_label(pool, per_label, item, label, id_column, seed), k, item, id_column, vector)
 
 
 def neighbour_labels(edges: DataFrame, pool: DataFrame, label: str = "label1", id_column: str = "id") -> DataFrame:

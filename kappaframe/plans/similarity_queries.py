@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kappaframe.functions import vectors as V
 from kappaframe.functions.seeded import mix_sql
+from kappaframe.operators import cells
 from kappaframe.operators import clusters as K
 from kappaframe.operators import neighbours as N
 from kappaframe.operators.embedding import embed_text, pool_tokens
@@ -36,9 +37,9 @@ def cosine_topk(t: Tables):
 
 @query("neighbor_edges", f"SELECT qid, count(*) AS edges, ROUND(avg(sim), 6) AS mean_sim, ROUND(min(sim), 6) AS min_sim FROM ({_EDGES}) GROUP BY qid")
 def neighbor_edges(t: Tables):
-    """The precomputed neighbour table, summed up per item; small cells, so that the cell bounds are at work."""
+    """The precomputed neighbour table, summed up per item."""
     rows = B.vectors(t)
-    edges = N.nearest(rows, rows, TOP, cell=16)
+    edges = N.nearest(rows, rows, TOP)
     return edges.groupBy("qid").agg(
         F.count(F.lit(1)).alias("edges"), F.round(F.avg("sim"), 6).alias("mean_sim"), F.round(F.min("sim"), 6).alias("min_sim")
     )
@@ -179,7 +180,7 @@ _CORES = f"""v AS ({_V}),
     FROM v LEFT JOIN (SELECT * FROM named UNION ALL SELECT * FROM border) u ON v.id = u.id)"""
 
 
-def clusters(t: Tables, cell: int = N.CELL):
+def clusters(t: Tables, cell: int = cells.CELL):
     return K.density_clusters(B.vectors(t), EPS, CORE, cell=cell)
 
 

@@ -13,6 +13,7 @@ from kappaframe.operators import clusters as K
 from kappaframe.operators import examples as E
 from kappaframe.operators import fairness as G
 from kappaframe.operators import neighbours as N
+from kappaframe.operators import scan
 from kappaframe.operators import selection as S
 from kappaframe.operators import splits as P
 from kappaframe.operators import thresholds as T
@@ -187,7 +188,7 @@ def brute_nearest(rows, k, apart=False):
     unit = {}
     for r in rows:
         v = np.array(r[4], dtype=np.float32).astype(float)
-        unit[r[0]] = v / np.linalg.norm(v)
+        unit[r[0]] = v / (np.linalg.norm(v) or 1.0)
     edges = set()
     for r in rows:
         others = [o for o in rows if o[1] == r[1] and o[0] != r[0] and not (apart and o[3] == r[3])]
@@ -196,17 +197,52 @@ def brute_nearest(rows, k, apart=False):
     return edges
 
 
-@pytest.mark.parametrize("cell, block", [(1 << 20, 1 << 20), (20, 16), (20, 7)])
+SIZES = {"whole": {}, "parts": {"BLOCK_BYTES": 8 * 16, "PART": 16, "TILE": 5}, "crowded": {"BLOCK_BYTES": 8 * 40, "PART": 8, "FIRST": 9, "LISTED": 0.1}}
+
+
+@pytest.mark.parametrize("sizes", SIZES)
 @pytest.mark.parametrize("apart", [False, True])
-def test_nearest_is_exact_with_hot_copies(spark, cell, block, apart, monkeypatch):
-    monkeypatch.setattr(N, "DIGITS", 9)
+def test_nearest_is_exact_with_hot_copies(spark, sizes, apart, monkeypatch):
+    monkeypatch.setattr(scan, "DIGITS", 9)
+    for name, value in SIZES[sizes].items():
+        monkeypatch.setattr(scan, name, value)
     rows = hot_vectors()
     df = spark.createDataFrame(rows, VECTOR_SCHEMA)
-    found = N.nearest(df, df, 4, cell=cell, block=block, apart="construct" if apart else None).collect()
+    found = N.nearest(df, df, 4, apart="construct" if apart else None).collect()
     got = {(r["query_id"], r["neighbor_id"], r["rank"]) for r in found}
     assert got == brute_nearest(rows, 4, apart)
 
 
+def test_nearest_among_near_copies_and_scaled_vectors(spark, monkeypatch):
+    """A crowd that codes cannot tell apart, vectors of one direction, zero vectors, and queries outside the pool."""
+    monkeypatch.setattr(scan, "DIGITS", 9)
+    monkeypatch.setattr(scan, "PART", 32)
+    monkeypatch.setattr(scan, "BLOCK_BYTES", 8 * 64)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=8)
+    vectors = [centre + rng.normal(scale=1e-3, size=8) for _ in range(150)] + [centre * 2.0**i for i in range(6)] + list(rng.normal(size=(50, 8))) + [np.zeros(8)] * 2
+    rows = [(i, "a", "1", 0, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, VECTOR_SCHEMA)
+    got = {(r["query_id"], r["neighbor_id"], r["rank"]) for r in N.nearest(df, df, 5).collect()}
+    assert got == brute_nearest(rows, 5)
+    some = N.nearest(df.where("id % 7 = 0"), df.where("id % 2 = 1"), 3).collect()
+    odd = [r for r in rows if r[0] % 2]
+    for query in [r for r in rows if r[0] % 7 == 0]:
+        want = sorted(x[1:] for x in brute_nearest([*[o for o in odd if o[0] != query[0]], query], 3) if x[0] == query[0])
+        assert sorted((r["neighbor_id"], r["rank"]) for r in some if r["query_id"] == query[0]) == want
+    assert N.nearest(df.where("false"), df, 3).collect() == [] == N.nearest(df, df.where("false"), 3).collect()
+
+
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(2)
+    rows = scan.unit(rng.normal(size=(400, 24)) * rng.choice([0.01, 1, 1e3], size=(400, 24)), 24)
+    codes, scale, rest = scan.coded(rows)
+    told = codes * scale[:, None]
+    for i in range(400):
+        wide = scan._margin(rest[i : i + 1], rest.max(), 24)[0]
+        assert (np.abs(rows @ rows[i] - told @ told[i]) <= wide).all()
+
+
 def brute_density(rows, eps, least):
     result = {}
     for item in sorted({r[1] for r in rows}):
