@@ -140,3 +140,23 @@ def after_ranks(rows: DataFrame, keys: list[str], sizes: DataFrame, wanted: Data
     return joined.withColumn("_after", sum(after[1:], after[0])).drop(
         "_order", "_bucket", *[f"_c{i}" for i in range(width)]
     )
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` over all rows before in the order of `order`, whose values are distinct.
+
+    Rows are dealt out by sampled ranges of the order; a range adds up its own rows, and the driver adds up one number per
+    range, so no task sees all rows.
+    """
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    held = cut_lineage(ranged)
+    totals = held.groupBy("_range").agg(F.sum(value).alias("t")).collect()  # a row per range
+    before, so_far = {}, 0
+    for row in sorted(totals, key=lambda r: r["_range"]):
+        before[row["_range"]] = so_far
+        so_far += row["t"]
+    if not before:
+        return held.drop("_range").withColumn(name, F.lit(0).cast("bigint"))
+    start = F.get(F.array(*[F.lit(before.get(i, 0)).cast("bigint") for i in range(max(before) + 1)]), F.col("_range"))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumn(name, start + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("_range")

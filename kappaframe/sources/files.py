@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaframe.functions.labels import null_if_missing
+from kappaframe.sources.ranges import numbered_lines, quoted_records
 
 BOM = "﻿"
 
@@ -18,14 +19,19 @@ def _clean(cell: Column) -> Column:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated export as text columns plus `pos`, the row order inside the file.
+    """A tab-separated export as text columns plus `pos`, the row's number from 0 over all files in the order of their names.
 
-    The byte-order mark and every double quote are removed from header and cells; cells are never parsed.
+    The byte-order mark and every double quote are removed from header and cells; cells are never parsed. Cells that a
+    short line lacks are empty, those beyond the header are left out; `pos` does not depend on how files are cut up.
     """
-    raw = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False, nullValue="\u0000")
-    names = [c.replace(BOM, "").replace('"', "") for c in raw.columns]
-    cells = [_clean(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in zip(raw.columns, names)]
-    return raw.select(F.monotonically_increasing_id().alias("pos"), *cells)
+    header = spark.read.text(path, lineSep="\n").where("value <> '' AND value <> '\r'").head()
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    tidy = lambda c: F.regexp_replace(_clean(c), "\r$", "")
+    names = header["value"].replace(BOM, "").replace('"', "").rstrip("\r").split("\t")
+    cells = F.split(tidy(F.col("value")), "\t", -1)
+    rows = numbered_lines(spark, path).select("pos", cells.alias("_cells"))
+    return rows.select("pos", *[F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def audit_export(spark: SparkSession, path: str, items: DataFrame, item_field: int = 1) -> DataFrame:
@@ -50,9 +56,14 @@ def audit_export(spark: SparkSession, path: str, items: DataFrame, item_field: i
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A quoted CSV with header; cells that are a missing token become NULL, then types are applied."""
+    """A quoted CSV with header; cells that are a missing token become NULL, then types are applied.
+
+    Cells may hold line breaks, and a file is still read by many tasks (`ranges.quoted_records`).
+    """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text).csv(path, header=True, escape='"', multiLine=True)
+    record = F.regexp_replace("record", "\r$", "")
+    ddl = ", ".join(f"`{f.name}` string" for f in text.fields)
+    raw = quoted_records(spark, path).select(F.from_csv(record, ddl, {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*")
     columns = []
     for field in schema.fields:
         cell = null_if_missing(F.col(f"`{field.name}`"))

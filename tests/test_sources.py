@@ -1,11 +1,17 @@
 """Readers and writers on small files."""
 
+import csv
+import io
+import random
+
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaframe.operators.embedding import pool_tokens
+from kappaframe.operators.ordering import running_total
 from kappaframe.plans.training_table import training_table, unlabelled_table
-from kappaframe.sources import files, metadata
+from kappaframe.sources import files, metadata, ranges
 
 
 def test_export(spark, tmp_path):
@@ -29,6 +35,63 @@ def test_csv_types(spark, tmp_path):
     assert rows == [(1, 'a "b", c\nd', 2), (2, None, None), (3, "0", None)]
 
 
+@pytest.fixture
+def ranges_of(spark):
+    """Sets the bytes of a range; what was set before comes back."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def cut(size):
+        for name in names:
+            spark.conf.set(name, str(size))
+
+    yield cut
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000, 1 << 27])
+def test_quoted_records_in_ranges(spark, tmp_path, ranges_of, size):
+    draw = random.Random(4)
+    want = []
+    for name in ("b.csv", "a.csv"):
+        rows = [[f"{name}{i}", "".join(draw.choice(['"', ",", "\n", "\r\n", "é", "word", " "]) for _ in range(draw.randint(0, 40)))] for i in range(60)]
+        rows[7][1] = "x\n" * 300  # runs over many ranges
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\r\n" if name == "a.csv" else "\n", quoting=csv.QUOTE_ALL)
+            out.writerows([["id", "a title\nin two lines"], *rows])
+        want += rows
+    ranges_of(size)
+    records = ranges.quoted_records(spark, str(tmp_path))
+    if size == 40:
+        assert ranges.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 50
+    got = [next(csv.reader(io.StringIO(r["record"], newline=""))) for r in records.collect()]
+    assert sorted(got) == sorted(want)
+    typed = files.read_csv(spark, str(tmp_path), T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())]))
+    told = {r["id"]: r["text"] for r in typed.collect()}
+    assert len(told) == len(want) and all(told[i] == (t if t not in ("", "NA") else None) for i, t in want if t.strip(" ") == t)
+
+
+@pytest.mark.parametrize("size", [9, 64, 1 << 27])
+def test_positions_do_not_depend_on_ranges(spark, tmp_path, ranges_of, size):
+    for k, name in enumerate(("part-1.txt", "part-0.txt", "part-2.txt")):
+        body = "\n".join(f"{name}-{i}\tVH{i}\tsome text" for i in range(50 if k < 2 else 0))
+        (tmp_path / name).write_text("id\taccession\ttext\n\n" + body + "\n\n")
+    ranges_of(size)
+    rows = files.read_export(spark, str(tmp_path)).collect()
+    assert sorted((r["pos"], r["id"]) for r in rows) == [(50 * k + i, f"part-{k}.txt-{i}") for k in range(2) for i in range(50)]
+
+
+def test_running_total(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i % 5) for i in range(101)], "k int, n bigint")
+    got = running_total(df, ["k"], "n", "before").orderBy("k").collect()
+    total = 0
+    for r in got:
+        assert r["before"] == total
+        total += r["n"]
+    assert len(got) == 101 and running_total(df.where("false"), ["k"], "n", "before").collect() == []
+
+
 def test_run_outputs(spark, tmp_path):
     for run, extra in (("a", ",predict3"), ("b", "")):
         (tmp_path / "deep" / run).mkdir(parents=True)
