@@ -119,23 +119,23 @@ def long_metrics(scores: DataFrame, keys: list[str], prefix: str = "") -> DataFr
     return scores.select(*keys, F.inline(F.array(*pairs)))
 
 
-def itemwise_scores(df: DataFrame, split: str, item: str, truth: str, predicted: str) -> DataFrame:
-    """Long metrics per split and item, with `MACRO` (mean over items) and `POOLED` (all rows) added per split.
+def itemwise_scores(df: DataFrame, split: str, item: str, truth: str, predicted: str, keys: list[str] | None = None) -> DataFrame:
+    """Long metrics per split and item (and `keys`, such as the run), with `MACRO` (mean over items) and `POOLED` (all rows)
+    added per split.
 
     Metric names carry the split as prefix.
     """
-    cells = confusion_cells(df, [split, item], truth, predicted)
-    pooled = cells.withColumn(item, F.lit("POOLED")).groupBy(split, item, "truth", "predicted").agg(
-        F.sum("n").alias("n")
-    )
-    per_item = agreement(cells.unionByName(pooled), [split, item])
-    macro = per_item.where(F.col(item) != "POOLED").groupBy(split).agg(
+    by = [*(keys or []), split]
+    cells = confusion_cells(df, [*by, item], truth, predicted)
+    pooled = cells.withColumn(item, F.lit("POOLED")).groupBy(*by, item, "truth", "predicted").agg(F.sum("n").alias("n"))
+    per_item = agreement(cells.unionByName(pooled), [*by, item])
+    macro = per_item.where(F.col(item) != "POOLED").groupBy(*by).agg(
         F.lit("MACRO").alias(item),
         F.sum("n").alias("n"),
         *[F.avg(m).alias(m) for m in ("accuracy", "kappa", "quadratic_kappa")],
     )
     both = per_item.unionByName(macro)
-    return long_metrics(both, [split, item]).withColumn("metric", F.concat_ws("_", F.col(split), F.col("metric")))
+    return long_metrics(both, [*by, item]).withColumn("metric", F.concat_ws("_", F.col(split), F.col("metric")))
 
 
 def parsed_score_agreement(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,10 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kappaframe.functions.labels import round_half_even
 from kappaframe.operators.agreement import agreement, confusion_cells
+from kappaframe.operators.ordering import running_total
 
 
 def join_attributes(predictions: DataFrame, attributes: DataFrame, groups: list[str], on: str = "id") -> DataFrame:
@@ -82,9 +82,9 @@ def bias_overall(pairs: DataFrame, item: str = "qid") -> DataFrame:
     own = values.groupBy(item).agg(F.avg("v").alias("item_bias"))
     first = values.groupBy("v").agg(F.min(item).alias(item)).groupBy(item)
     fresh = first.agg(F.sum("v").alias("_s"), F.count("v").alias("_c"))
-    upto = Window.orderBy(item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = own.join(fresh, item, "left").fillna(0, ["_s", "_c"])
-    return joined.select(item, "item_bias", (F.sum("_s").over(upto) / F.sum("_c").over(upto)).alias("running_bias"))
+    upto = running_total(joined, [item], {"_before": "_s", "_count": "_c"})
+    return upto.select(item, "item_bias", ((F.col("_before") + F.col("_s")) / (F.col("_count") + F.col("_c"))).alias("running_bias"))
 
 
 def bias_matrix(pairs: DataFrame, levels: list[str], item: str = "qid") -> DataFrame:

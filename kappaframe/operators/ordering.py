@@ -142,21 +142,25 @@ def after_ranks(rows: DataFrame, keys: list[str], sizes: DataFrame, wanted: Data
     )
 
 
-def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows before in the order of `order`, whose values are distinct.
+def running_total(df: DataFrame, order: list[str], totals: dict[str, str]) -> DataFrame:
+    """`df` with a column per entry of `totals`, new name to summed column: the sum over all rows before in the order of
+    `order`, whose values are distinct.
 
     Rows are dealt out by sampled ranges of the order; a range adds up its own rows, and the driver adds up one number per
     range, so no task sees all rows.
     """
-    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
-    held = cut_lineage(ranged)
-    totals = held.groupBy("_range").agg(F.sum(value).alias("t")).collect()  # a row per range
-    before, so_far = {}, 0
-    for row in sorted(totals, key=lambda r: r["_range"]):
-        before[row["_range"]] = so_far
-        so_far += row["t"]
-    if not before:
-        return held.drop("_range").withColumn(name, F.lit(0).cast("bigint"))
-    start = F.get(F.array(*[F.lit(before.get(i, 0)).cast("bigint") for i in range(max(before) + 1)]), F.col("_range"))
+    held = cut_lineage(df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
+    sums = [F.sum(value).alias(name) for name, value in totals.items()]
+    rows = {r["_range"]: r for r in held.groupBy("_range").agg(*sums).collect()}  # a row per range
     own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return held.withColumn(name, start + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("_range")
+    out = held
+    for name, value in totals.items():
+        kind = df.schema[value].dataType
+        starts, so_far = [], 0
+        for i in range(max(rows, default=-1) + 1):
+            starts.append(so_far)
+            so_far += rows[i][name] or 0 if i in rows else 0
+        start = F.get(F.array(*[F.lit(x) for x in starts] or [F.lit(0)]), F.col("_range"))
+        inner = F.coalesce(F.sum(value).over(own), F.lit(0))
+        out = out.withColumn(name, (start + inner).cast("double" if kind.typeName() in ("double", "float") else "bigint"))
+    return out.drop("_range")

@@ -28,14 +28,15 @@ def epoch_agreement(long: DataFrame, keys: list[str]) -> DataFrame:
     return agreement(confusion_cells(long, [*keys, "epoch"], "label", "predict"), [*keys, "epoch"])
 
 
-def best_epoch(metrics: DataFrame, item: str = "qid") -> DataFrame:
-    """Epoch with the highest positive validation kappa per item (first epoch on ties) and the test kappa
-    at that epoch. `metrics` holds `(item, epoch, eval_kappa, test_kappa)`."""
+def best_epoch(metrics: DataFrame, item: str = "qid", keys: list[str] | None = None) -> DataFrame:
+    """Epoch with the highest positive validation kappa per item, and per `keys` such as the run (first epoch on ties), and
+    the test kappa at that epoch. `metrics` holds `(keys, item, epoch, eval_kappa, test_kappa)`."""
+    by = [*(keys or []), item]
     choice = F.max_by(
         F.struct("epoch", "eval_kappa", "test_kappa"), F.struct(F.col("eval_kappa"), (-F.col("epoch")).alias("e"))
     )
-    best = metrics.where(F.col("eval_kappa") > 0).groupBy(item).agg(choice.alias("b"))
-    return best.select(item, F.col("b.epoch").alias("epoch"), "b.eval_kappa", "b.test_kappa")
+    best = metrics.where(F.col("eval_kappa") > 0).groupBy(*by).agg(choice.alias("b"))
+    return best.select(*by, F.col("b.epoch").alias("epoch"), "b.eval_kappa", "b.test_kappa")
 
 
 def window_predictions(wide: DataFrame, keys: list[str], label: str, shortest: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kappaframe.operators.ordering import running_total
+
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     return df.join(ids.select(on), on, "left_semi")
@@ -42,9 +44,9 @@ def stack_versions(old: DataFrame, new: DataFrame, label: str = "label1") -> Dat
 
 
 def label_ids(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct labels numbered from 0 (the label set is what a rater can give, so it is small)."""
-    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    return labels.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("bigint").alias("label_id"))
+    """Sorted distinct labels numbered from 0, however many there are."""
+    labels = df.where(F.col(label).isNotNull()).select(label).distinct().withColumn("_one", F.lit(1))
+    return running_total(labels, [label], {"label_id": "_one"}).drop("_one")
 
 
 def label_shares(df: DataFrame, item: str, label: str) -> DataFrame:

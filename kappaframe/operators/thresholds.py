@@ -30,8 +30,7 @@ SIMPLE_OBJECTIVES = (
 SCORE_BUCKETS = 1024
 
 
-def _metric(name: str) -> Column:
-    tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
+def _metric(name: str, tp: Column, fp: Column) -> Column:
     p, n = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
     some = lambda a, b: F.when(b > 0, a / b)
     return {
@@ -65,62 +64,71 @@ def roc_points(
     return running_sums(counts, ["grp"], F.desc("score"), bucket, ["pos", "neg"]).drop("pos", "neg")
 
 
-def _upper_hull(points: np.ndarray) -> np.ndarray:
-    """Upper convex hull of (x, y, threshold) rows, in x order."""
-    order = np.lexsort((points[:, 2], -points[:, 1], points[:, 0]))
-    points = points[order]
-    points = points[np.r_[True, np.diff(points[:, 0]) > 0]]  # best y per x
-    hull: list[np.ndarray] = []
-    for p in points:
-        while len(hull) > 1:
-            a, b = hull[-2], hull[-1]
-            if (b[1] - a[1]) * (p[0] - a[0]) <= (p[1] - a[1]) * (b[0] - a[0]):
-                hull.pop()
-            else:
+def _plane(x: str, y: str) -> Column:
+    """Sign of the area that (positives, negatives) turn into (x, y): every rate is linear in the two counts, so a corner of
+    the hull is a corner in whole numbers, up to this sign; 0 where x and y rise together everywhere."""
+    at = lambda name, pos, neg: _metric(name, F.lit(float(pos)), F.lit(float(neg)))
+    slope = lambda name, pos, neg: at(name, pos, neg) - at(name, 0, 0)
+    area = slope(x, 1, 0) * slope(y, 0, 1) - slope(x, 0, 1) * slope(y, 1, 0)
+    size = F.abs(slope(x, 1, 0) * slope(y, 0, 1)) + F.abs(slope(x, 0, 1) * slope(y, 1, 0))
+    return F.when(F.abs(area) <= size * 1e-12, 0).otherwise(F.signum(area)).cast("int")
+
+
+def _upper_hull(rows: pd.DataFrame) -> pd.DataFrame:
+    """Corners of the upper hull of `(x, y, thr, pos, neg)`, in x order; exact, since turns are taken from the counts.
+
+    Of points with equal x the highest stays, then the smallest threshold.
+    """
+    rows = rows.sort_values(["x", "y", "thr"], ascending=[True, False, True], kind="stable")
+    rows = rows[rows["x"].diff().fillna(1.0) > 1e-15]
+    sign = int(rows["sign"].iloc[0])
+    pos, neg = rows["pos"].tolist(), rows["neg"].tolist()
+    kept: list[int] = []
+    for p in range(len(rows)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            turn = (pos[b] - pos[a]) * (neg[p] - neg[a]) - (neg[b] - neg[a]) * (pos[p] - pos[a])
+            if turn * sign < 0:
                 break
-        hull.append(p)
-    return np.array(hull).reshape(-1, 3)
+            kept.pop()
+        kept.append(p)
+    return rows.iloc[kept]
+
+
+HULL = ["grp", "x", "y", "thr", "pos", "neg", "total_pos", "total_neg", "sign"]
+HULL_TYPES = "grp string, x double, y double, thr double, pos bigint, neg bigint, total_pos bigint, total_neg bigint, sign int"
+STRIPS = 256
 
 
 def hull_points(points: DataFrame, x: str, y: str) -> DataFrame:
-    """`(grp, x, y, thr, total_pos, total_neg)`: upper hull of every group's points and of selecting nobody.
+    """`HULL`: corners of the upper hull of every group's points and of selecting nobody.
 
-    A point on the hull of a group is on the hull of any part of it, so every partition keeps a running hull
-    per group (its size, not the number of points, bounds the memory) and only these meet.
+    First the highest point of each of STRIPS strips of x is found, natively; a point below the chord between the highest
+    points of the strips beside its own is on no hull and goes, still natively. What stays is a running hull per partition and
+    group, and only these meet.
     """
-    zero = {"cum_pos": F.lit(0), "cum_neg": F.lit(0)}
-    own = points.withColumns({"x": _metric(x), "y": _metric(y)})
-    every = own.withColumns(zero).withColumns({"x0": _metric(x), "y0": _metric(y)})
-    every = every.select("grp", "x", "y", F.col("score").alias("thr"), "x0", "y0", "total_pos", "total_neg").dropna()
-    columns = ["x", "y", "thr"]
-
-    def frame(grp: str, hull: np.ndarray, totals: tuple) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"grp": grp, "x": hull[:, 0], "y": hull[:, 1], "thr": hull[:, 2], "total_pos": totals[0], "total_neg": totals[1]}
-        )
+    own = points.select("grp", F.col("score").alias("thr"), F.col("cum_pos").alias("pos"), F.col("cum_neg").alias("neg"), "total_pos", "total_neg")
+    none = own.groupBy("grp").agg(*[F.max(c).alias(c) for c in ("total_pos", "total_neg")]).select(
+        "grp", F.lit(float("inf")).alias("thr"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"), "total_pos", "total_neg"
+    )
+    rate = lambda name: _metric(name, F.col("pos").cast("double"), F.col("neg").cast("double"))
+    every = own.unionByName(none).withColumns({"x": rate(x), "y": rate(y), "sign": _plane(x, y)}).select(*HULL).dropna()
+    strip = F.least(F.floor(F.col("x") * STRIPS), F.lit(STRIPS - 1)).cast("int")
+    marked = every.withColumn("_s", strip)
+    tops = marked.groupBy("grp", "_s").agg(F.max_by(F.struct("x", "y"), F.struct("y", "x")).alias("top"))
+    near = Window.partitionBy("grp").orderBy("_s")  # at most STRIPS rows of a group
+    chords = tops.select("grp", "_s", F.lag("top").over(near).alias("a"), F.lead("top").over(near).alias("b"))
+    chord = F.col("a.y") + (F.col("b.y") - F.col("a.y")) * (F.col("x") - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    kept = fresh(marked).join(chords, ["grp", "_s"]).where(F.col("a").isNull() | F.col("b").isNull() | (F.col("y") >= chord - 1e-9))
 
     def partition_hulls(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hulls: dict[str, tuple[np.ndarray, tuple]] = {}
+        hulls: dict[str, pd.DataFrame] = {}
         for part in parts:
             for grp, rows in part.groupby("grp", sort=False):
-                first = rows.iloc[0]
-                if grp in hulls:
-                    known, totals = hulls[grp]
-                else:
-                    # no row is at or above +infinity
-                    known = np.array([[first["x0"], first["y0"], np.inf]])
-                    totals = (first["total_pos"], first["total_neg"])
-                hulls[grp] = (_upper_hull(np.vstack([known, rows[columns].to_numpy(dtype=float)])), totals)
-        for grp, (hull, totals) in hulls.items():
-            yield frame(grp, hull, totals)
-
-    def join_hulls(part: pd.DataFrame) -> pd.DataFrame:
-        first = part.iloc[0]
-        hull = _upper_hull(part[columns].to_numpy(dtype=float))
-        return frame(first["grp"], hull, (first["total_pos"], first["total_neg"]))
-
-    schema = "grp string, x double, y double, thr double, total_pos bigint, total_neg bigint"
-    return every.mapInPandas(partition_hulls, schema).groupBy("grp").applyInPandas(join_hulls, schema)
+                hulls[grp] = _upper_hull(pd.concat([hulls[grp], rows]) if grp in hulls else rows)
+        yield from hulls.values()
+
+    return kept.select(*HULL).mapInPandas(partition_hulls, HULL_TYPES).groupBy("grp").applyInPandas(_upper_hull, HULL_TYPES)
 
 
 def _on_grid(hull: DataFrame, grid_size: int) -> DataFrame:
@@ -169,7 +177,7 @@ def fit_thresholds(
     if objective not in (("accuracy_score", "balanced_accuracy_score") if odds else SIMPLE_OBJECTIVES):
         raise ValueError(f"objective {objective} does not go with {constraint}")
     x_name, y_name = ("false_positive_rate", "true_positive_rate") if odds else (SIMPLE_CONSTRAINTS[constraint], objective)
-    points = roc_points(df, score, y, group, bucket)
+    points = cut_lineage(roc_points(df, score, y, group, bucket))
     hull = hull_points(points, x_name, y_name)
     joined = cut_lineage(_on_grid(hull, grid_size))  # grid_size + 1 rows per group
     weight = F.col("total_pos") + F.col("total_neg")

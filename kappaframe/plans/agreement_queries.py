@@ -120,6 +120,24 @@ def item_scores_long(t: Tables):
     return B.six(A.itemwise_scores(rows, "split", "qid", "label", "predict5"), "value")
 
 
+_RUN_CELLS = f"SELECT run, split, qid, label AS t, predict5 AS p, 1 AS n FROM ({B.RUNS_SQL})"
+
+
+@query(
+    "item_scores_runs",
+    f"""{B.agreement_sql(f"SELECT * FROM ({_RUN_CELLS}) UNION ALL SELECT run, split, 'POOLED' AS qid, t, p, n FROM ({_RUN_CELLS})",
+                         ['run', 'split', 'qid'])},
+    al AS (SELECT run, split, qid, accuracy, kappa, quadratic_kappa FROM agr UNION ALL
+           SELECT run, split, 'MACRO', avg(accuracy), avg(kappa), avg(quadratic_kappa) FROM agr WHERE qid <> 'POOLED' GROUP BY run, split)
+    SELECT run, split, qid, split || '_accuracy' AS metric, ROUND(accuracy, 6) AS value FROM al UNION ALL
+    SELECT run, split, qid, split || '_kappa', ROUND(kappa, 6) FROM al UNION ALL
+    SELECT run, split, qid, split || '_quadratic_kappa', ROUND(quadratic_kappa, 6) FROM al""",
+)
+def item_scores_runs(t: Tables):
+    """Item scores of every run."""
+    return B.six(A.itemwise_scores(B.runs(t), "split", "qid", "label", "predict5", keys=["run"]), "value")
+
+
 @query(
     "score_post_rule",
     f"""{B.agreement_sql(f'''SELECT qid, 'evidence' AS rule, least(label, 3) AS t,
@@ -308,6 +326,24 @@ def best_epoch(t: Tables):
     return B.six(S.best_epoch(metrics), "eval_kappa", "test_kappa")
 
 
+@query(
+    "best_epoch_runs",
+    f"""{_EPOCH}, m AS (SELECT run, qid, epoch, max(CASE WHEN split = 'val' THEN ROUND(quadratic_kappa, 12) END) AS eval_kappa,
+      max(CASE WHEN split = 'test' THEN ROUND(quadratic_kappa, 12) END) AS test_kappa FROM agr GROUP BY run, qid, epoch),
+    r AS (SELECT *, row_number() OVER (PARTITION BY run, qid ORDER BY eval_kappa DESC, epoch) AS k FROM m WHERE eval_kappa > 0)
+    SELECT run, qid, epoch, ROUND(eval_kappa, 6) AS eval_kappa, ROUND(test_kappa, 6) AS test_kappa FROM r WHERE k = 1""",
+)
+def best_epoch_runs(t: Tables):
+    """The best epoch of every run and item."""
+    long = S.to_long(B.runs(t), ["run", "split", "qid", "label"])
+    value = F.round("quadratic_kappa", 12)
+    metrics = S.epoch_agreement(long, ["run", "split", "qid"]).groupBy("run", "qid", "epoch").agg(
+        F.max(F.when(F.col("split") == "val", value)).alias("eval_kappa"),
+        F.max(F.when(F.col("split") == "test", value)).alias("test_kappa"),
+    )
+    return B.six(S.best_epoch(metrics, keys=["run"]), "eval_kappa", "test_kappa")
+
+
 _WINDOWS = " UNION ALL ".join(
     f"""SELECT run, split, qid, {s} AS s, {e} AS e, label AS t,
     CAST(round_even(({' + '.join(f'predict{k}' for k in range(s, e + 1))}) / {e - s + 1}.0, 0) AS INT) AS p, 1 AS n FROM ({B.RUNS_SQL})"""

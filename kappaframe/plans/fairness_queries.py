@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from kappaframe.functions.seeded import MODULUS, mix_sql
 from kappaframe.operators import fairness as G
 from kappaframe.operators import thresholds as T
 from kappaframe.plans import bindings as B
@@ -179,18 +179,78 @@ def fair_thresholds(t: Tables):
     return B.six(rules.select("grp", "x", "y"), "x", "y")
 
 
-@query("fair_thresholds_odds")
+# rates and objectives as whole numbers that rise with them, and as fractions
+_RATES = {
+    "selection_rate": ("tp + fp", "(tp + fp) / (p + n)"), "true_positive_rate": ("tp", "tp / p"), "false_positive_rate": ("fp", "fp / n"),
+    "false_negative_rate": ("p - tp", "(p - tp) / p"), "accuracy_score": ("tp + n - fp", "(tp + n - fp) / (p + n)"),
+    "balanced_accuracy_score": ("tp * n + (n - fp) * p", "(tp / p + (n - fp) / n) / 2"),
+}
+
+
+def rules_sql(x: str, y: str, grid: int = 1000, odds: bool = False) -> str:
+    """`WITH ... rules (grp, x, y, p0, t0, p1, t1, p_ignore, p_const)` by plain definitions: a point is a corner of the upper
+    hull when the flattest way to it from the left is steeper than the steepest way from it to the right. The objective
+    of equal odds is the accuracy."""
+    value = "(sum(p) * min(y) + sum(n) * (1 - x)) / sum(p + n)" if odds else "sum((p + n) * y) / sum(p + n)"
+    return f"""WITH c AS (SELECT grp, score, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM ({_SCORED}) GROUP BY grp, score),
+  cum AS (SELECT grp, score AS thr, (sum(pos) OVER w)::BIGINT AS tp, (sum(neg) OVER w)::BIGINT AS fp, (sum(pos) OVER (PARTITION BY grp))::BIGINT AS p,
+      (sum(neg) OVER (PARTITION BY grp))::BIGINT AS n FROM c WINDOW w AS (PARTITION BY grp ORDER BY score DESC)),
+  ends AS (SELECT * FROM cum UNION ALL SELECT DISTINCT grp, 'Infinity'::DOUBLE, 0, 0, p, n FROM cum),
+  pts AS (SELECT *, {_RATES[x][0]} AS ix, {_RATES[y][0]} AS iy, {_RATES[x][1]} AS x, {_RATES[y][1]} AS y FROM ends
+    QUALIFY row_number() OVER (PARTITION BY grp, {_RATES[x][0]} ORDER BY {_RATES[y][0]} DESC, thr) = 1),
+  ways AS (SELECT a.grp, a.ix, min(CASE WHEN b.ix < a.ix THEN (a.iy - b.iy)::HUGEINT * 1000000000 // (a.ix - b.ix) END) AS come,
+      max(CASE WHEN b.ix > a.ix THEN (b.iy - a.iy)::HUGEINT * 1000000000 // (b.ix - a.ix) END) AS go
+    FROM pts a JOIN pts b ON a.grp = b.grp GROUP BY a.grp, a.ix),
+  hull AS (SELECT pts.*, row_number() OVER (PARTITION BY pts.grp ORDER BY x) AS k FROM pts JOIN ways ON pts.grp = ways.grp AND pts.ix = ways.ix
+    WHERE come IS NULL OR go IS NULL OR come > go),
+  g AS (SELECT i, i / {float(grid)}::DOUBLE AS gx FROM range(0, {grid + 1}) r(i)),
+  right_of AS (SELECT h.grp, g.i, g.gx, min(CASE WHEN h.x >= g.gx THEN h.k END) AS k, max(h.k) AS top FROM hull h, g GROUP BY h.grp, g.i, g.gx
+    HAVING g.gx >= min(h.x) - 1e-12 AND g.gx <= max(h.x) + 1e-12),
+  sides AS (SELECT r.grp, r.i, r.gx AS x, a.x AS ax, b.x AS bx, a.y AS ay, b.y AS b_y, a.thr AS t0, b.thr AS t1, b.p, b.n,
+      CASE WHEN b.x > a.x THEN least(1.0, greatest(0.0, (r.gx - a.x) / (b.x - a.x))) ELSE 1.0 END AS p1
+    FROM right_of r JOIN hull b ON b.grp = r.grp AND b.k = coalesce(r.k, r.top) JOIN hull a ON a.grp = r.grp AND a.k = greatest(coalesce(r.k, r.top) - 1, 1)),
+  on_grid AS (SELECT *, (1 - p1) * ay + p1 * b_y AS y FROM sides),
+  tot AS (SELECT i, x, {value} AS v, min(y) AS y, count(*) AS k FROM on_grid GROUP BY i, x),
+  pick AS (SELECT i, y FROM tot ORDER BY k DESC, ROUND(v, 12) DESC, i LIMIT 1),
+  rules AS (SELECT o.grp, o.x, o.y, 1 - p1 AS p0, t0, p1, t1, {"CASE WHEN o.y - o.x > 1e-12 THEN (o.y - pick.y) / (o.y - o.x) ELSE 0.0 END" if odds else "0.0"} AS p_ignore,
+      {"o.x" if odds else "0.0"} AS p_const FROM on_grid o JOIN pick ON o.i = pick.i)"""
+
+
+RULE = ["x", "y", "p0", "t0", "p1", "t1", "p_ignore", "p_const"]
+_RULE = ", ".join(f"ROUND(CASE WHEN {c} < 1e9 THEN {c} END, 6) AS {c}" for c in RULE)
+
+
+def told_rules(rules):
+    """Rules with rounded numbers; a threshold that nobody reaches is NULL."""
+    return B.six(rules.select("grp", *[F.when(F.col(c) < 1e9, F.col(c)).alias(c) for c in RULE]), *RULE)
+
+
+@query("fair_thresholds_full", f"{rules_sql('false_negative_rate', 'balanced_accuracy_score')} SELECT grp, {_RULE} FROM rules")
+def fair_thresholds_full(t: Tables):
+    """Whole rules for equal false negative rates on the full grid."""
+    return told_rules(T.fit_thresholds(scored(t), "false_negative_rate_parity", "balanced_accuracy_score"))
+
+
+@query("fair_thresholds_odds", f"{rules_sql('false_positive_rate', 'true_positive_rate', odds=True)} SELECT grp, {_RULE} FROM rules")
 def fair_thresholds_odds(t: Tables):
     """Rules for equal true and false positive rates."""
-    return T.fit_thresholds(scored(t), "equalized_odds", "accuracy_score")
+    return told_rules(T.fit_thresholds(scored(t), "equalized_odds", "accuracy_score"))
 
 
-@query("fair_predict")
+@query(
+    "fair_predict",
+    f"""{rules_sql('selection_rate', 'accuracy_score')},
+    z AS (SELECT s.grp, s.y, CASE WHEN {mix_sql('id', 0)} / {float(MODULUS)}::DOUBLE < r.p_ignore * r.p_const + (1 - r.p_ignore) * (r.p0 * (s.score >= r.t0)::INT + r.p1 * (s.score >= r.t1)::INT)
+      THEN 1 ELSE 0 END AS z FROM ({_SCORED}) s JOIN rules r ON s.grp = r.grp)
+    SELECT grp, count(*) AS n, ROUND(avg(z), 6) AS selection_rate, ROUND(sum(z * y) / sum(y), 6) AS true_positive_rate,
+      ROUND(sum(z * (1 - y)) / sum(1 - y), 6) AS false_positive_rate, ROUND(avg((z = y)::INT), 6) AS accuracy FROM z GROUP BY grp""",
+)
 def fair_predict(t: Tables):
     """Randomised predictions and the rates they give per group."""
     rows = scored(t)
     rules = T.fit_thresholds(rows, "demographic_parity", "accuracy_score")
-    return T.group_rates(T.predict_with_thresholds(rows, rules), "grp", "y", "z")
+    rates = T.group_rates(T.predict_with_thresholds(rows, rules), "grp", "y", "z")
+    return B.six(rates, "selection_rate", "true_positive_rate", "false_positive_rate", "accuracy")
 
 
 @query("logistic_baseline")

@@ -97,6 +97,25 @@ def label_mix_change(t: Tables):
     return N.label_mix_change(N.nearest(rows, rows, TOP), N.nearest(half, half, TOP), rows)
 
 
+# a second embedding of the same rows: each vector less the one before it in the order of components, all of them used
+_SECOND = _V.replace("embedding AS emb", "list_transform(range(1, 65), lambda i: embedding[i] - CASE WHEN i > 1 THEN embedding[i - 1] ELSE 0 END) AS emb")
+
+
+@query(
+    "label_mix_whole",
+    f"""WITH a AS ({_EDGES}), b AS ({edges_sql(_SECOND, _SECOND, TOP)}),
+    x AS (SELECT query_id, label1 AS label, count(*) AS n FROM a JOIN ({_V}) v ON a.neighbor_id = v.id GROUP BY 1, 2),
+    y AS (SELECT query_id, label1 AS label, count(*) AS n FROM b JOIN ({_V}) v ON b.neighbor_id = v.id GROUP BY 1, 2)
+    SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.label, y.label) AS label, coalesce(x.n, 0) AS n_before,
+      coalesce(y.n, 0) AS n_after FROM x FULL JOIN y ON x.query_id = y.query_id AND x.label = y.label""",
+)
+def label_mix_whole(t: Tables):
+    """Neighbour labels under two whole embeddings."""
+    rows = B.vectors(t)
+    second = rows.withColumn("emb", F.transform("emb", lambda x, i: x - F.coalesce(F.get("emb", i - 1), F.lit(0).cast("float"))))
+    return N.label_mix_change(N.nearest(rows, rows, TOP), N.nearest(second, second, TOP), rows)
+
+
 _SPLIT = "CASE id % 4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END"
 _UNSURE = "id % 3 = 0"
 _PARTED = f"SELECT *, {_SPLIT} AS split, {_UNSURE} AS unsure FROM ({_V})"

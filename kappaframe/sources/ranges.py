@@ -66,7 +66,7 @@ def numbered_lines(spark: SparkSession, path: str, header: bool = True) -> DataF
     rows = lines(spark, path).where("value <> '' AND value <> '\r'")
     first = F.when(F.col("start") == 0, 1).otherwise(0) if header else F.lit(0)
     counts = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n") - first)
-    before = running_total(counts, ["file", "start"], "n", "before").select("file", "start", "before")
+    before = running_total(counts, ["file", "start"], {"before": "n"}).select("file", "start", "before")
     placed = _with_places(rows).join(before, ["file", "start"]).withColumn("at", F.col("at") - first)
     return placed.where("at >= 0").select((F.col("before") + F.col("at")).alias("pos"), "value")
 

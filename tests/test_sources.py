@@ -84,12 +84,12 @@ def test_positions_do_not_depend_on_ranges(spark, tmp_path, ranges_of, size):
 
 def test_running_total(spark):
     df = spark.createDataFrame([(i * 7 % 101, i % 5) for i in range(101)], "k int, n bigint")
-    got = running_total(df, ["k"], "n", "before").orderBy("k").collect()
+    got = running_total(df, ["k"], {"before": "n"}).orderBy("k").collect()
     total = 0
     for r in got:
         assert r["before"] == total
         total += r["n"]
-    assert len(got) == 101 and running_total(df.where("false"), ["k"], "n", "before").collect() == []
+    assert len(got) == 101 and running_total(df.where("false"), ["k"], {"before": "n"}).collect() == []
 
 
 def test_run_outputs(spark, tmp_path):
