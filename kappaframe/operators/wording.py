@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from operator import add
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
-from kappaframe.session import cut_lineage, shuffle_width, spread
+from kappaframe.session import cut_lineage, fresh, shuffle_width, spread
 
 WORD = "\\p{L}+"
 PIECES = "\\p{L}+|[^\\p{L}]+"
@@ -73,21 +74,35 @@ def spelling_corrections(counts: DataFrame, rare: int = 1, frequent: int = 20) -
     )
 
 
+def _placed_words(rows: DataFrame, id_column: str, text: str) -> DataFrame:
+    """`(id, pos, word, raised)`: every word of a text, its place among the text's pieces, and whether it begins with a capital."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
+    words = rows.select(F.col(id_column).alias("id"), F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").rlike("^\\p{L}"))
+    raised = (F.substring("piece", 1, 1) != F.substring(F.lower("piece"), 1, 1)).cast("int")
+    return words.select("id", "pos", F.lower("piece").alias("word"), raised.alias("raised"))
+
+
 def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, frequent: int = 20) -> DataFrame:
     """Adds `corrected`: the whole text with rare words replaced, everything else left as it is.
 
-    Only corrected places are joined back to the texts: a text is cut into words and what lies between, and
-    put together again from the stretches between its corrected places. A capital at the start of a word stays.
+    A word that occurs once carries its place along with its count, so the words of the texts are never joined again; only
+    with `rare` above 1 are further occurrences looked up. Corrected places meet the texts by id: a text is cut into words
+    and what lies between, and put together again from the stretches between its corrected places. A capital at the start
+    of a word stays.
     """
-    fixes = cut_lineage(spelling_corrections(word_counts(df, text), rare, frequent).select("word", "correction"))
     rows = spread(df)
+    words = _placed_words(rows, id_column, text)
+    first = [F.min(c).alias(c) for c in ("id", "pos", "raised")]
+    counts = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *first))
+    fixes = cut_lineage(spelling_corrections(counts.select("word", "n"), rare, frequent).select("word", "correction"))
+    found = counts.where("n = 1").drop("n").join(fixes, "word")
+    if rare > 1:
+        several = fresh(counts).where(f"n BETWEEN 2 AND {int(rare)}").join(fixes, "word", "left_semi").select("word")
+        found = found.unionByName(words.join(several, "word", "left_semi").join(fresh(fixes), "word"), allowMissingColumns=False)
+    upper = F.concat(F.upper(F.substring("correction", 1, 1)), F.substring(F.col("correction"), F.lit(2), F.length("correction")))
+    fix = F.when(F.col("raised") == 1, upper).otherwise(F.col("correction"))
+    places = found.groupBy(F.col("id").alias(id_column)).agg(F.sort_array(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("_at"))
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
-    words = rows.select(id_column, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece").rlike("^\\p{L}"))
-    found = words.withColumn("word", F.lower("piece")).join(fixes, "word")
-    capital = F.substring("piece", 1, 1) != F.substring("word", 1, 1)
-    raised = F.concat(F.upper(F.substring("correction", 1, 1)), F.substring(F.col("correction"), F.lit(2), F.length("correction")))
-    fix = F.when(capital, raised).otherwise(F.col("correction"))
-    places = found.groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("pos", fix.alias("fix")))).alias("_at"))
     joined = rows.join(places, id_column, "left").withColumn("_pieces", F.when(F.col("_at").isNotNull(), pieces))
 
     def stretch(i: Column) -> Column:
@@ -103,47 +118,68 @@ def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, fr
     )
 
 
-def _grams(text: Column) -> Column:
-    letters = F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")
-    return F.regexp_extract_all(letters, F.lit("(?=(.{3}))"), F.lit(1))
+CELLS = 1 << 16  # character triples share so many cells
+_LEADS = (961, 31, 1)
+_PIECE = 1 << 20  # characters of a text that are looked at together
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " ")
 
 
-def trigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """`(keys, gram, n)`: overlapping character triples of the letters of a text, spaces between words kept."""
-    return spread(df.select(*keys, text)).select(*keys, F.explode(_grams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+def _cells(text: str) -> Iterator[np.ndarray]:
+    """Cells of the overlapping character triples of a text: 961 a + 31 b + c of their code points, modulo CELLS."""
+    for at in range(0, max(len(text) - 2, 0), _PIECE):
+        points = np.frombuffer(text[at : at + _PIECE + 2].encode("utf-32-le"), np.uint32).astype(np.int64)
+        yield (points[:-2] * _LEADS[0] + points[1:-1] * _LEADS[1] + points[2:] * _LEADS[2]) % CELLS
 
 
 def language_profiles(df: DataFrame, text: str, language: str) -> DataFrame:
-    """`(gram, language, n)` over the labelled texts; triples are combined on the map side."""
-    return trigrams(df.where(F.col(language).isNotNull()), [language], text)
+    """`(language, cell, n)` over the labelled texts. A task adds up all its texts before it sends anything on."""
+    labelled = spread(df.where(F.col(language).isNotNull()).select(F.col(language).cast("string").alias("language"), _letters(F.col(text)).alias("text")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, value in zip(batch.column("language").to_pylist(), batch.column("text"), strict=True):
+                total = held.setdefault(name, np.zeros(CELLS, np.int64))
+                for cells in _cells(value.as_py()):
+                    total += np.bincount(cells, minlength=CELLS)
+        for name, total in held.items():
+            at = np.flatnonzero(total)
+            columns = [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["language", "cell", "n"])
+
+    parts = labelled.mapInArrow(count, "language string, cell int, n bigint")
+    return parts.groupBy("language", "cell").agg(F.sum("n").alias("n"))
 
 
 def language_probability(df: DataFrame, id_column: str, text: str, language: str, target: str = "en") -> DataFrame:
-    """`(id, probability)` that each text is in `target`: naive Bayes over character triples with equal priors
-    and add-one counts, trained on the labelled texts themselves; 0 for a text without letters.
+    """`(id, probability)` that each text is in `target`: naive Bayes over hashed character triples with equal priors and
+    add-one counts, trained on the labelled texts themselves; 0 for a text without a triple of letters or spaces.
 
-    The profile (one row per triple, one column per language) is written once. Spark broadcasts it while its
-    files are below its limit, and then a text's triples are summed where they are made; beyond that they are
-    joined by shuffle.
+    The model has CELLS weights per language whatever the corpus, so it travels with the function, and a text is scored
+    inside its row: no row per triple is ever made.
     """
-    counts = cut_lineage(language_profiles(df, text, language))
-    norms = counts.groupBy(language).agg(F.sum("n").alias("total"))
-    kinds = counts.select("gram").distinct().count()
-    # one row per language of the label set
-    log_norm = {r[language]: math.log(r["total"] + kinds) for r in norms.collect()}
-    names = sorted(log_norm)
-    logs = [F.sum(F.when(F.col(language) == l, F.log(F.col("n") + 1.0)).otherwise(0.0)).alias(f"g{i}") for i, l in enumerate(names)]
-    profile = cut_lineage(counts.groupBy("gram").agg(*logs))
-    grams = spread(df.select(id_column, text)).select(id_column, F.explode(_grams(F.col(text))).alias("gram"))
-    sums = [F.sum(f"g{i}").alias(f"s{i}") for i in range(len(names))]
-    scored = grams.join(profile, "gram", "left").groupBy(id_column).agg(
-        F.count(F.lit(1)).alias("total"), *sums
-    )
-    scores = [F.coalesce(f"s{i}", F.lit(0.0)) - F.col("total") * F.lit(log_norm[l]) for i, l in enumerate(names)]
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    weights = [F.exp(score - top) for score in scores]
-    whole = reduce(add, weights)
-    chance = weights[names.index(target)] / whole if target in names else F.lit(0.0)
-    return df.select(id_column).join(scored.select(id_column, chance.alias("probability")), id_column, "left").fillna(
-        0.0, ["probability"]
-    )
+    profile = language_profiles(df, text, language).toArrow()  # at most CELLS rows per language of the label set
+    names = sorted(set(profile.column("language").to_pylist()))
+    counts = np.zeros((len(names), CELLS))
+    if names:
+        who = np.searchsorted(np.array(names), np.array(profile.column("language").to_pylist()))
+        counts[who, profile.column("cell").to_numpy()] = profile.column("n").to_numpy()
+    weights = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + CELLS)
+    wanted = names.index(target) if target in names else None
+
+    @arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            score, some = np.zeros(len(names)), False
+            for cells in _cells(value.as_py()):
+                score += np.array([w[cells].sum() for w in weights])
+                some = True
+            share = np.exp(score - score.max()) if some and wanted is not None else None
+            out.append(0.0 if share is None else float(share[wanted] / share.sum()))
+        return pa.array(out, pa.float64())
+
+    return spread(df.select(id_column, text)).select(id_column, probability(_letters(F.col(text))).alias("probability"))

@@ -33,7 +33,21 @@ def spelling_corrections(t: Tables):
     return W.spelling_corrections(W.word_counts(t.documents, "text"), RARE, FREQUENT)
 
 
-@query("spell_correct")
+_FIXES = f"""c AS (SELECT word, count(*) AS n FROM ({_WORDS}) GROUP BY word),
+    p AS (SELECT a.word, b.word AS correction, b.n AS freq, levenshtein({_ONE_BYTE.format('a.word')}, {_ONE_BYTE.format('b.word')}) AS distance
+      FROM c a JOIN c b ON a.n <= {RARE} AND b.n >= {FREQUENT} AND abs(length(a.word) - length(b.word)) <= 2),
+    fixes AS (SELECT word, correction FROM p WHERE distance BETWEEN 1 AND 2
+      QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, correction) = 1)"""
+
+
+@query(
+    "spell_correct",
+    f"""WITH {_FIXES}, pieces AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS pos
+      FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+') AS x FROM documents)),
+    new AS (SELECT doc_id, string_agg(CASE WHEN f.word IS NULL THEN piece WHEN left(piece, 1) <> left(f.word, 1) THEN upper(left(correction, 1)) || substr(correction, 2)
+      ELSE correction END, '' ORDER BY pos) AS corrected FROM pieces LEFT JOIN fixes f ON f.word = lower(piece) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.corrected, d.text) AS corrected, (coalesce(n.corrected, d.text) <> d.text)::INT AS changed FROM documents d LEFT JOIN new n ON n.doc_id = d.doc_id""",
+)
 def spell_correct(t: Tables):
     """Whole texts with their rare words corrected."""
     fixed = W.correct_spelling(t.documents.select("doc_id", "text"), "doc_id", "text", RARE, FREQUENT)
@@ -41,18 +55,19 @@ def spell_correct(t: Tables):
 
 
 _LETTERS = "regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')"
+_CELL = " + ".join(f"{lead} * u[i + {k}]::BIGINT" for k, lead in enumerate((961, 31, 1)))
 
 
 @query(
     "language_score",
-    f"""WITH d AS (SELECT doc_id, lang, {_LETTERS} AS s FROM documents),
-    x AS (SELECT doc_id, lang, s, unnest(range(1, length(s) - 1)) AS i FROM d),
-    g AS (SELECT doc_id, lang, substr(s, CAST(i AS BIGINT), 3) AS gram, count(*) AS n FROM x GROUP BY 1, 2, 3),
-    prof AS (SELECT gram, lang, ln(sum(n) + 1) AS lc FROM g GROUP BY gram, lang),
-    nrm AS (SELECT lang, ln(sum(n) + (SELECT count(DISTINCT gram) FROM g)) AS ln FROM g GROUP BY lang),
+    f"""WITH d AS (SELECT doc_id, lang, list_transform(string_split({_LETTERS}, ''), lambda c: unicode(c)) AS u FROM documents),
+    x AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(u) - 1), lambda i: ({_CELL}) % {W.CELLS})) AS cell FROM d),
+    g AS (SELECT doc_id, lang, cell, count(*) AS n FROM x GROUP BY ALL),
+    prof AS (SELECT cell, lang, ln(sum(n) + 1) AS lc FROM g GROUP BY cell, lang),
+    nrm AS (SELECT lang, ln(sum(n) + {W.CELLS}) AS ln FROM g GROUP BY lang),
     len AS (SELECT doc_id, sum(n) AS total FROM g GROUP BY doc_id),
-    sc AS (SELECT g.doc_id, p.lang, sum(g.n * p.lc) AS gain FROM g JOIN prof p ON g.gram = p.gram GROUP BY g.doc_id, p.lang),
-    t AS (SELECT sc.doc_id, sc.lang, gain - total * nrm.ln AS score FROM sc JOIN len ON sc.doc_id = len.doc_id JOIN nrm ON sc.lang = nrm.lang),
+    sc AS (SELECT g.doc_id, p.lang, sum(g.n * p.lc) AS gain FROM g JOIN prof p ON g.cell = p.cell GROUP BY g.doc_id, p.lang),
+    t AS (SELECT len.doc_id, nrm.lang, coalesce(gain, 0) - total * nrm.ln AS score FROM len JOIN nrm ON TRUE LEFT JOIN sc ON sc.doc_id = len.doc_id AND sc.lang = nrm.lang),
     w AS (SELECT doc_id, lang, exp(score - max(score) OVER (PARTITION BY doc_id)) AS w FROM t),
     r AS (SELECT doc_id, sum(CASE WHEN lang = 'en' THEN w ELSE 0 END) / sum(w) AS p FROM w GROUP BY doc_id)
     SELECT documents.doc_id, ROUND(coalesce(p, 0), 6) AS probability FROM documents LEFT JOIN r ON documents.doc_id = r.doc_id""",
