@@ -49,8 +49,7 @@ def distinct_vectors(df: DataFrame, item: str, vector: str) -> DataFrame:
 
 def _salts(df: DataFrame, item: str, block: int) -> DataFrame:
     """`(item, _salts)`: into how many blocks the rows of each item go. One row per item."""
-    counts = df.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_salts"))
-    return cut_lineage(counts)
+    return fresh(df.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_salts")))
 
 
 def _salted(df: DataFrame, item: str, salts: DataFrame) -> DataFrame:
@@ -71,7 +70,7 @@ def pivots_of(vectors: DataFrame, item: str, cell: int = CELL) -> DataFrame:
     )
     draw = mix_text(F.col("vid"), 3)
     # over-draw by share, then keep the first of each item in draw order: only a sample is ranked
-    likely = vectors.join(cut_lineage(share), item).where(
+    likely = vectors.join(fresh(share), item).where(
         draw < F.lit(2147483647) * F.least(F.lit(1.0), F.col("_share") * 4 + 64.0 / F.col("_n"))
     )
     order = Window.partitionBy(item).orderBy(draw, "vid")
@@ -139,7 +138,7 @@ def block_pairs(visits: DataFrame, members: DataFrame, item: str, block: int = B
     n_members = members.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_mb"))
     n_visits = visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("_vb"))
     # one row per cell: the blocks of its members and of its visitors
-    grid = cut_lineage(n_members.join(n_visits, key))
+    grid = fresh(n_members.join(n_visits, key))
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     slot = lambda c: F.pmod(F.xxhash64(F.col("vid"), F.lit(11)), F.col(c))
     left = visits.join(grid, key).withColumn("_v", slot("_vb")).withColumn("_m", spread("_mb")).drop("_mb", "_vb")
