@@ -72,22 +72,50 @@ def _address(url: str) -> str:
     return f"{host} AS host, {path} AS path, {query} AS query"
 
 
+def _value(tag: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    found = " || ".join(f"coalesce(regexp_extract({tag}, '{quoted}', {i}), '')" for i in (1, 2, 3))
+    return f"trim(replace({found}, '&amp;', '&'), e' \\t\\n\\r\\f')"
+
+
+def _resolved(base: str, link: str) -> str:
+    """SQL for the absolute address of a link; segments of a path are put together one by one."""
+    quoted = {name: getattr(url_filter, name).replace("'", "''") for name in ("ORIGIN", "SCHEME", "ANY_SCHEME")}
+    origin = f"regexp_extract({base}, '{quoted['ORIGIN']}', 1)"
+    path = rf"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    stem, tail = rf"regexp_extract({link}, '(?s)^([^?#]*)', 1)", rf"regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1)"
+
+    def straight(x: str) -> str:
+        parts = f"list_transform(list_filter(string_split({x}, '/'), lambda s: s <> ''), lambda s: [s])"
+        step = "CASE WHEN x = ['.'] THEN a WHEN x = ['..'] THEN a[:greatest(len(a) - 1, 0)] ELSE a || x END"
+        kept = f"array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), {parts}), lambda a, x: {step}), '/')"
+        return rf"'/' || {kept} || CASE WHEN regexp_matches({x}, '(?:^|/)\.{{0,2}}$') AND {kept} <> '' THEN '/' ELSE '' END"
+
+    return rf"""CASE WHEN regexp_matches({link}, '{quoted["SCHEME"]}') THEN {link} WHEN regexp_matches({link}, '{quoted["ANY_SCHEME"]}') OR {link} = '' OR starts_with({link}, '#') THEN NULL
+    WHEN starts_with({link}, '//') THEN 'http:' || {link} WHEN {origin} = '' THEN NULL WHEN starts_with({link}, '?') THEN {origin} || {path} || {link}
+    WHEN starts_with({link}, '/') THEN {origin} || {straight(stem)} || {tail}
+    ELSE {origin} || {straight(rf"regexp_replace({path}, '[^/]*$', '') || '/' || {stem}")} || {tail} END"""
+
+
 def url_sql() -> str:
     rules = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in url_filter.RULES)
-    href = r"""'(?is)\bhref\s*=\s*["'']?([^"''\s>]+)'"""
-    jump = r"""'(?is)\burl\s*=\s*["'']?([^"''\s>;]+)'"""
+    pattern = lambda name: getattr(url_filter, name).replace("'", "''")
     return rf"""
 WITH RECURSIVE rules(action, host, path) AS (VALUES {rules}
+), numbered AS (
+  SELECT row_number() OVER () AS r, url, regexp_extract_all(html, '{pattern("TAGS")}') AS tags FROM pages
 ), tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM pages
+  SELECT r, url, unnest(tags) AS t, generate_subscripts(tags, 1) AS i FROM numbered
+), bases AS (
+  SELECT r, arg_min(b, i) AS b FROM (SELECT r, i, {_value("t", url_filter.HREF)} AS b FROM tags WHERE regexp_matches(t, '{pattern("BASE")}')) WHERE b <> '' GROUP BY r
 ), named AS (
-  SELECT url, CASE WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, {href}, 1)
-    WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, {jump}, 1) END AS link FROM tags
+  SELECT r, url, CASE WHEN regexp_matches(t, '{pattern("CANONICAL")}') THEN {_value("t", url_filter.HREF)}
+    WHEN regexp_matches(t, '{pattern("REFRESH")}') THEN regexp_extract({_value("t", url_filter.CONTENT)}, '{pattern("JUMP")}', 1) END AS link FROM tags
 ), based AS (
-  SELECT url, link, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, {_address("url")} FROM named WHERE link IS NOT NULL
+  SELECT n.url, n.link, CASE WHEN b.b IS NULL THEN n.url ELSE coalesce({_resolved("n.url", "b.b")}, n.url) END AS base
+  FROM named n LEFT JOIN bases b ON b.r = n.r WHERE n.link IS NOT NULL AND n.url IS NOT NULL
 ), edges AS (
-  SELECT url AS src, CASE WHEN regexp_matches(link, '^(?i)https?://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
-    WHEN starts_with(link, '/') THEN scheme || '://' || host || link END AS dst FROM based
+  SELECT url AS src, {_resolved("base", "link")} AS dst FROM based
 ), urls AS (
   SELECT url FROM pages UNION SELECT src FROM edges WHERE dst IS NOT NULL UNION SELECT dst FROM edges WHERE dst IS NOT NULL
 ), cut AS (
@@ -144,10 +172,8 @@ WITH texts AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {shares} FROM counts
 ), good AS (
   SELECT * FROM measured WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
-), listed AS (
-  SELECT lang FROM good GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality_rules.STRATA}
 ), long AS (
-  UNPIVOT (SELECT doc_id, CASE WHEN lang IN (FROM listed) THEN '=' || lang ELSE '*' END AS stratum, {names} FROM measured)
+  UNPIVOT (SELECT doc_id, lang AS stratum, {names} FROM measured)
   ON {names} INTO NAME rule VALUE v
 ), grid(rule, turn, cutoff) AS (VALUES {grid}
 ), hits AS (

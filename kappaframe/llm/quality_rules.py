@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from kappaframe.session import written
 
 ALPHA, DELTA = 0.02, 0.05
-STRATA = 256  # the commonest strata by good texts; all others are one stratum together, so the table of cutoffs is bounded
 
 # What counts as a symbol, and white space
 SYMBOLS = "#*$%&|<>"
@@ -125,7 +124,8 @@ def judged(
     `base_failed`: fewer than ten words, or more than a fifth of the words in repeated five-word windows. Labels 1 mark
     good texts; other or null labels, and labels without a text, are not used; the labels of an id that repeats count once.
     A null or empty text has no words; a null stratum is one of its own; long texts are measured whole; repeated rows are
-    judged alike; without labels nothing but the base rule rejects. Other columns are not read.
+    judged alike; without labels nothing but the base rule rejects. A value equal to its cutoff is kept. Every stratum has its
+    own guarantee, however many there are. Other columns are not read.
     """
     ready = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"),
@@ -135,13 +135,8 @@ def judged(
     marked = labels.where(F.col(label_column) == 1).select(F.col(id_column).cast("long").alias("doc_id")).distinct()
     failed = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
     good = rows.join(marked, "doc_id").where(f"NOT ({failed})")
-    common = good.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).select("stratum")
-    listed = F.broadcast(common.withColumn("_listed", F.lit(True)))
-    named = lambda df: df.join(listed, "stratum", "left").withColumn(
-        "_s", F.when(F.col("_listed"), F.concat(F.lit("="), "stratum")).otherwise("*")
-    ).drop("_listed")
-    table = cutoffs(named(good).withColumn("stratum", F.col("_s")), alpha, delta).withColumnRenamed("stratum", "_s")
-    told = named(rows).join(F.broadcast(table), "_s", "left")
+    # a row per stratum, written, so that Spark knows its size when it joins
+    told = rows.join(written(cutoffs(good, alpha, delta), "cutoffs"), "stratum", "left")
     above = [F.coalesce(F.expr(m) > F.col(f"_c_{name}"), F.lit(False)) for name, (m, _) in RULES.items()]
     rejects = above[0]
     for other in above[1:]:

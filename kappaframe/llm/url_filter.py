@@ -62,24 +62,57 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, action
 
 
-def targets(url: Column, html: Column) -> Column:
-    """Absolute addresses that a page names as its canonical one or refreshes to; others are left out."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]{0,4000}>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""))
-    links = F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    jumps = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
-    base = F.concat(F.regexp_extract(url, "(?s)^(.*?)://", 1), F.lit("://"), host_of(url))
+# how tags and attributes are read; the SQL counterpart uses the same patterns
+TAGS = r"(?is)<(?:link|meta|base)\b[^>]*>"
+CANONICAL = r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+REFRESH = r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*(?:"\s*refresh\s*"|'\s*refresh\s*'|refresh[\s/>])"""
+BASE = r"(?is)^<base\b"
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+HREF, CONTENT = r"""(?is)[\s"'/]href""" + VALUE, r"""(?is)[\s"'/]content""" + VALUE
+JUMP = r"""(?is)(?:^|[\s;,])url\s*=\s*["']?([^"'\s]+)"""
+SCHEME, ANY_SCHEME = "(?is)^[a-z][a-z0-9+.-]*://", "(?is)^[a-z][a-z0-9+.-]*:"
+ORIGIN = "(?s)^(.*?://[^/?#]*)"
+
+
+def _value(tag: Column, pattern: str) -> Column:
+    """Value of an attribute, whichever way it is quoted."""
+    found = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.trim(F.replace(found, F.lit("&amp;"), F.lit("&")), F.lit(" \t\n\r\f"))
+
+
+def straight(path: Column) -> Column:
+    """A path without . and .. segments; one that names a folder ends with a slash."""
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.concat(F.lit("/"), kept, F.when(path.rlike(r"(?:^|/)\.{0,2}$") & (kept != ""), "/").otherwise(""))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The absolute address of a link on a page of address `base`; null where it names no other address."""
+    origin, path = F.regexp_extract(base, ORIGIN, 1), path_of(base)
+    tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    stem = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    return (
+        F.when(link.rlike(SCHEME), link).when(link.rlike(ANY_SCHEME) | (link == "") | link.startswith("#"), None)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(origin == "", None)
+        .when(link.startswith("?"), F.concat(origin, path, link)).when(link.startswith("/"), F.concat(origin, straight(stem), tail))
+        .otherwise(F.concat(origin, straight(F.concat(folder, F.lit("/"), stem)), tail))
+    )
 
-    def whole(link: Column) -> Column:
-        return (
-            F.when(link.rlike("(?i)^https?://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link))
-            .when(link.startswith("/"), F.concat(base, link))
-        )
 
-    some = html.isNotNull() & (F.contains(html, F.lit("canonical")) | F.lower(html).rlike("canonical|refresh"))
-    found = F.filter(F.transform(F.concat(links, jumps), whole), lambda x: x.isNotNull())
-    return F.when(some, found)
+def targets(url: Column, html: Column) -> Column:
+    """Addresses that a page names as its canonical one or refreshes to. Tags may have any length, `rel` any number of words;
+    links are relative to the page, or to its first `base`."""
+    tags = F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))
+    links = F.transform(F.filter(tags, lambda t: t.rlike(CANONICAL)), lambda t: _value(t, HREF))
+    jumps = F.transform(F.filter(tags, lambda t: t.rlike(REFRESH)), lambda t: F.regexp_extract(_value(t, CONTENT), JUMP, 1))
+    bases = F.filter(F.transform(F.filter(tags, lambda t: t.rlike(BASE)), lambda t: _value(t, HREF)), lambda x: x != "")
+    named = F.get(bases, F.lit(0))
+    base = F.when(named.isNull(), url).otherwise(F.coalesce(resolved(url, named), url))
+    found = F.filter(F.transform(F.concat(links, jumps), lambda x: resolved(base, x)), lambda x: x.isNotNull())
+    return F.when(F.lower(html).rlike("canonical|refresh"), found)
 
 
 def judged(
@@ -90,8 +123,8 @@ def judged(
 
     `redirects` may give more equivalences `(src, dst)` of urls. A null url, or one without `://`, has an empty host and
     path, no rule and no alias, and is allowed; so is every url that neither a rule nor an alias decides. An explicit
-    allow stands before every inherited block. Null html names no alias; repeated rows are judged alike; an empty
-    table gives an empty result; other columns are not read.
+    allow stands before every inherited block. Null html names no alias, long html is read whole; repeated rows are judged
+    alike; an empty table gives an empty result; other columns are not read.
     """
     rules = RULES if rules is None else rules
     url = F.col(f"`{url_column}`").cast("string")
@@ -116,6 +149,7 @@ def judged(
     comp_of = lambda df, key: df.join(comps.withColumnRenamed("vid", key), key, "left").withColumn("_class", F.coalesce("comp", key)).drop("comp")
     bad = comp_of(blocked, "key").select("_class").distinct().withColumn("_bad", F.lit(True))
     # only addresses without a rule of their own can inherit one
-    open_ = comp_of(named.where("_own IS NULL"), "_key").join(bad, "_class", "left")
+    open_ = comp_of(named.where("_own IS NULL AND _key IS NOT NULL"), "_key").join(bad, "_class", "left")
     inherited = open_.select("page_id", "host", "path", "rule", F.when(F.col("_bad"), "block").otherwise("allow").alias("verdict"))
-    return named.where("_own IS NOT NULL").select("page_id", "host", "path", "rule", F.col("_own").alias("verdict")).unionByName(inherited)
+    sure = named.where("_own IS NOT NULL OR _key IS NULL")
+    return sure.select("page_id", "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict")).unionByName(inherited)

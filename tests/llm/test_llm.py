@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from kappaframe.llm import (
     embedding_dedup,
     jaccard_join,
     lm_scoring,
+    oracles,
     packing,
     quality_rules,
     queries,
@@ -252,6 +255,53 @@ def test_url_filter(spark):
     assert again.where("page_id = 6").first().verdict == "block"
 
 
+def test_url_filter_reads_every_link(spark):
+    """Long tags, `rel` with several words, relative targets and bases; the same by SQL."""
+    bad, fill = "https://x.net/es/bad", "a" * 9000
+    links = {
+        1: f'<link data-x="{fill}" rel="canonical" href="{bad}">', 2: f"<LINK rel='nofollow canonical' href='{bad}'>",
+        3: f'<base href="https://x.net/es/"><link rel=canonical href="bad">', 4: f'<meta http-equiv="Refresh" content="0; URL=\'{bad}\'">',
+        5: '<link rel="canonical" href="../es/./q/../bad?x=1&amp;y=2">', 6: '<link rel="canonical" href="?id=3">', 7: '<link rel="canonicals" href="/es/bad">',
+        8: '<link rel="canonical" href="#top"><link rel="canonical" href="mailto:x@x.net">', 9: "word " * 40_000 + f'<link href="{bad}" rel="canonical">', 10: f"<meta http-equiv=refresh content=0;url={bad}>",
+        11: '<base href="/es/"><base href="http://free.org/"><link rel="next canonical last" href="bad">',
+    }
+    home = {5: "http://x.net/a/b", 6: "https://y.net/fr/1", 7: "http://x.net/", 11: "http://x.net/z"}
+    rows = [(i, home.get(i, f"http://page{i}.org/p"), h, "x", "y") for i, h in links.items()] + [(90 + i, u, None, "x", "y") for i, u in enumerate((bad, "", "x.net/es/bad", None))]
+    rows += [(95, "http://x.net/es/bad?x=1&y=2", "", "x", "y"), (96, "https://y.net/fr/1?id=3", "", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, verdict string")
+    got = {r.page_id: r for r in url_filter.judged(pages).collect()}
+    assert len(got) == len(rows) and [i for i in (1, 2, 3, 4, 5, 9, 10, 11, 90, 95, 96) if got[i].verdict != "block"] == []
+    assert got[6].verdict == "block" and all(got[i].verdict == "allow" for i in (7, 8, 91, 92, 93))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in rows])
+    want = con.execute(oracles.url_sql())
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in got.values()) == sorted(want.fetchall(), key=lambda x: x[0])
+
+
+def test_quality_rules_of_many_strata(spark):
+    """Every one of 300 strata gets its own cutoffs; the same by SQL."""
+    draw = np.random.default_rng(6)
+    rows, marks = [], []
+    for i in range(300 * 80):
+        words = ["word" + "abcdefghij"[int(x)] + "klmnopqrst"[int(y)] for x, y in draw.integers(0, 10, (14, 2))]
+        noisy = draw.random() < 0.01
+        rows.append((i, " ".join(w + "#" * (3 if noisy else 0) for w in words), f"l{i % 300:03d}"))
+        marks.append((i, 1))
+    docs = spark.createDataFrame([(i, t, g, "s", 0, "x", "y", "z") for i, t, g in rows], SCHEMA)
+    got = quality_rules.judged(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"), alpha=0.9, delta=0.9).collect()
+    con = duckdb.connect()
+    frames = {"documents": pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]}), "labels": pa.table({"doc_id": [m[0] for m in marks], "quality": [1] * len(marks)})}
+    for name, frame in frames.items():
+        con.register(name, frame)
+    want = con.execute(oracles.quality_sql(0.9, 0.9))
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want.fetchall())
+    rejected = {r.stratum for r in got if not r.base_failed and not r.kept}
+    assert len(rejected) > 100 and max(rejected) > "l290"
+
+
 def test_embedding_dedup(spark):
     draw = np.random.default_rng(5)
     centre = draw.normal(size=(300, 32))
