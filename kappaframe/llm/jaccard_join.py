@@ -319,10 +319,27 @@ def jaccard_classes(
     columns are not read.
     """
     with arrow_rows(docs.sparkSession, 500):
-        return _classes(docs, k, percent, lower, id_column, text_column)
+        whole = _classes(docs, k, percent, lower, id_column, text_column)
+    first = whole.where("n > 0").groupBy("comp").agg(F.min("_id").alias("component_id"))
+    out = whole.join(first, "comp", "left").select("_id", "n", F.coalesce("component_id", "_id").alias("component_id"))
+    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
+
+
+def first_of_each(
+    docs: DataFrame, k: int = 5, percent: int = 75, lower: bool = True, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """`(_id, _t)` as `words.keyed` names rows: of every component the row with the smallest id, then text hash, and every row
+    without words. Rows are told apart by id and text, so ids may be null or repeat; each pair is named once."""
+    with arrow_rows(docs.sparkSession, 500):
+        whole = _classes(docs, k, percent, lower, id_column, text_column)
+    row = F.struct("_id", "_t")
+    first = whole.where("n > 0").groupBy("comp").agg(F.min(row).alias("r")).select("r.*")
+    return first.unionByName(whole.where("n = 0").select("_id", "_t").distinct())
 
 
 def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str, text_column: str) -> DataFrame:
+    """`(_id, _t, sid, n, comp)`, a row for each row of `docs`."""
     rows = keyed(docs, id_column, text_column)
     named = written(rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets")
     sets = named.where("kind = 0").select("_id", "_t", "sid", "n")
@@ -376,11 +393,7 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     across = written(_possible(met.unionByName(searched).groupBy("a", "b").agg(F.sum("count").alias("count")), facts, percent), "across")
     links = links.unionByName(_verify(across, points_of(ends_of(across)), percent))
     linked = components(links).select(F.col("vid").alias("sid"), "comp")
-    whole = sets.join(linked, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
-    first = whole.where("n > 0").groupBy("comp").agg(F.min("_id").alias("component_id"))
-    out = whole.join(first, "comp", "left").select("_id", "n", F.coalesce("component_id", "_id").alias("component_id"))
-    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
+    return sets.join(linked, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
 
 
 def _hashes(counted: DataFrame) -> np.ndarray:

@@ -12,6 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kappaframe.llm.words import as_bytes
+from kappaframe.session import written
+
 CONTEXT, BUCKETS, BUDGET = 2048, 16, 65_536
 SHARD_ROWS = 50_000
 
@@ -63,10 +66,12 @@ def packed(
     An empty table gives an empty result; other columns are not read.
     """
     tokens = F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0).cast("long")) if length else n_words(text_column)
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), tokens.alias("_n")).where("_n > 0")
+    # texts are cut into words once; rows without an id, or that share one, are told apart by their place in this small table
+    sized = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), tokens.alias("_n"), F.xxhash64(as_bytes(text_column)).alias("_t"))
+    rows = written(sized.where("_n > 0").withColumn("_k", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "lengths")
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / context))).alias("piece")
-    pieces = rows.select("doc_id", "_n", at).select(
-        "doc_id", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context), F.col("_n") - F.col("piece") * context).cast("long").alias("length")
+    pieces = rows.select("doc_id", "_n", "_t", "_k", at).select(
+        "doc_id", "_t", "_k", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context), F.col("_n") - F.col("piece") * context).cast("long").alias("length")
     )
     counts = np.zeros(context + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `context` rows
@@ -76,7 +81,7 @@ def packed(
     for b in reversed(bounds):
         bucket = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(bucket)
     shards = max(1, int(counts.sum()) // SHARD_ROWS)
-    hashed = F.xxhash64("doc_id", "piece")
+    hashed = F.xxhash64("doc_id", "piece", "_t", "_k")
     placed = pieces.withColumn("bucket", bucket).withColumn("_h", hashed).withColumn("_s", F.pmod("_h", F.lit(shards)))
     sizes = placed.groupBy("bucket", "_s").count()
     before = Window.partitionBy("bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)

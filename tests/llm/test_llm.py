@@ -507,3 +507,41 @@ def test_queries_give_the_contract(spark):
             assert r.kept_sha256 == hashlib.sha256(b" ".join(split(texts[r.doc_id]))).hexdigest()
     for r in queries.op4_secret_scan(spark, SF).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in base(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_rows):
+    """Null and repeated ids, columns with the names used inside, blank and long texts, empty tables."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    copy = odd_rows[0][1]
+    rows = [*odd_rows, (7, sentence(77, 40)), (None, sentence(78, 40)), (3, copy), (None, copy), (20, None)]
+    names = ["_jj_id", "_cut", "_sd_id", "_tox_score", "_tox_f", "_tox_v", "row", "score", "cut", "i", "t", "spans", "_id"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *names) for i, t in rows], schema)
+    for name in ("toxicity", "jaccard_join", "substring_dedup", "secret_scan"):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns and stages[name](spark, docs.where("false"), SF).collect() == []
+        got = out.collect()
+        assert all(tuple(r[n] for n in names) == tuple(names) for r in got)
+        texts = Counter((r.doc_id, r.text) for r in got)
+        if name == "toxicity":
+            assert texts <= Counter(rows)
+        if name == "jaccard_join":
+            last, sets, kept = (1 << 63) - 1, [], set()
+            for i, t in sorted(set(rows), key=lambda r: (last if r[0] is None else r[0], r[1] or "")):
+                w = (t or "").lower().encode().split()
+                grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+                if not any(grams and 100 * len(grams & s) >= 75 * len(grams | s) for s in sets):
+                    kept.add((i, t))
+                sets.append(grams)
+            assert {x for x in texts if x[0] != 7 and x[0] is not None} == {x for x in kept if x[0] != 7 and x[0] is not None}
+            assert sum(t is not None and t.split()[:3] == copy.split()[:3] for _, t in texts) == 1
+            assert (7, rows[17][1]) in texts and (None, rows[18][1]) in texts and max(texts.values()) == 1
+        if name == "substring_dedup":
+            want = [(i, t if not gone else k) for (i, n, gone, k), t in zip([next(iter(brute_removed([*rows, r], 50) - brute_removed(rows, 50))) for r in rows], [t for _, t in rows]) if not gone or gone < n]
+            assert texts == Counter(want)
+        if name == "secret_scan":
+            assert sorted(texts.values()) == sorted(Counter(rows).values()) and all((i, t) in texts for i, t in rows if t is None or not base(t))
+    packed = packing.packed(docs).collect()
+    assert sum(r.length for r in packed) == sum(len(split(t)) for _, t in rows) and packing.packed(docs.where("false")).collect() == []
