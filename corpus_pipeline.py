@@ -1,46 +1,64 @@
 """A corpus pipeline out of five of the operators: what it keeps is clean, unique and packed.
 
-Each stage reads all documents that the one before kept, and is written and read again before the next.
+Each stage reads all documents that the one before kept, and is written and read again before the next. Stages take null and
+repeated ids, null, blank and long texts, empty tables and further columns of any name, which pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaframe.llm import jaccard_join, packing, secret_scan, substring_dedup, toxicity
 from kappaframe.llm.queries import HELD_OUT, fold, table
-from kappaframe.llm.words import small_batches
+from kappaframe.llm.words import LAST_ID, as_bytes, small_batches
 from kappaframe.session import written
 
-REJECT_FROM = 0.5
+REJECT_FROM = 0.5  # above op2's 0.3: with few labels the calibration puts many clean texts between the two
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """`(row, doc_id, text)`: every other column travels in one struct, so no name clashes with one used on the way."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.struct(*(rest or [F.lit(0)])).alias("row"), "doc_id", "text")
+
+
+def _documents(df: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of `docs` again, with a new text and its length where one is given."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if text is not None:
+        new |= {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored REJECT_FROM or more go. Sets small Arrow batches for this and the stages after it."""
     small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold() != HELD_OUT))
-    return model.score(docs, "_tox_score").where(F.col("_tox_score") < REJECT_FROM).drop("_tox_score")
+    return _documents(model.score(_rows(docs), "score").where(F.col("score") < REJECT_FROM), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays, and of equal rows one."""
-    first = jaccard_join.jaccard_classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_jj_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_jj_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the row with the smallest id stays, then text hash (a null id comes last); rows without
+    words stay, and of rows equal in id and text one."""
+    first = jaccard_join.first_of_each(docs).select(F.col("_id").alias("i"), F.col("_t").alias("t"))
+    rows = _rows(docs)
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    kept = rows.join(first, (place == F.col("i")) & (F.xxhash64(as_bytes("text")) == F.col("t")), "left_semi")
+    return _documents(kept.dropDuplicates(["doc_id", "text"]), docs)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut out; a document left without words goes."""
-    cleaned = substring_dedup.with_repeats_removed(docs)
-    kept = cleaned.where("_cut.n_removed = 0 OR _cut.n_removed < _cut.n_words")
-    text = F.when(F.col("_cut.n_removed") > 0, F.col("_cut.kept")).otherwise(F.col("text"))
-    return _with_text(kept, text, docs)
+    cleaned = substring_dedup.with_repeats_removed(_rows(docs), out="cut")
+    kept = cleaned.where("cut.n_removed = 0 OR cut.n_removed < cut.n_words")
+    return _documents(kept, docs, F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(F.col("text")))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    clean = secret_scan.redacted(docs, secret_scan.fit(docs))
-    return _with_text(clean, F.col("text"), docs)
+    clean = secret_scan.redacted(_rows(docs), secret_scan.fit(docs))
+    return _documents(clean, docs, F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +66,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-def _with_text(df: DataFrame, text, docs: DataFrame) -> DataFrame:
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return df.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-
-
 STAGES = [
     ("toxicity", toxic_out), ("jaccard_join", one_of_each), ("substring_dedup", repeats_out), ("secret_scan", secrets_out), ("packing", packed),
 ]
