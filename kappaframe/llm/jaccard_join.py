@@ -8,15 +8,18 @@ t / (1 + t) of both sizes, so most nodes and points are passed over and only sur
 Points meet in pages: two linked sets share one of the first n - ceil(t n) + 1 shingles of each under any common
 order, so a page holds the points that share such a shingle. The order puts very frequent shingles last (a bounded list
 of heavy hitters; it changes only how much work there is). Equal sets are one point. A first round links every
-page's points with the page's best connected point, which joins groups of copies without looking at their pairs; a second
-round searches only the pages that still hold several components for pairs across components: pages of up to LEAF points
-are one leaf, larger ones are searched with an R-tree. Pairs that share too little of their prefixes to link are left
-out before any set is fetched. No link between components is lost and no group is paired with itself.
+page's points with the page's best connected point, its leader, which joins groups of copies without looking at their
+pairs. A second round looks only at pages that still hold several components. Pages of up to LEAF points are one leaf;
+their pairs that share too little of their prefixes to link are left out before any set is fetched. The larger pages of
+one leader are one crowd, which every point enters once, however many pages it is in: its points are dealt to blocks of
+bounded size, and the points outside the leader's component visit every block, with their sets. A task searches a block
+with an R-tree, verifies what survives, joins what links and returns only the links that joined something, a point less
+one at most. No link between components is lost, no pair leaves a task unverified, and no group is paired with itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ SELDOM, CROWD = 32, 6
 SHARD_ROWS = 1 << 15
 SENT_ROWS = 1 << 19  # keys (16 bytes each) of wanted texts are sent to the texts up to this count; beyond, both are shuffled
 LEAF = 16
-PAGE = 256
+BLOCK_SHINGLES = 1 << 20  # shingles of a block of a crowd (8 MB), and of the packed visits of a task
+HOT_KEYS = 1 << 10  # keys with more than this part of all rows, so fewer than this many, are joined by a broadcast
 
 
 def _unique_per_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,27 +240,42 @@ def _tallied(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": low[first], "b": high[first], "count": np.diff(np.append(first, len(low))).astype(np.int64)})
 
 
-def _searched(percent: int):
-    def task(group: pa.Table) -> pa.Table:
-        h, sid, n, comp, page, p1, p2 = (group.column(c).to_numpy() for c in ("h", "sid", "n", "comp", "page", "p1", "p2"))
-        n = n.astype(np.int64)
-        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        order = np.lexsort((p2, p1, h))
-        ids = np.stack([h[order], p1[order], p2[order]])
-        a, b = [], []
-        for visit in np.split(order, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1):
-            if len(visit) < 2:
+def _crowds_linked(percent: int):
+    """Links that join components of a block's points and its visitors."""
+
+    def visited(home: np.ndarray, asks: np.ndarray, sid: np.ndarray, comp: np.ndarray, vec: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        n = np.array([len(x) for x in sets])
+        known, places = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(places, np.cumsum(n)[:-1])
+        at = np.flatnonzero(home)
+        tree = RTree(n[at], vec[at], comp[at])
+        now, mark = comp.copy(), np.zeros(len(known), dtype=bool)
+        for i in np.flatnonzero(asks):
+            near = at[tree.search(int(n[i]), vec[i], comp[i], percent)]
+            near = near[now[near] != now[i]]
+            if not len(near):
                 continue
-            same = p1[visit[0]] == p2[visit[0]]
-            mine, theirs = visit[page[visit] == p1[visit[0]]], visit[page[visit] == p2[visit[0]]]
-            tree = RTree(n[theirs], vec[theirs], comp[theirs])
-            for i in mine:
-                near = theirs[tree.search(int(n[i]), vec[i], comp[i], percent)]
-                near = near[sid[near] > sid[i]] if same else near
-                a.append(np.minimum(sid[i], sid[near]))
-                b.append(np.maximum(sid[i], sid[near]))
-        none = [np.empty(0, np.int64)]
-        return _tallied(np.concatenate(a or none), np.concatenate(b or none))
+            mark[sets[i]] = True
+            inter = np.add.reduceat(mark[np.concatenate([sets[j] for j in near])], np.cumsum(n[near]) - n[near], dtype=np.int64)
+            mark[sets[i]] = False
+            for j in near[100 * inter >= percent * (n[i] + n[near] - inter)]:
+                if now[i] != now[j]:
+                    now[now == now[j]] = now[i]
+                    yield int(sid[i]), int(sid[j])
+
+    def task(group: pa.Table) -> pa.Table:
+        lead, block, sid, comp = (group.column(c).to_numpy() for c in ("lead", "block", "sid", "comp"))
+        home, asks = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "asks"))
+        vectors, members = group.column("vec").combine_chunks(), group.column("members").combine_chunks()
+        links: list[tuple[int, int]] = []
+        order = np.lexsort((sid, block, lead))
+        visits = np.flatnonzero((lead[order][1:] != lead[order][:-1]) | (block[order][1:] != block[order][:-1])) + 1
+        for rows in np.split(order, visits):
+            if home[rows].any() and asks[rows].any():
+                vec = np.frombuffer(b"".join(vectors.take(pa.array(rows)).to_pylist()), np.uint32).reshape(-1, GROUPS)
+                sets = [np.frombuffer(members[i].as_buffer(), np.uint64) for i in rows.tolist()]
+                links += visited(home[rows], asks[rows], sid[rows], comp[rows], vec, sets)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return task
 
@@ -319,11 +338,19 @@ def jaccard_classes(
     columns are not read.
     """
     with arrow_rows(docs.sparkSession, 500):
-        whole = _classes(docs, k, percent, lower, id_column, text_column)
-    first = whole.where("n > 0").groupBy("comp").agg(F.min("_id").alias("component_id"))
-    out = whole.join(first, "comp", "left").select("_id", "n", F.coalesce("component_id", "_id").alias("component_id"))
-    known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(known("_id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
+        sets, one, linked = _classes(docs, k, percent, lower, id_column, text_column)
+    members = one.join(linked, "sid")
+    firsts = members.groupBy("comp").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("size"))
+    renamed = _hot_joined(members.select("sid", "comp"), written(firsts, "firsts"), "comp", "left").select("sid", "first")
+    # a set that is neither linked nor repeated names itself
+    names = one.join(renamed, "sid", "left").where("first IS NOT NULL OR size > 1")
+    names = written(names.select("sid", F.coalesce("first", "r")["_id"].alias("component_id"), "size"), "names")
+    filled = _hot_joined(sets.where("n > 0"), names, "sid", "left").select("_id", "n", "component_id")
+    out = filled.unionByName(sets.where("n = 0").select("_id", "n", F.lit(None).cast("long").alias("component_id")))
+    known = lambda c: F.when(c != LAST_ID, c)
+    return out.select(
+        known(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component_id", "_id")).alias("component_id")
+    )
 
 
 def first_of_each(
@@ -332,14 +359,25 @@ def first_of_each(
     """`(_id, _t)` as `words.keyed` names rows: of every component the row with the smallest id, then text hash, and every row
     without words. Rows are told apart by id and text, so ids may be null or repeat; each pair is named once."""
     with arrow_rows(docs.sparkSession, 500):
-        whole = _classes(docs, k, percent, lower, id_column, text_column)
-    row = F.struct("_id", "_t")
-    first = whole.where("n > 0").groupBy("comp").agg(F.min(row).alias("r")).select("r.*")
-    return first.unionByName(whole.where("n = 0").select("_id", "_t").distinct())
+        sets, one, linked = _classes(docs, k, percent, lower, id_column, text_column)
+    firsts = one.join(linked, "sid").groupBy("comp").agg(F.min("r").alias("r")).select("r.*")
+    alone = one.join(linked, "sid", "left_anti").select("r.*")
+    return firsts.unionByName(alone).unionByName(sets.where("n = 0").select("_id", "_t").distinct())
+
+
+def _hot_joined(rows: DataFrame, names: DataFrame, key: str, how: str) -> DataFrame:
+    """`rows` with the columns of `names` `(key, size, ...)`, where size counts the rows of the key. Keys with more than one in
+    HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are sent to the rows; the others are shuffled."""
+    total = names.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    many = F.col("size") > F.lit(total // HOT_KEYS)
+    hot, rest = F.broadcast(names.where(many)), names.where(~many)
+    cold = rows.join(hot.select(key), key, "left_anti").join(rest, key, how)
+    return rows.join(hot, key).unionByName(cold)
 
 
-def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str, text_column: str) -> DataFrame:
-    """`(_id, _t, sid, n, comp)`, a row for each row of `docs`."""
+def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`(_id, _t, sid, n)`, a row for each row of `docs`; of every set with a shingle `(sid, r, size)`, its first row and the
+    number of its rows; and `(sid, comp)` of the sets that link."""
     rows = keyed(docs, id_column, text_column)
     named = written(rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets")
     sets = named.where("kind = 0").select("_id", "_t", "sid", "n")
@@ -356,10 +394,11 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     met_rows = written(prefixes(heavy).repartition("h").distinct().select("*", F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "met")
     # a page is led by the point that meets most others: of a group of copies most likely the one they were made from
     fame = met_rows.groupBy("sid").agg(F.sum("m").alias("fame"))
-    best = F.max(F.struct("fame", "sid")).over(same)["sid"]
-    live = written(met_rows.join(fame, "sid").select("h", "sid", "n", "last", "m", best.alias("lead")), "live")
+    famed = met_rows.join(fame, "sid")
+    leads = famed.groupBy("h").agg(F.max(F.struct("fame", "sid"))["sid"].alias("lead"), F.count(F.lit(1)).alias("size"))
+    live = written(_hot_joined(met_rows, written(leads, "leads"), "h", "inner").drop("size"), "live")
     facts = written(live.select("sid", "n", "last").dropDuplicates(["sid"]), "facts")
-    one = sets.groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"))
+    one = written(sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"), F.count(F.lit(1)).alias("size")), "one")
     texts = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text"))
 
     def points_of(wanted: DataFrame) -> DataFrame:
@@ -373,27 +412,36 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     stars = written(_possible(shared, facts, percent), "stars")
     links = written(_verify(stars, points_of(ends_of(stars)), percent), "links")
     parts = written(components(links).select(F.col("vid").alias("sid"), "comp"), "parts")
-    spread = live.select("h", "sid", "n", "m").join(parts, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_pages = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    place = (F.row_number().over(Window.partitionBy("h").orderBy("n", "sid")) - 1).cast("long")
-    paged = written(spread.join(open_pages, "h").withColumn("page", F.floor(place / PAGE)), "paged")
+    spread = live.select("h", "sid", "n", "m", "lead").join(parts, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    spread = written(spread, "spread")
+    open_pages = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+    open_pages = written(open_pages.where("lo < hi").select("h", "size"), "open")
+    paged = written(_hot_joined(spread, open_pages, "h", "inner"), "paged")
     shards = F.lit(1 + paged.count() // SHARD_ROWS)
-    small, large = paged.where(f"m <= {LEAF}"), paged.where(f"m > {LEAF}")
-    met = small.groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long, count long")
-    ranges = large.groupBy("h", "page").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    visits = ranges.alias("x").join(ranges.alias("y"), F.expr("x.h = y.h AND x.page <= y.page")).where(
-        f"100 * x.hi >= {percent} * y.lo AND NOT (x.c1 = x.c2 AND y.c1 = y.c2 AND x.c1 = y.c1)"
-    ).select("x.h", F.col("x.page").alias("p1"), F.col("y.page").alias("p2"))
-    ends = visits.select("h", "p1", "p2", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("page"))
-    vectors = points_of(large.select("sid").distinct()).select("sid", "vec")
-    searched = (
-        ends.join(large, ["h", "page"]).join(vectors, "sid").groupBy(F.pmod(F.xxhash64("h", "p1", "p2"), shards).alias("shard"))
-        .applyInArrow(_searched(percent), "a long, b long, count long")
-    )
-    across = written(_possible(met.unionByName(searched).groupBy("a", "b").agg(F.sum("count").alias("count")), facts, percent), "across")
-    links = links.unionByName(_verify(across, points_of(ends_of(across)), percent))
-    linked = components(links).select(F.col("vid").alias("sid"), "comp")
-    return sets.join(linked, "sid", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "sid")))
+    met = paged.where(f"m <= {LEAF}").groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long, count long")
+    across = written(_possible(met.groupBy("a", "b").agg(F.sum("count").alias("count")), facts, percent), "across")
+    links = links.unionByName(_verify(across, points_of(ends_of(across)), percent)).unionByName(_crowd_links(paged, points_of, percent))
+    linked = written(components(links).select(F.col("vid").alias("sid"), "comp"), "linked")
+    return sets, one, linked
+
+
+def _crowd_links(paged: DataFrame, points_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links `(a, b)` between components of the large pages of `(h, sid, n, m, lead, comp)`."""
+    seats = written(paged.where(f"m > {LEAF}").select("lead", "sid", "n", "comp").distinct(), "seats")
+    main = F.max(F.when(F.col("sid") == F.col("lead"), F.col("comp")))
+    crowds = seats.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), main.alias("main"))
+    crowds = written(crowds.withColumn("blocks", F.floor(F.col("shingles") / BLOCK_SHINGLES) + 1), "crowds")
+    seated = _hot_joined(seats, crowds, "lead", "inner")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    asks = F.col("comp") != F.col("main")
+    goes = F.when(asks, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
+    visits = seated.select("lead", "sid", "n", "comp", own.alias("own"), asks.alias("asks"), F.explode(goes).alias("block"))
+    visits = written(visits.withColumn("home", F.col("own") == F.col("block")), "visits")
+    sent = visits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    points = points_of(seats.select("sid").distinct()).select("sid", "vec", "members")
+    shard = F.pmod(F.xxhash64("lead", "block"), F.lit(1 + sent // BLOCK_SHINGLES)).alias("shard")
+    rows = visits.select("lead", "block", "sid", "comp", "home", "asks").join(points, "sid")
+    return written(rows.groupBy(shard).applyInArrow(_crowds_linked(percent), "a long, b long"), "crowd_links")
 
 
 def _hashes(counted: DataFrame) -> np.ndarray:

@@ -152,12 +152,34 @@ def test_jaccard_join(spark, odd_rows, monkeypatch):
             w[int(draw.integers(0, len(w)))] = f"n{i}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(jaccard_join, "LEAF", 4)
-    monkeypatch.setattr(jaccard_join, "PAGE", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 1 << 10)
     monkeypatch.setattr(jaccard_join, "CROWD", 1000)
     monkeypatch.setattr(jaccard_join, "SELDOM", 1000)
     assert Counter(tuple(r) for r in jaccard_join.jaccard_classes(documents(spark, rows)).collect()) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_SHINGLES, 1 << 12])
+def test_jaccard_join_of_crowds(spark, monkeypatch, block):
+    """Hundreds of copies so far from their originals that many link with other copies only, or with none."""
+    draw = np.random.default_rng(4)
+    rows = [(i, sentence(400 + i % 2, 90)) for i in range(2)]
+    for i in range(2, 500):
+        w = rows[int(draw.integers(0, i))][1].split() if i % 5 == 0 else rows[i % 2][1].split()
+        for _ in range(int(draw.integers(0, 7))):
+            w[int(draw.integers(0, len(w)))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    plain, made = jaccard_join._crowd_links, []
+
+    def watched(*given):
+        made.append(plain(*given))
+        return made[-1]
+
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "_crowd_links", watched)
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_classes(documents(spark, rows)).collect()) == brute_classes(rows)
+    assert made[0].count() > 0
+
+
 def test_bpe_round_trip(spark, odd_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
