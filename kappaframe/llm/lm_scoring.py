@@ -284,9 +284,8 @@ def cross_entropy_difference(
     models = Models(ranges, np.cumsum(v), edge, known[0], tuple(totals), (known[1], known[2]), (n_docs, n_ids))
     texts = chunks.select("chunk", "ids", "flags", "lengths", "tokens", "number", "words")
     words = told.where("chunk >= 0")
-    sent = texts.drop("ids").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
-        _bigrams_sent(models), SENT
-    )
+    # the same columns as below, so that Spark shuffles the texts once for both
+    sent = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_bigrams_sent(models), SENT)
     bigrams = sent.groupBy("range").applyInArrow(_answered(False), SENT)
     both = words.withColumn("of_words", F.lit(True)).unionByName(bigrams.withColumn("of_words", F.lit(False)))
     return texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_scored(models), "doc_id long, n_tokens long, score double")
