@@ -2,8 +2,10 @@
 
 Tokens are runs of letters and digits, or of one kind of other visible characters. The field tags every token as begin
 (1), inside (2) or outside (0) of a secret from its shape, the tokens beside it and features of its file, and is decoded by
-Viterbi. It is trained on the values that the patterns find in a bounded sample, so it adds what looks and stands like a
-secret but fits no pattern.
+Viterbi. It is trained on the values that the patterns find in a bounded sample, and on made secrets: random strings of
+other lengths and alphabets in the place of these values and, where their look alone tells, in the place of words of other
+texts. So it adds what looks and stands like a secret but fits no pattern, and does not learn the patterns' own lengths and
+keywords as the whole truth.
 
 Decoding is exact and short: where swapping any tag for "outside" surely gains, whatever the neighbours' tags, the best
 path is outside; only the runs between such tokens are decoded step by step.
@@ -25,6 +27,10 @@ from kappaframe.llm.words import as_bytes, cut, mixed, powers
 TRAIN_DOCS = 2_000  # sampled texts with a pattern's match, and as many without, at most
 WINDOW = 24
 CONTEXT_WORDS = 256
+MADE = 4096  # strings drawn for made secrets
+# Alphabets of made secrets
+ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+             "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
 
 # The three patterns, in the order in which kinds are listed
 KEYWORDS = ["password", "passwd", "secret", "token", "api_?key"]
@@ -226,6 +232,41 @@ def _logsum(m: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(m - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
+def _made_shapes(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes of random strings of 8 to 48 characters that change between digits and letters twice or more, and of those
+    that nobody takes for a word: of 8 characters with five changes or more, or of 12 with two."""
+    texts = []
+    for _ in range(MADE):
+        letters = np.frombuffer(ALPHABETS[rng.integers(len(ALPHABETS))].encode(), np.uint8)
+        texts.append(rng.choice(letters, rng.integers(8, 49)).tobytes())
+    shape = Tokens(texts).shape
+    size, changes = shape // 72, shape // 24 % 3
+    return shape[changes > 0], shape[(changes == 2) | ((changes == 1) & (size >= 4))]
+
+
+def _with_made(shape: np.ndarray, file: np.ndarray, tags: np.ndarray, near: np.ndarray, unknown: int) -> tuple[np.ndarray, ...]:
+    """The windows and, of each, one with a made secret: in the place of its first value of one token that a pattern found, or,
+    in a window without values, of a word. The words around stay; the replaced token is an unknown word to its neighbours."""
+    rng = np.random.default_rng(4)
+    beside, alone = _made_shapes(rng)
+    later = np.concatenate([tags[:, 1:], np.zeros((len(tags), 1), tags.dtype)], axis=1)
+    valued = (tags > 0).any(axis=1)
+    fits = np.where(valued[:, None], (tags == 1) & (later != 2), shape < 648)
+    fits[:, [0, 1, -1]] = False
+    rows = np.flatnonzero(fits.any(axis=1))
+    # the first value, or any word
+    at = np.where(valued[rows], fits[rows].argmax(axis=1), (fits[rows] * rng.random((len(rows), WINDOW))).argmax(axis=1))
+    new = [x[rows].copy() for x in (shape, file, tags, near)]
+    each = np.arange(len(rows))
+    new[0][each, at] = np.where(valued[rows], rng.choice(beside, len(rows)), rng.choice(alone, len(rows)))
+    new[2][each, at] = 1
+    for k, step in enumerate((1, 2, -1)):
+        place = at + step
+        ok = (place >= 0) & (place < WINDOW)
+        new[3][each[ok], place[ok], k] = unknown
+    return tuple(np.concatenate([a, b]) for a, b in zip((shape, file, tags, near), new, strict=True))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for _, texts, part in cut(batch.column("doc_id"), batch.column("_text")):
@@ -238,7 +279,8 @@ def _points(text: bytes, places: list[int]) -> list[int]:
 
 def fit(docs: DataFrame, sample: int = TRAIN_DOCS, id_column: str = "doc_id", text_column: str = "text") -> Field | None:
     """A field trained on windows around matches of the patterns and on windows elsewhere, from at most `sample` texts
-    with a match and as many without, drawn by a hash of the text. None if nothing matches."""
+    with a match and as many without, drawn by a hash of the text, each with a made secret as well. None if nothing matches,
+    as in an empty table. Repeated texts are drawn once."""
     text = as_bytes(text_column)
     plain = F.col(f"`{text_column}`").cast("string")
     hit = F.coalesce(plain.rlike("[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i)(passw|secret|token|api_?key)"), F.lit(False)).cast("int")
@@ -292,6 +334,7 @@ def fit(docs: DataFrame, sample: int = TRAIN_DOCS, id_column: str = "doc_id", te
     v = field.vocabulary
     j = np.minimum(np.searchsorted(v, words), len(v) - 1)
     j = np.where(v[j] == words, j, len(v))
+    shape, file, tags, j = _with_made(shape, file, tags, j, len(v))
     field.train(np.concatenate([np.stack([shape, shape // FINE, file], axis=2), j], axis=2).astype(np.int64), tags.astype(np.int64))
     return field
 

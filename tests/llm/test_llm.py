@@ -217,6 +217,18 @@ def test_secret_scan(spark, odd_rows):
     assert all([tuple(s) for s in r.spans if s.kind != "crf"] == base(r.text) for r in rows)
     clean = {r.doc_id: r.text for r in secret_scan.redacted(real, field).collect()}
     assert all((clean[r.doc_id] == r.text) == (not r.spans) for r in rows)
+    # no false span in the given texts, and most of the secrets that no pattern finds
+    assert not [s for r in rows for s in r.spans if s.kind == "crf"]
+    rng = np.random.default_rng(9)
+    frames = ["the value is {} and it stays", "Authorization: Bearer {}", "my key is {}.", "curl -H 'X-Auth: {}' there", "<credential>{}</credential>"]
+    made = ["".join(rng.choice(list(secret_scan.ALPHABETS[-1]), 12 + i % 30)) for i in range(300)]
+    texts = [f"Some words of prose come before. {frames[i % 5].format(m)} Some words of prose come after." for i, m in enumerate(made)]
+    planted = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.spans} for r in secret_scan.with_spans(planted, field).collect()}
+    assert sum(m in found[i] for i, m in enumerate(made)) >= 0.8 * len(made)
+    plain = "Line 12 of 2024-05-06, version2.0.1, utf8mb4 or sha256, mail7@example.com, call +49 30 1234567, x86_64, part AB-1234 of 3rd row."
+    odd = spark.createDataFrame([(1, plain), (1, plain), (None, None), (2, ""), (3, plain * 2000)], "doc_id bigint, text string")
+    assert all(not r.spans for r in secret_scan.with_spans(odd, field).collect())
 
 
 def test_viterbi_is_exact():
