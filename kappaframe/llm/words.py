@@ -136,13 +136,14 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-TEXT_ROWS = 500
+TEXT_ROWS, TEXT_BYTES = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to TEXT_ROWS rows for queries on whole texts: a batch stands in the JVM and in
-    Python at once. Plans are made when results are read, so this stays set."""
+    """Bounds the session's Arrow batches by TEXT_ROWS rows and TEXT_BYTES bytes for queries on whole texts: a batch stands in
+    the JVM and in Python at once. A longer text is a batch of its own. Plans are made when results are read, so this stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def squeezed(text: Column) -> Column:
