@@ -41,11 +41,12 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id stays, then text hash (a null id comes last); rows without
     words stay, and of rows equal in id and text one."""
-    first = jaccard_join.first_of_each(docs).select(F.col("_id").alias("i"), F.col("_t").alias("t"))
-    rows = _rows(docs)
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    kept = rows.join(first, (place == F.col("i")) & (F.xxhash64(as_bytes("text")) == F.col("t")), "left_semi")
-    return _documents(kept.dropDuplicates(["doc_id", "text"]), docs)
+    first = jaccard_join.first_of_each(docs)
+    rows = _rows(docs).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    rows = rows.withColumn("_t", F.xxhash64(as_bytes("text"))).withColumn("_null", F.col("text").isNull())
+    kept = rows.join(first, ["_id", "_t"], "left_semi")
+    # rows that repeat lie together already, so whole rows are shuffled once and no text is a key
+    return _documents(kept.dropDuplicates(["_id", "_t", "doc_id", "_null"]), docs)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
