@@ -8,7 +8,8 @@ made from the sample; several rotations serve when one code is too short. Equal
 
 Tables reduce to counts, so buckets of one point are never shuffled; large buckets are split into chunks, and each pair
 of chunks is a task of its own. A pair that shares several tables counts in the first. Tasks give link counts and one
-link per point to the smallest point it is joined with, no pairs.
+link per point to the smallest point of its component among the task's links, no pairs. Pairs too near the threshold for
+sums of doubles are decided in extended precision.
 """
 
 from __future__ import annotations
@@ -122,50 +123,86 @@ def _coded(rotations: list[np.ndarray], middle: np.ndarray, bits: int, tables: i
             x = _matrix(batch.column("vec"))
             unit = x / np.abs(x).max(axis=1, keepdims=True)
             unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+            exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]
+            exact = np.ldexp(x, -exponent)  # a power of two is taken off, so no digit changes
             signs = np.concatenate([(unit - middle) @ r >= 0 for r in rotations], axis=1)[:, : bits * tables]
             keys = signs.reshape(len(x), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
             offsets = pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pid"), batch.column("w"), pa.array([u.tobytes() for u in unit], pa.binary()),
-                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["pid", "w", "unit", "keys"])
+                [batch.column("pid"), batch.column("w"), pa.array([v.tobytes() for v in exact], pa.binary()),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["pid", "w", "vec", "keys"])
 
     return task
 
 
-def _linked(cosine: float, table: int, keys: np.ndarray, pid: np.ndarray, w: np.ndarray, units: np.ndarray, mine, theirs, same: bool):
-    """Weighted link counts and smallest partners of the points at `mine` and `theirs` that first share `table`."""
-    count, least = np.zeros(len(pid), dtype=np.int64), pid.copy()
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of `a` and `b`, worked out in extended precision and rounded to double."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return ((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64)
+
+
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Takes the links `x`-`y` into `root`, which holds the smallest place of every place's component."""
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            return
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _linked(cosine: float, table: int, keys: np.ndarray, pid: np.ndarray, w: np.ndarray, vectors: np.ndarray, units: np.ndarray, mine, theirs):
+    """Weighted link counts of the points (ascending by `pid`) at `mine` and `theirs` that first share `table`, and the
+    smallest point of each one's component over these links."""
+    slack = 4 * (vectors.shape[1] + 16) * np.finfo(np.float64).eps
+    same = mine is theirs
+    count, root = np.zeros(len(pid), dtype=np.int64), np.arange(len(pid))
     for a in range(0, len(mine), 256):
         i = mine[a : a + 256]
-        r, c = np.nonzero(units[i] @ units[theirs].T >= cosine)
+        near = units[i] @ units[theirs].T
+        r, c = np.nonzero(near >= cosine - slack)
         x, y = i[r], theirs[c]
-        keep = pid[x] < pid[y] if same else x != y
-        x, y = x[keep], y[keep]
+        keep = x < y if same else x != y
+        x, y, told = x[keep], y[keep], near[r[keep], c[keep]]
+        if not len(x):
+            continue
         first = (keys[x, :table] != keys[y, :table]).all(axis=1)
-        x, y = x[first], y[first]
+        x, y, told = x[first], y[first], told[first]
+        close = np.flatnonzero(told <= cosine + slack)
+        for at in np.split(close, range(CHUNK, len(close), CHUNK)):
+            told[at] = _cosines(vectors[x[at]], vectors[y[at]])
+        x, y = x[told >= cosine], y[told >= cosine]
         np.add.at(count, x, w[y])
         np.add.at(count, y, w[x])
-        np.minimum.at(least, x, pid[y])
-        np.minimum.at(least, y, pid[x])
+        _joined(root, x, y)
     some = np.flatnonzero(count)
-    return pid[some], count[some], least[some]
+    return pid[some], count[some], pid[root[some]]
 
 
 def _compared(cosine: float):
     def task(group: pa.Table) -> pa.Table:
         names = ("t", "key", "c1", "c2", "pid", "w", "c")
         t, key, c1, c2, pid, w, c = (group.column(x).to_numpy() for x in names)
-        units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(pid), -1)
+        vectors = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64).reshape(len(pid), -1)
         keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(pid), -1)
-        order = np.lexsort((c2, c1, key, t))
+        units = _unit(vectors)
+        order = np.lexsort((pid, c2, c1, key, t))
         ids = np.stack([t[order], key[order], c1[order], c2[order]])
         edges = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
         found = []
         for visit in np.split(order, edges):
             if len(visit) > 1:
                 i = visit[0]
-                mine, theirs = (np.flatnonzero(c[visit] == x[i]) for x in (c1, c2))
-                found.append(_linked(cosine, int(t[i]), keys[visit], pid[visit], w[visit], units[visit], mine, theirs, c1[i] == c2[i]))
+                mine = np.flatnonzero(c[visit] == c1[i])
+                theirs = mine if c1[i] == c2[i] else np.flatnonzero(c[visit] == c2[i])
+                found.append(_linked(cosine, int(t[i]), keys[visit], pid[visit], w[visit], vectors[visit], units[visit], mine, theirs))
         out = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
         return pa.table({"pid": out[0], "n": out[1], "b": out[2]})
 
@@ -188,7 +225,7 @@ def near_duplicates(
 ) -> DataFrame:
     """`(vec_id, n_links, component_id, kept)`, a row for each row of `df`.
 
-    Two vectors link when their cosine, in double precision, is `cosine` or more and they share a table's key; `n_links`
+    Two vectors link when their cosine, rounded to double precision, is `cosine` or more and they share a table's key; `n_links`
     counts the other rows linked directly, `component_id` is the smallest id reachable, `kept` marks it. Vectors that are
     null, empty or zero, or that hold a null, NaN or infinite component, link with nothing, and vectors link only with
     vectors of their own length. Rows of equal vectors link with one another. Rows with a null id keep it and never
@@ -212,7 +249,7 @@ def near_duplicates(
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         bits, tables, middle, turns = measured_plan(x, n, cosine)
         coded = written(
-            own.select("pid", "w", "vec").mapInArrow(_coded(turns, middle, bits, tables), "pid long, w long, unit binary, keys array<long>"), "codes"
+            own.select("pid", "w", "vec").mapInArrow(_coded(turns, middle, bits, tables), "pid long, w long, vec binary, keys array<long>"), "codes"
         )
         spots = coded.select("pid", F.posexplode("keys").alias("t", "key"))
         full = written(spots.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "full")

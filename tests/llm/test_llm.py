@@ -374,6 +374,30 @@ def test_embedding_recall_with_a_common_direction(spark):
     assert want >= 3000 and 0.9 * want <= got <= want
 
 
+def linked(vectors):
+    """Links of points named 0, 1, ... that share a bucket: names, counts, smallest points."""
+    v, names = np.array(vectors, dtype=float), np.arange(len(vectors))
+    return embedding_dedup._linked(0.95, 0, np.zeros((len(v), 1), np.int64), names, np.ones(len(v), np.int64), v, embedding_dedup._unit(v), names, names)
+
+
+def test_embedding_links_join_whole_components_within_a_task():
+    """A point linked with two smaller ones joins these two, whatever the order along a chain."""
+    angle = np.arccos(0.95) * 0.9
+    chain = np.array([[np.cos(i * angle), np.sin(i * angle)] for i in range(4)])
+    for order in ([0, 1, 2, 3], [1, 3, 0, 2], [2, 0, 3, 1], [0, 3, 1, 2]):
+        pid, n, least = linked(chain[order])
+        assert [n[order.index(i)] for i in range(4)] == [1, 2, 2, 1] and list(pid) == [0, 1, 2, 3] and set(least) == {0}
+
+
+def test_embedding_links_at_the_threshold():
+    """Vectors whose cosine is the threshold itself (19 / 20) link, whatever their lengths; those just below do not."""
+    padded = lambda v: np.pad(np.array(v, dtype=float), (0, 64 - len(v)))
+    pairs = [([1, 7, 3, 5, 4], [3, 7, 1, 4, 5]), ([1, 7, 3, 4, 5], [3, 7, 1, 5, 4]), ([4, 1, 5, 3, 7], [3, 3, 3, 3, 8]), ([1], [19, 6, 1, 1, 1])]
+    for one, other in pairs:
+        assert all(list(linked([padded(one), s * padded(other)])[1]) == [1, 1] for s in (1, 2, 7, 60))
+    assert not len(linked([padded([1]), padded([19 - 1e-12, 6, 1, 1, 1])])[0])
+
+
 def test_embedding_groups_follow_a_dense_bucket(spark, monkeypatch):
     plain = embedding_dedup._compared
 
