@@ -15,6 +15,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from kappaframe.session import small_batches  # noqa: F401 - queries on texts take it from here
+
 WHITESPACE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -136,16 +138,6 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-TEXT_ROWS, TEXT_BYTES = 500, 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by TEXT_ROWS rows and TEXT_BYTES bytes for queries on whole texts: a batch stands in
-    the JVM and in Python at once. A longer text is a batch of its own. Plans are made when results are read, so this stays set."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
-
-
 def squeezed(text: Column) -> Column:
     """Bytes made small for a shuffle, with their length in front; `expanded` gives them back."""
 

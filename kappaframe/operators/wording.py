@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from kappaframe.session import cut_lineage, fresh, shuffle_width, spread
+from kappaframe.session import cut_lineage, fresh, shuffle_width, small_batches, spread
 
 WORD = "\\p{L}+"
 PIECES = "\\p{L}+|[^\\p{L}]+"
@@ -118,8 +118,7 @@ def correct_spelling(df: DataFrame, id_column: str, text: str, rare: int = 1, fr
     )
 
 
-CELLS = 1 << 16  # character triples share so many cells
-_LEADS = (961, 31, 1)
+HELD = 1 << 20  # weights that a task holds at most, one per language and triple; rarer triples are joined
 _PIECE = 1 << 20  # characters of a text that are looked at together
 
 
@@ -127,59 +126,121 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " ")
 
 
-def _cells(text: str) -> Iterator[np.ndarray]:
-    """Cells of the overlapping character triples of a text: 961 a + 31 b + c of their code points, modulo CELLS."""
+def _added(triples: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some triples, ascending, and the sums of their counts."""
+    if len(triples) == 1:
+        return triples[0], counts[0]
+    every, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (triples, counts))
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _triples(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct overlapping character triples of a text, ascending, three code points in one number, and their counts."""
+    found, counts = [], []
     for at in range(0, max(len(text) - 2, 0), _PIECE):
-        points = np.frombuffer(text[at : at + _PIECE + 2].encode("utf-32-le"), np.uint32).astype(np.int64)
-        yield (points[:-2] * _LEADS[0] + points[1:-1] * _LEADS[1] + points[2:] * _LEADS[2]) % CELLS
+        points = np.frombuffer(text[at : at + _PIECE + 2].encode("utf-32-le"), np.uint32)
+        seen = np.zeros(int(points.max()) + 1, dtype=bool)
+        seen[points] = True
+        letters = np.flatnonzero(seen)
+        place = (np.cumsum(seen) - 1)[points]
+        k = len(letters)
+        spots = (place[:-2] * k + place[1:-1]) * k + place[2:]
+        if k**3 <= 8 * len(points):  # a table of all triples of the letters at hand is quicker than sorting
+            table = np.bincount(spots, minlength=k**3)
+            kinds = np.flatnonzero(table)
+            n = table[kinds]
+        else:
+            kinds, n = np.unique(spots, return_counts=True)
+        found.append((letters[kinds // (k * k)] << 42) | (letters[kinds // k % k] << 21) | letters[kinds % k])
+        counts.append(n)
+    return _added(found, counts)
 
 
 def language_profiles(df: DataFrame, text: str, language: str) -> DataFrame:
-    """`(language, cell, n)` over the labelled texts. A task adds up all its texts before it sends anything on."""
-    labelled = spread(df.where(F.col(language).isNotNull()).select(F.col(language).cast("string").alias("language"), _letters(F.col(text)).alias("text")))
+    """`(language, triple, n)` over all texts, those without a language under null. Every batch is added up in its task."""
+    rows = spread(df.select(F.col(language).cast("string").alias("language"), _letters(F.col(text)).alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
         for batch in batches:
+            held: dict[str | None, list] = {}
             for name, value in zip(batch.column("language").to_pylist(), batch.column("text"), strict=True):
-                total = held.setdefault(name, np.zeros(CELLS, np.int64))
-                for cells in _cells(value.as_py()):
-                    total += np.bincount(cells, minlength=CELLS)
-        for name, total in held.items():
-            at = np.flatnonzero(total)
-            columns = [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["language", "cell", "n"])
+                held.setdefault(name, []).append(_triples(value.as_py()))
+            for name, parts in held.items():
+                triples, n = _added(*map(list, zip(*parts, strict=True)))
+                columns = [pa.array([name] * len(n), pa.string()), pa.array(triples), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["language", "triple", "n"])
+
+    parts = rows.mapInArrow(count, "language string, triple bigint, n bigint")
+    return parts.groupBy("language", "triple").agg(F.sum("n").alias("n"))
 
-    parts = labelled.mapInArrow(count, "language string, cell int, n bigint")
-    return parts.groupBy("language", "cell").agg(F.sum("n").alias("n"))
 
+def _gains(triples: np.ndarray, weights: np.ndarray, whole: bool):
+    """Texts to `(total, gains, rest)`: how many triples, the summed weights per language (the columns of `weights`) of
+    those in `triples` (ascending), and, unless these are the `whole` profile, the others with their counts."""
+    kind = "struct<total:bigint, gains:array<double>, rest:array<struct<triple:bigint, times:bigint>>>"
 
-def language_probability(df: DataFrame, id_column: str, text: str, language: str, target: str = "en") -> DataFrame:
-    """`(id, probability)` that each text is in `target`: naive Bayes over hashed character triples with equal priors and
+    @arrow_udf(kind)
+    def gained(texts: pa.Array) -> pa.Array:
+        total, gains, rest = [], [], []
+        for value in texts:
+            found, n = _triples(value.as_py())
+            at = np.searchsorted(triples, found)
+            known = at < len(triples)
+            known[known] = triples[at[known]] == found[known]
+            total.append(int(n.sum()))
+            gains.append(n[known] @ weights[at[known]])
+            rest.append([] if whole else [{"triple": int(t), "times": int(k)} for t, k in zip(found[~known], n[~known], strict=True)])
+        pair = pa.struct([("triple", pa.int64()), ("times", pa.int64())])
+        columns = [pa.array(total, pa.int64()), pa.array(gains, pa.list_(pa.float64())), pa.array(rest, pa.list_(pair))]
+        return pa.StructArray.from_arrays(columns, names=["total", "gains", "rest"])
+
+    return gained
+
+
+def language_probability(
+    df: DataFrame, id_column: str, text: str, language: str, target: str = "en", held: int = HELD
+) -> DataFrame:
+    """`(id, probability)` that each text is in `target`: naive Bayes over character triples with equal priors and
     add-one counts, trained on the labelled texts themselves; 0 for a text without a triple of letters or spaces.
 
-    The model has CELLS weights per language whatever the corpus, so it travels with the function, and a text is scored
-    inside its row: no row per triple is ever made.
+    Weights of the commonest triples, `held` in all, travel with the function, and a text is scored by them inside its
+    row. Where the profile has more triples, the rarer ones leave their texts and are joined with it.
     """
-    profile = language_profiles(df, text, language).toArrow()  # at most CELLS rows per language of the label set
-    names = sorted(set(profile.column("language").to_pylist()))
-    counts = np.zeros((len(names), CELLS))
-    if names:
-        who = np.searchsorted(np.array(names), np.array(profile.column("language").to_pylist()))
-        counts[who, profile.column("cell").to_numpy()] = profile.column("n").to_numpy()
-    weights = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + CELLS)
-    wanted = names.index(target) if target in names else None
-
-    @arrow_udf("double")
-    def probability(texts: pa.Array) -> pa.Array:
-        out = []
-        for value in texts:
-            score, some = np.zeros(len(names)), False
-            for cells in _cells(value.as_py()):
-                score += np.array([w[cells].sum() for w in weights])
-                some = True
-            share = np.exp(score - score.max()) if some and wanted is not None else None
-            out.append(0.0 if share is None else float(share[wanted] / share.sum()))
-        return pa.array(out, pa.float64())
-
-    return spread(df.select(id_column, text)).select(id_column, probability(_letters(F.col(text))).alias("probability"))
+    small_batches(df.sparkSession)
+    profile = cut_lineage(language_profiles(df, text, language))
+    known = profile.where("language IS NOT NULL")
+    kinds = profile.agg(F.countDistinct("triple")).first()[0]
+    # one row per language of the label set
+    totals = {r["language"]: r["total"] for r in known.groupBy("language").agg(F.sum("n").alias("total")).collect()}
+    names = sorted(totals)
+    if target not in names:
+        return df.select(id_column, F.lit(0.0).alias("probability"))
+    sums = known.groupBy("triple").agg(F.sum("n").alias("n"))
+    room = max(1, held // len(names))
+    whole = sums.count() <= room
+    common = known if whole else known.join(
+        cut_lineage(sums.orderBy(F.desc("n"), "triple").limit(room).select("triple")), "triple", "left_semi"
+    )
+    table = common.toArrow()  # at most `held` rows, or one per language
+    triples, row = np.unique(table.column("triple").to_numpy(), return_inverse=True)
+    weights = np.zeros((len(triples), len(names)))
+    weights[row, np.searchsorted(np.array(names), np.array(table.column("language").to_pylist()))] = np.log(table.column("n").to_numpy() + 1)
+    gained = _gains(triples, weights, whole)(_letters(F.col(text)))
+    scored = spread(df.select(id_column, text)).select(id_column, gained.alias("_g")).select(id_column, "_g.*")
+    gains = F.col("gains")
+    if not whole:
+        scored = cut_lineage(scored.withColumn("_row", F.monotonically_increasing_id()))
+        others = scored.select("_row", F.explode("rest").alias("_r")).select("_row", "_r.*").join(known, "triple")
+        extra = others.groupBy("_row", "language").agg(F.sum(F.col("times") * F.log(F.col("n") + 1.0)).alias("gain"))
+        extra = extra.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("language", "gain"))).alias("_more"))
+        scored = scored.join(extra, "_row", "left")
+        own = F.array(*[F.lit(name) for name in names])
+        gains = F.zip_with("gains", own, lambda g, name: g + F.coalesce(F.col("_more")[name], F.lit(0.0)))
+    norms = F.array(*[F.lit(float(np.log(totals[name] + kinds))) for name in names])
+    scores = F.zip_with(gains, norms, lambda g, norm: g - F.col("total") * norm)
+    wanted = F.get("_s", names.index(target))
+    share = F.lit(1.0) / F.aggregate("_s", F.lit(0.0), lambda whole, score: whole + F.exp(score - wanted))
+    return scored.withColumn("_s", scores).select(id_column, F.when(F.col("total") > 0, share).otherwise(0.0).alias("probability"))

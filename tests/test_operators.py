@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -427,6 +429,25 @@ def test_language(spark):
     assert got[1] > 0.99 and got[2] < 0.01 and got[3] == 0.0 and got[4] > 0.9
 
 
+def test_language_counts_exact_triples(spark):
+    """Equal to naive Bayes in plain Python, also where most triples are joined and not held in the task."""
+    rows = [(i, " ".join(random.Random(i).choices(words, k=9)), lang) for i in range(30)
+            for lang, words in [(["en", "de", "ру", None][i % 4], ["thing house water the", "daß größe übel der", "вода дом один", "thing дом übel"][i % 4].split())]]
+    rows += [(50, "x", "en"), (51, None, "de"), (52, "", None), (53, "thing \U00010400\U00010428\U00010400 12 вода", "en"), (53, "übel", "de"), (None, "the water", "en")]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    texts = [re.sub(r"[\W\d_]+", " ", (text or "").lower()) for _, text, _ in rows]
+    grams = [Counter(t[i : i + 3] for i in range(len(t) - 2)) for t in texts]
+    profile = {lang: sum((g for g, r in zip(grams, rows) if r[2] == lang), Counter()) for lang in ("en", "de", "ру")}
+    kinds = len(set().union(*grams))
+    want = []
+    for (i, _, _), g in zip(rows, grams):
+        score = {lang: sum(n * math.log((p[w] + 1) / (p.total() + kinds)) for w, n in g.items()) for lang, p in profile.items()}
+        want.append((i, round(1 / sum(math.exp(x - score["en"]) for x in score.values()), 9) if g else 0.0))
+    for held in (W.HELD, 60, 1):
+        got = W.language_probability(df, "id", "text", "lang", held=held).collect()
+        assert sorted(((r["id"], round(r["probability"], 9)) for r in got), key=str) == sorted(want, key=str), held
+
+
 def test_pairs(spark):
     rows = [(q, "1", q * 10 + p, ["1", "2"][p % 2], p) for q in range(60) for p in range(4)] + [(100, "3", 5, "2", 0)]
     df = spark.createDataFrame(rows, "query_id bigint, query_label string, example_id bigint, label string, position bigint")
