@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kappaframe.session import spread
+from kappaframe.session import small_batches, spread
 
 Batch = Callable[[list[str]], list]
 
@@ -23,6 +24,7 @@ def infer(
     Rows are ordered by length inside their partition, longest first, so that a batch holds texts of
     similar length.
     """
+    small_batches(df.sparkSession)
     rows = spread(df.select(*keep, F.col(text).alias("_text")))
     if by_length:
         rows = rows.sortWithinPartitions(F.desc(F.length("_text")))
@@ -43,5 +45,15 @@ def infer(
 
 
 def column_function(function: Callable[[pd.Series], pd.Series], returns: str, column: str) -> Column:
-    """A Series to Series function as a column, for code that has no native form."""
-    return F.pandas_udf(function, returns)(F.col(column))
+    """A Series to Series function as a column, for code that has no native form; a Series is bounded in rows and bytes.
+
+    `s.str` keeps its Series in a cycle of references, so what earlier batches left is collected before each one; else a
+    task would hold most of its texts.
+    """
+    small_batches(SparkSession.active())
+
+    def bounded(values: pd.Series) -> pd.Series:
+        gc.collect()
+        return function(values)
+
+    return F.pandas_udf(bounded, returns)(F.col(column))

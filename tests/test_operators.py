@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with cells and blocks small enough to matter."""
 
+import gc
 import itertools
 import math
 import random
@@ -9,11 +10,13 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from kappaframe.operators import agreement as A
 from kappaframe.operators import clusters as K
 from kappaframe.operators import examples as E
 from kappaframe.operators import fairness as G
+from kappaframe.operators import inference
 from kappaframe.operators import neighbours as N
 from kappaframe.operators import scan
 from kappaframe.operators import selection as S
@@ -22,6 +25,7 @@ from kappaframe.operators import thresholds as T
 from kappaframe.operators import wording as W
 from kappaframe.operators.components import components
 from kappaframe.operators.ordering import numbered, position_bucket, running_sums
+from kappaframe.session import arrow_rows
 
 
 def brute_kappa(t, p, power):
@@ -448,6 +452,34 @@ def test_language_counts_exact_triples(spark):
         assert sorted(((r["id"], round(r["probability"], 9)) for r in got), key=str) == sorted(want, key=str), held
 
 
+def test_functions_on_texts_get_batches_bounded_in_bytes(spark):
+    """Long texts reach a function a few at a time, in all of `column_function` and `infer`."""
+    sizes = lambda s: s.str.len().sum() + 0 * s.str.len()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("ab c"), 250_000).alias("text"))
+    try:
+        together = df.select(inference.column_function(sizes, "bigint", "text").alias("n")).agg(F.max("n"), F.count("n")).first()
+        assert together[0] <= 8_000_000 and together[1] == 40
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        found = inference.infer(df, "text", lambda: lambda texts: [len(texts)] * len(texts), "n", LongType(), ["id"], batch_size=100)
+        assert found.agg(F.max("n")).first()[0] <= 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_column_function_lets_go_of_earlier_batches(spark):
+    def held(s):
+        return s.str.len() * 0 + sum(type(x).__name__ == "Series" and len(x) == 123 for x in gc.get_objects())
+
+    df = spark.range(0, 123 * 60, 1, 1).select(F.lit("text").alias("text"))
+    counted = df.select(inference.column_function(held, "bigint", "text").alias("n"))
+    with arrow_rows(spark, 123):
+        found = counted.agg(F.max("n"), F.count("n")).first()
+    assert found[0] <= 4 and found[1] == 123 * 60
+
+
 def test_pairs(spark):
     rows = [(q, "1", q * 10 + p, ["1", "2"][p % 2], p) for q in range(60) for p in range(4)] + [(100, "3", 5, "2", 0)]
     df = spark.createDataFrame(rows, "query_id bigint, query_label string, example_id bigint, label string, position bigint")
