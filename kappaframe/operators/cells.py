@@ -107,9 +107,10 @@ def _field(df: DataFrame, name: str) -> str:
 
 
 def visit_cells(queries: DataFrame, cells: DataFrame, item: str, radius: float, block: int = BLOCK) -> DataFrame:
-    """`(item, vid, vec, [payload], cell)`: the cells that can hold something within `radius` of each query.
+    """`(item, vid, vec, [payload], cell)`: the packs of cells that can hold something within `radius` of each query,
+    each once.
 
-    `cells` holds `(item, cell, pvec, n, r)`.
+    `cells` holds `(item, cell, pvec, n, r, pack)`; the packs are named `cell` in the result.
     """
     salts = _salts(queries, item, block)
     kept = [item, "vid", "vec", *[c for c in CARRIED if c in queries.columns]]
@@ -122,9 +123,11 @@ def visit_cells(queries: DataFrame, cells: DataFrame, item: str, radius: float,
             return out.slice(0, 0).append_column("cell", pa.array([], pa.string()))
         d = chord(unit_rows(rows, "vec") @ unit_rows(centres, "pvec").T)
         reach = d - np.array(centres.column("r").to_pylist(), dtype=float)[None, :]
-        at, cell = np.nonzero(reach <= radius + 1e-9)
-        names = np.array(centres.column("cell").to_pylist(), dtype=object)
-        return out.take(pa.array(at)).append_column("cell", pa.array(names[cell].tolist(), pa.string()))
+        packs = np.array(centres.column("pack").to_pylist(), dtype=object)
+        order = np.argsort(packs, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], packs[order][1:] != packs[order][:-1]]))
+        at, pack = np.nonzero(np.logical_or.reduceat(reach[:, order] <= radius + 1e-9, first, axis=1))
+        return out.take(pa.array(at)).append_column("cell", pa.array(packs[order[first]][pack].tolist(), pa.string()))
 
     fields = [_field(queries, c) for c in kept]
     return left.groupBy(item, "_salt").cogroup(fresh(right).groupBy(item, "_salt")).applyInArrow(
@@ -153,3 +156,13 @@ def cell_table(members: DataFrame, pivots: DataFrame, item: str) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n"), F.max("dist").alias("r")
     )
     return stats.join(pivots.withColumnRenamed("pid", "cell"), [item, "cell"])
+
+
+def pack_cells(pivots: DataFrame, item: str, cell: int, block: int = BLOCK) -> DataFrame:
+    """`(item, cell, pack)`: cells around nearby pivots go together into packs of about a block of rows, so that a vector
+    is sent once to a pack however many of its cells it reaches. Cells of about a block are packs of their own."""
+    if 2 * cell > block:
+        return pivots.select(item, F.col("pid").alias("cell"), F.col("pid").alias("pack"))
+    centres = pivots.select(item, F.col("pid").alias("vid"), F.col("pvec").alias("vec"))
+    placed = assign_cells(centres, cut_lineage(pivots_of(centres, item, block // cell)), item, block)
+    return cut_lineage(placed.select(item, F.col("vid").alias("cell"), F.col("cell").alias("pack")))

@@ -20,6 +20,7 @@ from kappaframe.operators.cells import (
     cell_table,
     chord,
     distinct_vectors,
+    pack_cells,
     pivots_of,
     unit_rows,
     vector_key,
@@ -27,7 +28,7 @@ from kappaframe.operators.cells import (
 )
 from kappaframe.operators.components import components
 from kappaframe.operators.ordering import numbered
-from kappaframe.session import cut_lineage, spread
+from kappaframe.session import cut_lineage, fresh, spread
 
 NOISE = -1
 
@@ -124,12 +125,14 @@ def density_clusters(
     vectors = cut_lineage(distinct_vectors(rows, item, "vec"))
     pivots = cut_lineage(pivots_of(vectors, item, cell))
     members = cut_lineage(assign_cells(vectors, pivots, item, block))
-    cells = cell_table(members, pivots, item)
+    packs = pack_cells(pivots, item, cell, block)
+    cells = cell_table(members, pivots, item).join(packs, [item, "cell"])
 
     def visits_to(visitors: DataFrame, homes: DataFrame) -> DataFrame:
-        reached = cells.join(homes.select(item, "cell").distinct(), [item, "cell"], "left_semi")
+        reached = cells.join(homes.select(item, "home").distinct().withColumnRenamed("home", "cell"), [item, "cell"], "left_semi")
         return visit_cells(visitors, reached, item, eps, block)
 
+    members = members.join(fresh(packs), [item, "cell"]).withColumnsRenamed({"cell": "home", "pack": "cell"})
     weight = _neighbour_weight(visits_to(vectors, members), members, item, eps, block)
     cores = cut_lineage(weight.select(item, "vid", (F.col("weight") >= min_samples).alias("core")))
     members = members.join(cores, [item, "vid"])

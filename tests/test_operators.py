@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from kappaframe.operators import agreement as A
+from kappaframe.operators import cells
 from kappaframe.operators import clusters as K
 from kappaframe.operators import examples as E
 from kappaframe.operators import fairness as G
@@ -480,6 +481,19 @@ def test_column_function_lets_go_of_earlier_batches(spark):
     assert found[0] <= 4 and found[1] == 123 * 60
 
 
+def test_vectors_are_sent_once_to_packs_of_small_cells(spark):
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([("a", v.tolist()) for v in draw.normal(size=(300, 3))], "qid string, emb array<double>")
+    vectors = cells.distinct_vectors(df, "qid", "emb").localCheckpoint()
+    pivots = cells.pivots_of(vectors, "qid", 2).localCheckpoint()
+    members = cells.assign_cells(vectors, pivots, "qid", 64)
+    packs = cells.pack_cells(pivots, "qid", 2, 64)
+    n = packs.select("pack").distinct().count()
+    assert packs.count() == pivots.count() == 150 and n <= 8
+    visits = cells.visit_cells(vectors, cells.cell_table(members, pivots, "qid").join(packs, ["qid", "cell"]), "qid", 2.0, 64)
+    assert visits.count() == visits.distinct().count() == 300 * n
+
+
 def test_pairs(spark):
     rows = [(q, "1", q * 10 + p, ["1", "2"][p % 2], p) for q in range(60) for p in range(4)] + [(100, "3", 5, "2", 0)]
     df = spark.createDataFrame(rows, "query_id bigint, query_label string, example_id bigint, label string, position bigint")
