@@ -191,7 +191,10 @@ def fit(
         if counts.t in (0, counts.n):
             return Model(None, None, None, counts.t / counts.n if counts.n else 0.0)
         words = lexicon_hashes(learned_lexicon(known.where("part > 0")))
-        ready = known.select("toxic", "part", array_to_vector(features("text", words)).alias("_tox_f"))
+        # features in tasks of their own: a merged task would keep the Arrow buffers of all its parts until its end
+        made = known.select("toxic", "part", features("text", words).alias("_tox_f")).persist()
+        made.count()
+        ready = made.select("toxic", "part", array_to_vector("_tox_f").alias("_tox_f"))
         ready = ready.withColumn("label", F.col("toxic").cast("double")).coalesce(4).persist()
         kinds = ready.where("part > 0").agg(F.countDistinct("label")).first()[0]
         grower = GBTClassifier(
@@ -204,6 +207,7 @@ def fit(
             told = grown.transform(ready).select("label", vector_to_array("_tox_v")[1].alias("_tox_p"))
         level = IsotonicRegression(featuresCol="_tox_p", labelCol="label", predictionCol="_tox_i").fit(told)
         ready.unpersist()
+        made.unpersist()
         return Model(words, grown, level, counts.t / counts.n)
     finally:
         known.unpersist()

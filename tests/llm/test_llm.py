@@ -8,7 +8,9 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from kappaframe.llm import (
     bpe,
@@ -380,6 +382,23 @@ def linked(vectors):
     return embedding_dedup._linked(0.95, 0, np.zeros((len(v), 1), np.int64), names, np.ones(len(v), np.int64), v, embedding_dedup._unit(v), names, names)
 
 
+def test_toxicity_features_are_made_in_tasks_of_their_own(spark, monkeypatch, tmp_path):
+    """Not in the few merged tasks that trees are grown in, which would hold all their parts' buffers at once."""
+
+    def marked(column, lexicon):
+        @arrow_udf("array<double>")
+        def made(texts: pa.Array) -> pa.Array:
+            (tmp_path / str(TaskContext.get().partitionId())).touch()
+            return pa.array([[float(len(t))] * toxicity.N_FEATURES for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+        return made.asNondeterministic()(column)
+
+    monkeypatch.setattr(toxicity, "features", marked)
+    docs = spark.range(0, 240, 1, 12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), trees=1)
+    assert len(list(tmp_path.iterdir())) == 12
+
+
 def test_embedding_links_join_whole_components_within_a_task():
     """A point linked with two smaller ones joins these two, whatever the order along a chain."""
     angle = np.arccos(0.95) * 0.9
