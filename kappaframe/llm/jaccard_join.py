@@ -6,8 +6,9 @@ largest count per coordinate of a node it bounds the overlap with everything bel
 t / (1 + t) of both sizes, so most nodes and points are passed over and only surviving pairs are verified on full sets.
 
 Points meet in pages: two linked sets share one of the first n - ceil(t n) + 1 shingles of each under any common
-order, so a page holds the points that share such a shingle. The order puts very frequent shingles last (a bounded list
-of heavy hitters; it changes only how much work there is). Equal sets are one point. A first round links every
+order, so a page holds the points that share such a shingle. The order puts frequent shingles last: those that whole texts
+or prefixes often share are set as bits of maps that grow with their number (a bit may stand for others as well; it changes
+only how much work there is). Equal sets are one point. A first round links every
 page's points with the page's best connected point, its leader, which joins groups of copies without looking at their
 pairs. A second round looks only at pages that still hold several components. Pages of up to LEAF points are one leaf;
 their pairs that share too little of their prefixes to link are left out before any set is fetched. The larger pages of
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kappaframe.llm.words import LAST_ID, Block, arrow_rows, cut, expanded, keyed, mixed, squeezed, windows
+from kappaframe.llm.words import BLOCK_BYTES, LAST_ID, Block, arrow_rows, cut, expanded, keyed, mixed, squeezed, windows
 from kappaframe.operators.components import components
-from kappaframe.session import written
+from kappaframe.session import discard, shuffles_dropped, written
 
 GROUPS = 64
-HEAVY = 1 << 17  # frequent shingles kept from each of two passes, so the list that goes to tasks has at most 2 MB
 SELDOM, CROWD = 32, 6
+MAP_BITS = 1 << 28  # bits at most (32 MB) of a map of frequent shingles that goes to tasks; beyond, more shingles share a bit
 SHARD_ROWS = 1 << 15
 SENT_ROWS = 1 << 19  # keys (16 bytes each) of wanted texts are sent to the texts up to this count; beyond, both are shuffled
 LEAF = 16
@@ -78,7 +79,7 @@ def set_names(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray,
 def _blocks(batches: Iterator[pa.RecordBatch], lower: bool, small: bool = False):
     for batch in batches:
         ids, marks = batch.column("_id"), batch.column("_t")
-        for _, texts, part in cut(ids, batch.column("_text")):
+        for _, texts, part in cut(ids, batch.column("_text"), BLOCK_BYTES // 4):  # the arrays of a block are many times its bytes
             texts = [expanded(t) for t in texts] if small else texts
             yield Block(np.arange(len(texts)), [t.lower() for t in texts] if lower else texts), ids.to_numpy()[part], marks.to_numpy()[part]
 
@@ -123,7 +124,15 @@ def _named(k: int, lower: bool):
     return task
 
 
-def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
+def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a map of `_bit_map`."""
+    at = h & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _rare_first(k: int, lower: bool, maps: list[np.ndarray], percent: int):
+    """Prefixes in an order that puts shingles of the first of `maps` last, those of the next before them, and so on."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for block, ids, _ in _blocks(batches, lower):
@@ -138,7 +147,9 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
                 seen.clear()
             use = new[doc]
             doc, h = doc[use], h[use]
-            common = np.isin(h, heavy, assume_unique=False) if len(heavy) else np.zeros(len(h), bool)
+            common = np.zeros(len(h), np.uint64)
+            for level, bits in enumerate(reversed(maps), 1):
+                common[_marked(h, bits)] = level
             order = np.lexsort((h, common, doc))
             doc, h = doc[order], h[order]
             kept = np.where(new, sizes, 0)
@@ -147,7 +158,7 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
             p = sizes + (-percent * sizes) // 100 + 1
             take = rank < p[doc]
             last = first + np.where(new, p, 1) - 1
-            turn = np.where(common[order], np.uint64(1) << np.uint64(63), np.uint64(0)) | (h >> np.uint64(1))
+            turn = (common[order] << np.uint64(62)) | (h >> np.uint64(2))
             end = turn[np.minimum(last, max(len(turn) - 1, 0))] if len(turn) else np.zeros(len(ids), np.uint64)
             end = ((end >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)  # in the same order, with ties
             doc, h = doc[take], h[take]
@@ -158,9 +169,9 @@ def _rare_first(k: int, lower: bool, heavy: np.ndarray, percent: int):
     return task
 
 
-def _points(k: int, lower: bool):
+def _points(k: int, lower: bool, small: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _ in _blocks(batches, lower, small=True):
+        for block, _, _ in _blocks(batches, lower, small):
             doc, h = shingles(block, k)
             sizes, sid = set_names(doc, h, len(block.ids))
             vec = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * GROUPS)
@@ -321,9 +332,12 @@ def _verify(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         return points.select(F.col("sid").alias(name), *[F.col(c).alias(t) for c, t in columns])
 
     near = pairs.join(side("a", ("n", "n_a"), ("vec", "vec_a")), "a").join(side("b", ("n", "n_b"), ("vec", "vec_b")), "b")
-    near = near.mapInArrow(_bounded(percent), "a long, b long")
+    # written, so that no task holds the Python workers of both steps
+    near = written(near.mapInArrow(_bounded(percent), "a long, b long"), "near")
     full = near.join(side("a", ("members", "set_a")), "a").join(side("b", ("members", "set_b")), "b")
-    return full.mapInArrow(_verified(percent), "a long, b long")
+    links = written(full.mapInArrow(_verified(percent), "a long, b long"), "links")
+    _discarded(near)
+    return links
 
 
 def jaccard_classes(
@@ -337,7 +351,7 @@ def jaccard_classes(
     member has one. Repeated rows are equal sets and so one component. An empty table gives an empty result; other
     columns are not read.
     """
-    with arrow_rows(docs.sparkSession, 500):
+    with arrow_rows(docs.sparkSession, 500), shuffles_dropped(docs.sparkSession):
         sets, one, linked = _classes(docs, k, percent, lower, id_column, text_column)
     members = one.join(linked, "sid")
     firsts = members.groupBy("comp").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("size"))
@@ -358,7 +372,7 @@ def first_of_each(
 ) -> DataFrame:
     """`(_id, _t)` as `words.keyed` names rows: of every component the row with the smallest id, then text hash, and every row
     without words. Rows are told apart by id and text, so ids may be null or repeat; each pair is named once."""
-    with arrow_rows(docs.sparkSession, 500):
+    with arrow_rows(docs.sparkSession, 500), shuffles_dropped(docs.sparkSession):
         sets, one, linked = _classes(docs, k, percent, lower, id_column, text_column)
     firsts = one.join(linked, "sid").groupBy("comp").agg(F.min("r").alias("r")).select("r.*")
     alone = one.join(linked, "sid", "left_anti").select("r.*")
@@ -381,47 +395,63 @@ def _classes(docs: DataFrame, k: int, percent: int, lower: bool, id_column: str,
     rows = keyed(docs, id_column, text_column)
     named = written(rows.mapInArrow(_named(k, lower), "_id long, _t long, sid long, n long, kind byte"), "sets")
     sets = named.where("kind = 0").select("_id", "_t", "sid", "n")
-    often = named.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(f"n >= {SELDOM}").withColumnRenamed("sid", "h")
-    heavy = _hashes(often)
+    often = named.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).where(f"n >= {SELDOM}")
+    maps = [_bit_map(often.select(F.col("sid").alias("h")))]
 
-    def prefixes(last: np.ndarray) -> DataFrame:
-        return rows.mapInArrow(_rare_first(k, lower, last, percent), "h long, sid long, n int, last int")
+    def prefixes() -> DataFrame:
+        return rows.mapInArrow(_rare_first(k, lower, maps, percent), "h long, sid long, n int, last int")
 
-    # what is still shared by many goes to the end of the order as well, and prefixes are drawn anew
-    crowded = prefixes(heavy).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {CROWD}")
-    heavy = np.union1d(heavy, _hashes(crowded))
+    # what is still shared by many goes towards the end of the order as well, and prefixes are drawn anew
+    crowded = prefixes().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {CROWD}")
+    maps = [*maps, _bit_map(crowded.select("h"))]
     same = Window.partitionBy("h")
-    met_rows = written(prefixes(heavy).repartition("h").distinct().select("*", F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "met")
+    met_rows = written(prefixes().repartition("h").distinct().select("*", F.count(F.lit(1)).over(same).alias("m")).where("m > 1"), "met")
     # a page is led by the point that meets most others: of a group of copies most likely the one they were made from
     fame = met_rows.groupBy("sid").agg(F.sum("m").alias("fame"))
     famed = met_rows.join(fame, "sid")
-    leads = famed.groupBy("h").agg(F.max(F.struct("fame", "sid"))["sid"].alias("lead"), F.count(F.lit(1)).alias("size"))
-    live = written(_hot_joined(met_rows, written(leads, "leads"), "h", "inner").drop("size"), "live")
+    leads = written(famed.groupBy("h").agg(F.max(F.struct("fame", "sid"))["sid"].alias("lead"), F.count(F.lit(1)).alias("size")), "leads")
+    live = written(_hot_joined(met_rows, leads, "h", "inner").drop("size"), "live")
+    _discarded(met_rows, leads)
     facts = written(live.select("sid", "n", "last").dropDuplicates(["sid"]), "facts")
     one = written(sets.where("n > 0").groupBy("sid").agg(F.min(F.struct("_id", "_t")).alias("r"), F.count(F.lit(1)).alias("size")), "one")
     texts = rows.select("_id", "_t", squeezed(F.col("_text")).alias("_text"))
 
     def points_of(wanted: DataFrame) -> DataFrame:
         keys = written(wanted.join(one, "sid").select("r._id", "r._t"), "wanted")
-        keys = F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
-        made = texts.join(keys, ["_id", "_t"]).mapInArrow(_points(k, lower), "sid long, n long, vec binary, members binary")
-        return written(made.dropDuplicates(["sid"]), "points")
+        few = keys.count() <= SENT_ROWS  # then no text is shuffled, nor made small for it
+        some = rows.select("_id", "_t", "_text").join(F.broadcast(keys), ["_id", "_t"]) if few else texts.join(keys, ["_id", "_t"])
+        made = some.mapInArrow(_points(k, lower, small=not few), "sid long, n long, vec binary, members binary")
+        points = written(made.dropDuplicates(["sid"]), "points")
+        _discarded(keys)
+        return points
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        points = points_of(ends_of(pairs))
+        links = _verify(pairs, points, percent)
+        _discarded(pairs, points)
+        return links
 
     ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     shared = live.where("sid <> lead").groupBy(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).count()
     stars = written(_possible(shared, facts, percent), "stars")
-    links = written(_verify(stars, points_of(ends_of(stars)), percent), "links")
+    links = verified(stars)
     parts = written(components(links).select(F.col("vid").alias("sid"), "comp"), "parts")
     spread = live.select("h", "sid", "n", "m", "lead").join(parts, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     spread = written(spread, "spread")
+    _discarded(live, parts)
     open_pages = spread.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
     open_pages = written(open_pages.where("lo < hi").select("h", "size"), "open")
     paged = written(_hot_joined(spread, open_pages, "h", "inner"), "paged")
+    _discarded(spread, open_pages)
     shards = F.lit(1 + paged.count() // SHARD_ROWS)
     met = paged.where(f"m <= {LEAF}").groupBy(F.pmod(F.xxhash64("h"), shards).alias("shard")).applyInArrow(_met(percent), "a long, b long, count long")
     across = written(_possible(met.groupBy("a", "b").agg(F.sum("count").alias("count")), facts, percent), "across")
-    links = links.unionByName(_verify(across, points_of(ends_of(across)), percent)).unionByName(_crowd_links(paged, points_of, percent))
-    linked = written(components(links).select(F.col("vid").alias("sid"), "comp"), "linked")
+    _discarded(facts)
+    more = verified(across)
+    crowded = _crowd_links(paged, points_of, percent)
+    _discarded(paged)
+    linked = written(components(links.unionByName(more).unionByName(crowded)).select(F.col("vid").alias("sid"), "comp"), "linked")
+    _discarded(links, more)
     return sets, one, linked
 
 
@@ -438,13 +468,28 @@ def _crowd_links(paged: DataFrame, points_of: Callable[[DataFrame], DataFrame],
     visits = seated.select("lead", "sid", "n", "comp", own.alias("own"), asks.alias("asks"), F.explode(goes).alias("block"))
     visits = written(visits.withColumn("home", F.col("own") == F.col("block")), "visits")
     sent = visits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    points = points_of(seats.select("sid").distinct()).select("sid", "vec", "members")
+    points = points_of(seats.select("sid").distinct())
     shard = F.pmod(F.xxhash64("lead", "block"), F.lit(1 + sent // BLOCK_SHINGLES)).alias("shard")
-    rows = visits.select("lead", "block", "sid", "comp", "home", "asks").join(points, "sid")
-    return written(rows.groupBy(shard).applyInArrow(_crowds_linked(percent), "a long, b long"), "crowd_links")
-
-
-def _hashes(counted: DataFrame) -> np.ndarray:
-    """The commonest shingles of `(h, n)`, HEAVY at most."""
-    top = counted.orderBy(F.desc("n"), "h").limit(HEAVY).select("h").collect()
-    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+    rows = visits.select("lead", "block", "sid", "comp", "home", "asks").join(points.select("sid", "vec", "members"), "sid")
+    links = written(rows.groupBy(shard).applyInArrow(_crowds_linked(percent), "a long, b long"), "crowd_links")
+    _discarded(seats, crowds, visits, points)
+    return links
+
+
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """The bytes of a map with a bit set for each of the distinct hashes `(h)`, its last bits being the place: 16 to 32 bits for each
+    hash, 2^21 at least and MAP_BITS at most. The bits are set in Spark, so only the map comes to the driver."""
+    hashes = written(hashes, "hashes")
+    size = min(MAP_BITS, max(1 << 21, 1 << (16 * hashes.count()).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(size - 1)) + 1  # Spark counts places from 1
+    parts = hashes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).repartition("part")
+    bits = np.zeros(size // 8, dtype=np.uint8)
+    for part, found in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        bits[(part - 1) * len(found) : part * len(found)] = np.frombuffer(found, np.uint8)
+    _discarded(hashes)
+    return bits
+
+
+def _discarded(*tables: DataFrame) -> None:
+    for table in tables:
+        discard(table)

@@ -1,7 +1,9 @@
 """The ten operators against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -27,6 +29,7 @@ from kappaframe.llm import (
     url_filter,
     words,
 )
+from kappaframe.session import shuffles_dropped, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, _id string, score string"
@@ -182,6 +185,60 @@ def test_jaccard_join_of_crowds(spark, monkeypatch, block):
     assert made[0].count() > 0
 
 
+def test_jaccard_join_frequent_shingles_without_bound(spark, monkeypatch):
+    """However many shingles are frequent (HEAVY bounded their number once), unlike texts that share a passage make no crowd;
+    tables that nothing reads again are gone when the sets are linked."""
+    rows = [(i, sentence(1000 + i, 150) + " " + sentence(600 + i % 5, 45)) for i in range(300)] + [(300, sentence(1000, 150) + " " + sentence(600, 44))]
+    plain, written_, large, made = jaccard_join._crowd_links, jaccard_join.written, [], []
+
+    def watched(paged, *given):
+        large.append(paged.where(f"m > {jaccard_join.LEAF}").count())
+        return plain(paged, *given)
+
+    def noted(df, name):
+        made.append((name, written_(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard_join, "HEAVY", 10, raising=False)
+    monkeypatch.setattr(jaccard_join, "SENT_ROWS", 1)  # texts of wanted sets are shuffled
+    monkeypatch.setattr(jaccard_join, "_crowd_links", watched)
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    out = jaccard_join.jaccard_classes(documents(spark, rows))
+    assert large == [0]
+    left = {name for name, t in made if os.path.exists(t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:"))}
+    assert left == {"sets", "one", "crowd_links", "linked", "firsts", "names"}
+    assert Counter(tuple(r) for r in out.collect()) == brute_classes(rows)
+
+
+def test_jaccard_join_maps_of_frequent_shingles(spark, monkeypatch):
+    h = np.random.default_rng(7).integers(-(1 << 63), (1 << 63) - 1, 200_000)
+    table = spark.createDataFrame(pa.table({"h": h}))
+    others = np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 200_000).view(np.uint64)
+    bits = jaccard_join._bit_map(table)
+    assert len(bits) == 1 << 19 and jaccard_join._marked(h.view(np.uint64), bits).all()
+    assert jaccard_join._marked(others, bits).mean() < 0.07
+    assert np.unpackbits(bits).sum() == len(np.unique(h & (8 * len(bits) - 1)))
+    monkeypatch.setattr(jaccard_join, "MAP_BITS", 1 << 15)  # a map that is full marks more, and never less
+    assert jaccard_join._marked(h.view(np.uint64), jaccard_join._bit_map(table)).all()
+    assert not jaccard_join._bit_map(table.limit(0)).any()
+
+
+def test_shuffles_dropped(spark):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    counted = spark.range(100_000).groupBy(F.col("id") % 1000).count()
+    before = files()
+    with shuffles_dropped(spark):
+        assert written(counted, "counted").count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    held = written(counted, "counted")
+    assert held.count() == 1000 and not files() <= before
+
+
 def test_bpe_round_trip(spark, odd_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
