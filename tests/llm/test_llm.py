@@ -200,7 +200,6 @@ def test_jaccard_join_frequent_shingles_without_bound(spark, monkeypatch):
         return made[-1][1]
 
     monkeypatch.setattr(jaccard_join, "HEAVY", 10, raising=False)
-    monkeypatch.setattr(jaccard_join, "SENT_ROWS", 1)  # texts of wanted sets are shuffled
     monkeypatch.setattr(jaccard_join, "_crowd_links", watched)
     monkeypatch.setattr(jaccard_join, "written", noted)
     out = jaccard_join.jaccard_classes(documents(spark, rows))
